@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import IS_SPACE, LOWER, TextBuf, by_slices, windows
+from .textbuf import IS_SPACE, LOWER, TextBuf, by_slices, order_in_docs, windows
 
 # Fixed values of the line rules.
 PHRASES = (
@@ -127,7 +127,7 @@ def measure(cut: pa.RecordBatch) -> pa.RecordBatch:
     covered = np.zeros(len(t["ws"]), bool)
     if len(g):
         doc = t["wd"][at]
-        order = np.lexsort((g, doc))
+        order = order_in_docs(doc, g)
         og, od = g[order], doc[order]
         eq = (og[1:] == og[:-1]) & (od[1:] == od[:-1])
         again = np.zeros(len(g), bool)

@@ -62,3 +62,34 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     out = b.join(start, cond, "left")
     within = Window.partitionBy(*keys).orderBy(*order)
     return out.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_bucket", "_start", *[f"_k_{k}" for k in keys])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(v, label): each vertex of the links (a, b) and the smallest vertex of its component.
+
+    Each round hangs a vertex under its smallest neighbour, flattens the trees
+    by pointer jumping and contracts the links, which at least halves the
+    vertices that still have links. Every round is a written table.
+    """
+    edges = links.select("a", "b").where("a != b")
+    edges = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label: DataFrame | None = None
+    while not edges.isEmpty():
+        tree = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("v"), "p")
+        tree = stash(tree, "tree")
+        while True:
+            up = tree.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            higher = stash(tree.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "tree")
+            tree, moved = higher.select("v", "p"), not higher.where("moved").isEmpty()
+            if not moved:
+                break
+        if label is None:
+            label = tree.withColumnRenamed("p", "label")
+        else:
+            root = tree.select(F.col("v").alias("label"), "p")
+            label = label.join(root, "label", "left").select("v", F.coalesce("p", "label").alias("label"))
+        ends = [tree.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab"]
+        edges = edges.join(ends[0], "a").join(ends[1], "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        edges = stash(edges.distinct(), "edges")
+        label = stash(label, "labels")
+    return label if label is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))

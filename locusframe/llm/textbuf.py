@@ -145,6 +145,15 @@ class TextBuf:
         return c[self.off[1:]] - c[self.off[:-1]]
 
 
+def order_in_docs(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by document, then hash. Documents of a batch fit 16 bits as a rule, and a radix sort is used then."""
+    by_hash = np.argsort(h)
+    d = doc[by_hash]
+    if len(d) and d.max() < 65536:
+        d = d.astype(np.uint16)
+    return by_hash[np.argsort(d, kind="stable")]
+
+
 def windows(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k consecutive words of one document, and the index of the first word."""
     n = len(word_hash) - k + 1
