@@ -63,6 +63,12 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
