@@ -14,11 +14,12 @@ documents are linked if 100 * intersection >= 75 * union.
    independent bands; bands that reuse registers leave it below 1e-6.
 4. Estimate, then verify. The members of a key's bucket are compared with its
    smallest one, the pivot, not all with all. Each document first tries the
-   pivot with which it shares most keys; then pivots in other components; then
-   only pairs of one bucket whose components are still apart. The estimated
-   similarity of two sketches is corrected for register collisions; a pair
-   goes if it lies more than five standard errors below the threshold, else
-   it is confirmed on the full sets of shingles.
+   pivot with which it shares most keys; then pivots in other components. What
+   shares a bucket and is still in different components is settled by a prefix
+   filter over its shingles, which loses no link. The estimated similarity of
+   two sketches is corrected for register collisions; a pair goes if it lies
+   more than five standard errors below the threshold, else it is confirmed on
+   the full sets of shingles.
 5. Components by contraction with pointer jumping, in written tables.
 
 So every pair that shares a key is either confirmed, refuted, or already in one
@@ -181,6 +182,36 @@ def _linked(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFra
     return stash(full.mapInArrow(by_slices(verify, "body_a"), "a long, b long"), "links")
 
 
+def token_rows(cut: pa.RecordBatch) -> pa.RecordBatch:
+    doc, g = shingle_sets(TextBuf.of(cut.column("body"), lower=True))
+    n = np.bincount(doc, minlength=cut.num_rows)
+    label = cut.column("label").to_numpy()
+    cols = [cut.column("id").to_numpy()[doc], label[doc], n[doc], g.view(np.int64)]
+    return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "label", "n", "g"])
+
+
+def _across(open_ids: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs of documents in different components that may still be linked, by a prefix filter without loss.
+
+    Shingles are put in one order for all: those whose documents lie in one
+    component first, then the rarer ones. A linked pair's first common shingle
+    lies in the prefix of both, and enough shingles must be left behind it.
+    """
+    rows = bodies.join(open_ids, "id").mapInArrow(by_slices(token_rows, "body"), "id long, label long, n long, g long")
+    w = Window.partitionBy("g")
+    seen = rows.withColumn("df", F.count(F.lit(1)).over(w)).withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+    mixed = seen.where("lo < hi").select("id", "label", "n", "g", "df")
+    in_doc = Window.partitionBy("id")
+    rank = F.row_number().over(in_doc.orderBy("df", "g"))
+    left = F.count(F.lit(1)).over(in_doc) - rank  # shingles behind this one
+    prefix = mixed.withColumn("left", left).where((F.col("left") + 1) * OF >= F.col("n") * SIMILAR)
+    prefix = stash(prefix.select("id", "label", "n", "g", "left"), "prefix")
+    other = prefix.select("g", *[F.col(c).alias(f"{c}_o") for c in ("id", "label", "n", "left")])
+    enough = (F.least("left", "left_o") + 1) * (OF + SIMILAR) >= (F.col("n") + F.col("n_o")) * SIMILAR
+    pairs = prefix.join(other, "g").where((F.col("label") < F.col("label_o")) & enough)
+    return pairs.select(F.least("id", "id_o").alias("a"), F.greatest("id", "id_o").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), one row for each row of docs.
 
@@ -190,8 +221,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id long, n_shingles long, set_a long, set_b long, regs binary"
     sk = stash(docs.mapInArrow(by_slices(sketch, "body"), schema), "sketches")
     full = sk.where("n_shingles > 0")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    member = stash(full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"]).drop("set_a", "set_b"), "classes")
+    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    classes = stash(classes.where("c > 1").drop("c"), "several")
+    member = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+    member = stash(member.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     first = member.where("doc_id = class_id").select("doc_id").distinct()
     reps = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs")
     reps = reps.join(first.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
@@ -227,10 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = tried.unionByName(second)
     m = bucket.select("key", "id", "n").join(at("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_keys = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    m = stash(m.join(open_keys, "key", "left_semi"), "open")
-    o = m.select("key", F.col("id").alias("id_o"), F.col("n").alias("n_o"), F.col("label").alias("label_o"))
-    third = m.join(o, "key").where((F.col("label") < F.col("label_o")) & near(F.col("n"), F.col("n_o")))
-    third = third.select(F.least("id", "id_o").alias("a"), F.greatest("id", "id_o").alias("b")).distinct()
+    m = m.join(open_keys, "key", "left_semi").select("id", "label").distinct()
+    third = _across(stash(m, "open"), bodies)
     third = stash(third.join(tried, ["a", "b"], "left_anti"), "third")
     links = links.unionByName(_linked(third, sketches, bodies))
     comp = components(links)
