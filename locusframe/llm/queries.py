@@ -63,12 +63,83 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    from .licenses import TEMPLATES, THRESHOLD
+
+    rows = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(TEMPLATES))
+    cut = r"list_filter(regexp_split_to_array(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS (SELECT template, licence, {pairs} AS g FROM (SELECT *, {cut.format("body")} AS w FROM (VALUES {rows}) v(template, licence, body))),
+lines AS (
+  SELECT doc_id, 0 AS line, coalesce(text, '') AS u FROM documents
+  UNION ALL
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS u FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) WHERE len(l) > 1),
+units AS (SELECT doc_id, line, {pairs} AS g FROM (SELECT doc_id, line, {cut.format("u")} AS w FROM lines)),
+near AS (SELECT doc_id, line, template, licence, u.g AS a, t.g AS b FROM units u JOIN t
+  ON len(u.g) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(t.g) - 0.001 AND len(u.g) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(t.g) + 0.001),
+d AS (SELECT doc_id, line, template, licence, 2 * len(list_intersect(a, b))::DOUBLE / (len(a) + len(b)) AS dice FROM near),
+hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS r FROM d WHERE dice >= {THRESHOLD}),
+per AS (SELECT doc_id, count(DISTINCT line) AS n_units, max(licence) FILTER (WHERE r = 1) AS licence,
+  round(max(dice) FILTER (WHERE r = 1), 9) AS dice, CAST(max(line) FILTER (WHERE r = 1) AS BIGINT) AS line FROM hit GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, licence, dice, coalesce(line, -1) AS line FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import interleave
+
+    return interleave(table(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS tbl FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5('interleave-1' || coalesce(':' || doc_id, '')) AS h FROM documents),
+r AS (SELECT doc_id, source, h, CAST(length(x) // 2 + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+      lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fr FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fr, source NULLS FIRST, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
+SELECT doc_id, source, size, text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard,
+  pos - ((pos * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+
+def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_prefix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -98,9 +169,53 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A blocklist's history for the query: list, entry, action, day since. Pages carry no fetch time, so
+#: the query takes 2024-01-01 plus page_id modulo 731 days.
+HISTORY = (
+    ("spam", "spam-farm.example.org", "add", "2024-02-01"),
+    ("spam", "spam-farm.example.org", "remove", "2024-09-15"),
+    ("spam", "spam-farm.example.org", "add", "2025-03-01"),
+    ("tracking", "example.net", "add", "2024-06-01"),
+    ("tracking", "example.net", "remove", "2024-08-01"),
+    ("tracking", "blog.tiontion.example.com", "add", "2024-01-10"),
+    ("adult", "m.ththth.example.net", "add", "2024-03-05"),
+    ("adult", "m.ththth.example.net", "add", "2024-12-24"),
+    ("adult", "ththre.example.com/fr", "add", "2024-01-01"),
+    ("adult", "ththre.example.com/fr", "remove", "2025-10-01"),
+    ("region", "blog.ththan.example.net/en", "add", "2024-07-07"),
+    ("region", "therha.example.com", "remove", "2024-05-05"),
+    ("region", "therha.example.com", "add", "2025-05-05"),
+)
+
+
+def op10_url_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_captures
+
+    history = spark.createDataFrame(list(HISTORY), "list_name string, entry string, action string, since string")
+    history = history.withColumn("since", F.col("since").cast("date"))
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(731)).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched"))
+    return filter_captures(pages, history, "page_id", "url", "fetched")
+
+
+def _op10_sql() -> str:
+    rows = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in HISTORY)
+    return rf"""
+WITH h AS (SELECT *, lead(since) OVER (PARTITION BY list_name, entry ORDER BY since) AS till FROM (VALUES {rows}) v(list_name, entry, action, since)),
+p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 731 AS INTEGER) AS DATE) AS fetched,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+m AS (SELECT page_id, list_name, entry, row_number() OVER (PARTITION BY page_id ORDER BY length(entry) DESC, entry DESC, list_name DESC) AS r
+  FROM p JOIN h ON action = 'add' AND fetched >= since AND (till IS NULL OR fetched < till) AND (
+    host = entry OR ends_with(host, '.' || entry) OR (contains(entry, '/') AND starts_with(host || path || '/', entry || '/')))),
+g AS (SELECT page_id, count(*) AS n, max(entry) FILTER (WHERE r = 1) AS entry, max(list_name) FILTER (WHERE r = 1) AS list_name FROM m GROUP BY page_id)
+SELECT p.page_id, url, fetched, host, g.n IS NOT NULL AS blocked, coalesce(g.n, 0) AS n_active, entry, list_name FROM p LEFT JOIN g USING (page_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op8_prefix_decontam": _OP8_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op2_license_scan": _op2_sql(), "op10_url_asof": _op10_sql(), "op5_interleaved_shards": _OP5_SQL, "op8_prefix_decontam": _OP8_SQL}
