@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -31,14 +32,21 @@ from .textbuf import by_slices
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Words whose ids a worker remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers. The first half stays, later ones go when it is full.
+REMEMBERED = 500_000
 #: Longer words are not remembered.
 LONG_WORD = 64
 #: Parts in which pieces of one length are ranked.
 RANK_PARTS = 64
 
-_tokenizers: dict[str, tuple] = {}
+# Texts of these characters are cut into words here; others go to the tokenizer as a whole. The set leaves out
+# what normalisation changes (combining marks), letters whose lower case is longer, and rare kinds of space.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
+# Fixed pattern: how the tokenizer cuts lower-case text into words.
+_WORD = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s{_LETTERS}0-9]+")
+
+_tokenizers: dict[str, _Words] = {}
 
 
 class _Words(dict):
@@ -47,20 +55,47 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        got = encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.update(zip(part, self.ids(part), strict=True))
+        ends = sorted(i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>"))
+        self.is_end = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
+        self.late: list[str] = []
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """All words as one text: a word's last id is the only one that ends a word."""
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = self.ids(" ".join(part))
+            to = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(to) != len(part) or to[-1] != len(ids):
+                self.update((w, self.ids(w).tobytes()) for w in part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, to, strict=True):
+                self[w] = raw[4 * start : 4 * end]
+                start = end
+
+    def forget(self, new: list[str]) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.late += [w for w in new if len(w) <= LONG_WORD]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self[w]
+        if len(self) > REMEMBERED:
+            for w in self.late:
+                del self[w]
+            self.late = []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        cut = [_WORD.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        new = list(set().union(*(c for c in cut if c is not None)) - self.keys())
+        self.learn(new)
+        out = [self.ids(t).tobytes() if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        self.forget(new)
+        return out
 
 
 def _words(name: str, source: bytes) -> _Words:
@@ -73,23 +108,17 @@ def _words(name: str, source: bytes) -> _Words:
 
 
 def cut_pieces(name: str, file, capacity: int, with_ids: bool):
-    """Token ids of each text, word by word.
+    """Token ids of each text and a closing id, cut into pieces.
 
-    The tokenizer drops white space and no token crosses it, so ids of the
-    parts between ASCII white space, joined, are the ids of the text.
+    The tokenizer folds case, drops white space and codes word by word, so most
+    words are looked up and only new ones are coded.
     """
 
     def work(cut: pa.RecordBatch) -> pa.RecordBatch:
-        words = _words(name, file.value)
-        parts = [b.split() for b in cut.column("body").to_pylist()]
-        words.learn({w for p in parts for w in p if len(w) <= LONG_WORD})
         row, piece, start, length, crc, ids = [], [], [], [], [], []
         closing = np.array([CLOSING_ID], "<u4").tobytes()
-        for r, p in enumerate(parts):
-            try:
-                raw = b"".join(map(words.__getitem__, p)) + closing
-            except KeyError:
-                raw = b"".join(words.get(w) if len(w) <= LONG_WORD else words.ids([w])[0] for w in p) + closing
+        for r, raw in enumerate(_words(name, file.value).encode(cut.column("body").to_pylist())):
+            raw += closing
             n = len(raw) // 4
             for k, at in enumerate(range(0, n, capacity)):
                 to = min(n, at + capacity)
@@ -116,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     with open(tokenizer, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
     return docs.mapInArrow(cut_pieces(os.path.basename(tokenizer), file, capacity, with_ids), schema)
 
 
