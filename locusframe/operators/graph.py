@@ -28,16 +28,16 @@ def _in_one(pdf: pd.DataFrame) -> pd.DataFrame:
             p = p[p]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(v, label): each vertex of the links (a, b) and the smallest vertex of its component.
 
     Each round hangs a vertex under its smallest neighbour, flattens the trees
     by pointer jumping and contracts the links, which at least halves the
     vertices that still have links. Every round is a written table. A set of
-    links of checked small size is settled in one task instead.
+    links of checked small size (one_task; 0: never) is settled in one task instead.
     """
     edges = stash(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b"), "links")
-    if edges.count() <= ONE_TASK:
+    if one_task and edges.count() <= one_task:
         return edges.groupBy(F.lit("all")).applyInPandas(_in_one, "v long, label long")
     edges = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label: DataFrame | None = None

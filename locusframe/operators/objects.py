@@ -89,7 +89,7 @@ def _per_object(work, schema: str):
 def convex_hulls(member: DataFrame) -> DataFrame:
     """(object_id, n_locs, measure): hull area of each object's points (object_id, x, y)."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         return pd.DataFrame([(key[0], len(pdf), shoelace(hull_2d(pdf[["x", "y"]].to_numpy(float))))], columns=["object_id", "n_locs", "measure"])
 
     return _per_object(work, "n_locs long, measure double")(member.select("object_id", "x", "y"))
@@ -98,7 +98,7 @@ def convex_hulls(member: DataFrame) -> DataFrame:
 def convex_hulls3(member: DataFrame) -> DataFrame:
     """(object_id, n_locs, measure): hull volume of each object's points (object_id, x, y, z)."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         p = pdf[["x", "y", "z"]].to_numpy(float)
         return pd.DataFrame([(key[0], len(pdf), mesh_volume(p - p.mean(0), hull_3d(p)))], columns=["object_id", "n_locs", "measure"])
 
@@ -108,7 +108,7 @@ def convex_hulls3(member: DataFrame) -> DataFrame:
 def hull_outlines(member: DataFrame) -> DataFrame:
     """(object_id, seq, x, y): hull corners, counter-clockwise."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         h = hull_2d(pdf[["x", "y"]].to_numpy(float))
         return pd.DataFrame({"object_id": key[0], "seq": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
@@ -118,7 +118,7 @@ def hull_outlines(member: DataFrame) -> DataFrame:
 def outline_rings(outline: DataFrame) -> DataFrame:
     """(object_id, ring, seq, loc_id): outline edges (object_id, a, b) chained to polygons."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         e = list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
         link: dict[int, list[int]] = {}
         for a, b in sorted(e):
@@ -163,7 +163,7 @@ def pca_2d(member: DataFrame) -> DataFrame:
 def pca_3d(member: DataFrame) -> DataFrame:
     """(object_id, major, minor, minor2, size) of points in space."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         p = pdf[["x", "y", "z"]].to_numpy(float)
         if len(p) < 2:
             return pd.DataFrame([(key[0], 0.0, 0.0, 0.0, 0.0)], columns=["object_id", "major", "minor", "minor2", "size"])
@@ -178,7 +178,7 @@ def ellipses(member: DataFrame, axes=("x", "y")) -> DataFrame:
     """(object_id, cx, cy[, cz], semi-axes longest first) of the smallest enclosing ellipse or ellipsoid, within 1 %."""
     names = [f"c{a}" for a in axes] + [f"axis{i}" for i in range(len(axes))]
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         c, r = bounding_ellipsoid(pdf[list(axes)].to_numpy(float))
         return pd.DataFrame([(key[0], *c, *r)], columns=["object_id", *names])
 

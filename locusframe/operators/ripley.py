@@ -12,7 +12,7 @@ from .spatial import pairs_within
 
 
 def radii(lo: float = 10.0, hi: float = 200.0, step: float = 10.0) -> list[float]:
-    out, r = [], lo
+    out, r = [], float(lo)
     while r <= hi + 1e-9 * step:
         out.append(r)
         r += step

@@ -29,7 +29,7 @@ FACES = "v array<long>, measure double"
 def _faces(ids: np.ndarray, x: np.ndarray, y: np.ndarray, tri: np.ndarray) -> pd.DataFrame:
     v = np.sort(ids[tri], 1) if len(tri) else np.zeros((0, 3), np.int64)
     a = np.abs((x[tri[:, 1]] - x[tri[:, 0]]) * (y[tri[:, 2]] - y[tri[:, 0]]) - (x[tri[:, 2]] - x[tri[:, 0]]) * (y[tri[:, 1]] - y[tri[:, 0]])) / 2
-    return pd.DataFrame({"v": list(v.tolist()), "measure": a})
+    return pd.DataFrame({"v": pd.Series(v.tolist(), dtype=object), "measure": a})
 
 
 def _sorted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def _in_one(pdf: pd.DataFrame) -> pd.DataFrame:
 def _tile(side: float, halo: float):
     """Triangles of a tile that stand (kind 0), and its own points that are not done (kind 1)."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         tx, ty = key
         ids, x, y = _sorted(pdf)
         d = Delaunay2D(x, y)
@@ -65,7 +65,7 @@ def _tile(side: float, halo: float):
         todo = mine & ~is_copy & ((around != sure) | hull | (around == 0))
         f = _faces(ids, x, y, tri[stands])
         f["kind"] = 0
-        o = pd.DataFrame({"v": [[int(i)] for i in ids[todo]], "measure": 0.0, "kind": 1})
+        o = pd.DataFrame({"v": pd.Series([[int(i)] for i in ids[todo]], dtype=object), "measure": 0.0, "kind": 1})
         return pd.concat([f, o], ignore_index=True)
 
     return work
@@ -220,7 +220,7 @@ def delaunay3(locs: DataFrame) -> DataFrame:
         p, ids = pdf[["x", "y", "z"]].to_numpy(float), pdf["loc_id"].to_numpy()
         t = delaunay_3d(p)
         vol = np.abs(np.linalg.det(p[t[:, 1:]] - p[t[:, :1]])) / 6 if len(t) else np.zeros(0)
-        return pd.DataFrame({"v": np.sort(ids[t], 1).tolist(), "measure": vol})
+        return pd.DataFrame({"v": pd.Series(np.sort(ids[t], 1).tolist(), dtype=object), "measure": vol})
 
     return number_faces(locs.select("loc_id", "x", "y", "z").groupBy(F.lit("all")).applyInPandas(work, FACES))
 
@@ -267,7 +267,7 @@ def delaunay_on_sphere(locs: DataFrame, centre: tuple[float, float, float] | Non
         p = p / np.linalg.norm(p, axis=1, keepdims=True) * radius
         f = hull_3d(p)
         a = np.linalg.norm(np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]]), axis=1) / 2 if len(f) else np.zeros(0)
-        return pd.DataFrame({"v": np.sort(pdf["loc_id"].to_numpy()[f], 1).tolist(), "measure": a})
+        return pd.DataFrame({"v": pd.Series(np.sort(pdf["loc_id"].to_numpy()[f], 1).tolist(), dtype=object), "measure": a})
 
     return number_faces(locs.select("loc_id", "x", "y", "z").groupBy(F.lit("all")).applyInPandas(work, FACES))
 

