@@ -1,44 +1,19 @@
-"""What several operators need: tables in the shared folder, ranks without a hot task."""
+"""What several operators need: tables in the shared folder, components, ranks without a hot task."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..runtime import broadcast_if, fits, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="locusframe-")
-        sc.setCheckpointDir(path)
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder, so that what follows does not run it again
-    and a lost executor costs only a read. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than one beyond."""
-    return df.limit(rows + 1).count() <= rows
+__all__ = ["broadcast_if", "components", "fits", "ranked", "stash"]
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if fits(df, rows) else df
+def components(links: DataFrame) -> DataFrame:
+    """Components of links (a, b), the same way at every size: rounds over written tables."""
+    return graph.components(links, one_task=0)
 
 
 def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -63,33 +38,3 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     within = Window.partitionBy(*keys).orderBy(*order)
     return out.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_bucket", "_start", *[f"_k_{k}" for k in keys])
 
-
-def components(links: DataFrame) -> DataFrame:
-    """(v, label): each vertex of the links (a, b) and the smallest vertex of its component.
-
-    Each round hangs a vertex under its smallest neighbour, flattens the trees
-    by pointer jumping and contracts the links, which at least halves the
-    vertices that still have links. Every round is a written table.
-    """
-    edges = links.select("a", "b").where("a != b")
-    edges = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label: DataFrame | None = None
-    while not edges.isEmpty():
-        tree = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("v"), "p")
-        tree = stash(tree, "tree")
-        while True:
-            up = tree.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            higher = stash(tree.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "tree")
-            tree, moved = higher.select("v", "p"), not higher.where("moved").isEmpty()
-            if not moved:
-                break
-        if label is None:
-            label = tree.withColumnRenamed("p", "label")
-        else:
-            root = tree.select(F.col("v").alias("label"), "p")
-            label = label.join(root, "label", "left").select("v", F.coalesce("p", "label").alias("label"))
-        ends = [tree.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab"]
-        edges = edges.join(ends[0], "a").join(ends[1], "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        edges = stash(edges.distinct(), "edges")
-        label = stash(label, "labels")
-    return label if label is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
