@@ -66,8 +66,9 @@ _LOOSE = ("cookie", "advert", "sponsor", "comment", "sidebar", "footer", "naviga
 _LOOSE_CUE = ("notice", "advert", "advert", "comment", "side", "footer", "menu", "share", "share")
 
 N_TAGS, N_CUES = len(TAGS) + 1, len(CUES)
-N_NUMBERS = 10
+N_NUMBERS = 12
 WIDTH = N_TAGS + N_CUES + N_NUMBERS
+MAIN_COLUMNS = [_TAG_OF["article"], _TAG_OF["main"], N_TAGS + list(CUES).index("main")]
 #: Kinds of edges: the child is plain, a section of its own, or named by a cue.
 SECTIONING = frozenset("nav header footer aside form main article section dialog button select fieldset".split())
 KINDS = 3
@@ -239,10 +240,16 @@ class Forest:
             np.add.at(whole, self.parent[nodes], whole[nodes])
             np.add.at(whole_links, self.parent[nodes], whole_links[nodes])
         hidden = np.array([h for t in trees for h in t.hidden], float)
+        is_main = x[:, MAIN_COLUMNS].any(1)
+        inside = np.zeros(total, bool)
+        for nodes in self.levels:
+            inside[nodes] = inside[self.parent[nodes]] | is_main[self.parent[nodes]]
+        has_main = np.repeat(np.add.reduceat(is_main, roots) > 0, n) if total else is_main
         numbers = np.stack(
             [
                 np.ones(total), own > 0, np.minimum(np.log1p(own), 8) / 4, np.minimum(np.log1p(whole), 10) / 5, linked / np.maximum(own, 1),
                 whole_links / np.maximum(whole, 1), np.minimum(ends, 5) / 5, hidden, (own > 0) & (own < 30), own > 120,
+                inside, has_main & ~inside & ~is_main,
             ], 1,
         )
         x[:, N_TAGS + N_CUES :] = numbers

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import private
 from .textbuf import IS_SPACE, LOWER, TextBuf, by_slices, order_in_docs, windows
 
 # Fixed values of the line rules.
@@ -172,11 +173,10 @@ def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that pass; text as it was, judged in the same pass that hands it on."""
-    schema, names = docs.schema, docs.columns
+    schema, names, body = docs.schema, docs.columns, private(docs, "_body")
 
     def judged(cut: pa.RecordBatch) -> pa.RecordBatch:
-        bare = pa.RecordBatch.from_arrays([cut.column("_id"), cut.column("_body")], ["doc_id", "body"])
+        bare = pa.RecordBatch.from_arrays([pa.nulls(cut.num_rows, pa.int64()), cut.column(body)], ["doc_id", "body"])
         return cut.filter(measure(bare).column("kept")).select(names)
 
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_body")
-    return docs.select("*", F.lit(0).cast("long").alias("_id"), body).mapInArrow(by_slices(judged, "_body"), schema)
+    return docs.select("*", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(body)).mapInArrow(by_slices(judged, body), schema)

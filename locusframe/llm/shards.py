@@ -59,5 +59,6 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: str = SEED) -> None:
     """The rows of docs as folders shard=0, 1, ... in slot order; doc_id must be unique."""
     at = interleave(docs, shards, seed).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(at, F.col("doc_id") == F.col("_id")).drop("_id")
+    rest = [docs[c] for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.join(at, docs["doc_id"] == at["_id"]).select(*rest, at["shard"], at["slot"])
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..runtime import broadcast_if, fits, stash
 
-__all__ = ["broadcast_if", "components", "fits", "ranked", "stash"]
+__all__ = ["broadcast_if", "components", "fits", "private", "ranked", "stash"]
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -415,5 +415,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """docs, all columns, with the repeated passages cut from the texts; a text may become empty."""
-    wide = with_spans(docs, length, hot, "text")
-    return wide.mapInArrow(by_slices(rewrite(docs.columns, "text"), "_body"), docs.schema)
+    # Columns are numbered on the way, so that none of the operator's own names can clash with theirs.
+    plain = {"doc_id": "doc_id", "text": "text"}
+    names = [plain.get(c, f"column {i}") for i, c in enumerate(docs.columns)]
+    numbered = docs.toDF(*names)
+    wide = with_spans(numbered, length, hot, "text")
+    return wide.mapInArrow(by_slices(rewrite(names, "text"), "_body"), numbered.schema).toDF(*docs.columns)

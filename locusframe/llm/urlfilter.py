@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if
 
 BROADCAST_ROWS = 500_000
+#: Columns that are added; captures' own columns of these names are replaced.
+OUTPUT = ("host", "blocked", "n_active", "entry", "list_name")
 # Fixed patterns of a URL's host and path.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -59,10 +61,10 @@ def filter_captures(captures: DataFrame, history: DataFrame, id_col: str, url_co
     per = found.groupBy("_id", "_url", "_at").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
     on = captures[id_col].eqNullSafe(per["_id"]) & captures[url_col].eqNullSafe(per["_url"]) & captures[time_col].eqNullSafe(per["_at"])
     return captures.join(per, on, "left").select(
-        *[captures[c] for c in captures.columns],
+        *[captures[c] for c in captures.columns if c not in OUTPUT],
         F.coalesce(host(captures[url_col]), F.lit("")).alias("host"),
-        F.col("n").isNotNull().alias("blocked"),
-        F.coalesce("n", F.lit(0)).alias("n_active"),
-        F.col("best.entry").alias("entry"),
-        F.col("best.list_name").alias("list_name"),
+        per["n"].isNotNull().alias("blocked"),
+        F.coalesce(per["n"], F.lit(0)).alias("n_active"),
+        per["best"]["entry"].alias("entry"),
+        per["best"]["list_name"].alias("list_name"),
     )
