@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import plugins
-from ..operators import coloc, fit, graph, objects, ripley, roi, select, spatial, stats, tess, tracks
+from ..operators import coloc, fit, graph, objects, overlap, ripley, roi, select, spatial, stats, tess, tracks
 from ..runtime import stash
 from ..sources import files
 from . import macro
@@ -740,6 +740,26 @@ def voronoi_colocalization(spark, sf_dir):
     return rounded(coloc.manders(classed).join(coloc.class_counts(classed), "color").join(coloc.spearman(paired, "d1", "d2"), "color"), "manders", "rho")
 
 
+@query()
+def object_colocalization(spark, sf_dir):
+    """Overlaps of Delaunay objects of two colours; tests check known squares."""
+    p = pts(spark, sf_dir)
+    r = radius(p, 14.0)
+    one, two = [overlap.sampled_objects(p.where(F.col("color") == k).select("loc_id", "x", "y"), r, min_locs=8) for k in ("F", "O")]
+    return rounded(overlap.object_colocalization(one, two, step=r / 4)["overlaps"], "measure")
+
+
+@query()
+def polygon_intersections(spark, sf_dir):
+    """Hulls of two colours in coarse tiles, clipped against each other."""
+    def hulls(k):
+        m = pts(spark, sf_dir).where(F.col("color") == k).select((F.floor(F.col("x") / 40) * 1000 + F.floor(F.col("y") / 40)).alias("object_id"), "x", "y")
+        h = objects.hull_outlines(m).groupBy(F.col("object_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda e: F.struct(e.x.alias("x"), e.y.alias("y"))).alias("pts"))
+        return stash(h.where(F.size("pts") > 2), "hulls")
+
+    return overlap.polygon_intersections(hulls("F"), hulls("O"), 40.0).select("id1", "id2", r6("measure").alias("measure"))
+
+
 _BOXED = f"{PTS}, m AS (SELECT CAST(floor(x / 50) AS BIGINT) * 1000 + CAST(floor(y / 50) AS BIGINT) AS object_id, x, y, loc_id FROM pts)"
 
 

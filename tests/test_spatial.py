@@ -156,6 +156,27 @@ def test_objects_of_two_blobs(spark):
     assert {r["measure"] for r in hulls} == {9.0}
 
 
+def test_overlap_of_two_squares(spark):
+    from locusframe.operators import overlap
+
+    g = np.array([[i, j] for i in range(5) for j in range(5)], float)
+    one = overlap.sampled_objects(cloud(spark, np.vstack([g, g + 100])), 2.0)
+    two = overlap.sampled_objects(cloud(spark, np.vstack([g + np.array([2.0, 1.0]), g + 300])), 2.0)
+    got = overlap.object_colocalization(one, two)["overlaps"].collect()
+    assert [(r["overlap_id"], r["object1"], r["object2"]) for r in got] == [(1, 1, 1)] and got[0]["measure"] == pytest.approx(6)
+
+
+def test_polygons_clip(spark):
+    from locusframe.operators import overlap
+
+    square = lambda x, y: [(x, y), (x + 4.0, y), (x + 4.0, y + 4.0), (x, y + 4.0)]
+    schema = "id long, pts array<struct<x:double,y:double>>"
+    one = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(50.0, 0.0))], schema)
+    two = spark.createDataFrame([(7, square(2.0, 1.0)), (8, square(200.0, 0.0))], schema)
+    got = overlap.polygon_intersections(one, two, 3.0).collect()
+    assert [(r["id1"], r["id2"], r["measure"]) for r in got] == [(1, 7, 6.0)]
+
+
 def test_alpha_of_one_piece(spark):
     g = np.array([[i, j] for i in range(5) for j in range(5)], float)
     df = cloud(spark, g)
