@@ -8,8 +8,9 @@ dice = 2 * common / (bigrams of unit + bigrams of template).
 Size bounds prune first: a dice of t needs a unit of between t / (2 - t) and
 (2 - t) / t times the template's bigrams, so only units within the bounds of
 some template are cut into bigrams at all, and a bigram meets only templates
-whose bounds hold for its unit. A unit and a template without a common bigram
-never meet. Templates are a fixed list of known size, so they are broadcast.
+whose bounds hold for its unit. Before any text is cut, units without one of the
+words that every match must hold are passed over. A unit and a template without
+a common bigram never meet. Templates are a fixed list of known size, so they are broadcast.
 
 Null or blank text, and units with one word, match nothing. One row comes out
 for each row in.
@@ -17,6 +18,8 @@ for each row in.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,29 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return t.select("template", "licence", F.size("grams").alias("n_template"), F.explode("grams").alias("gram"))
 
 
+def telling_words(templates, threshold: float) -> list[str]:
+    """Words of which a unit holds one at least if it matches any template.
+
+    A match holds t / (2 - t) of a template's bigrams, so of a few more than
+    the rest of them one must be there, and with it its words. For each
+    template, long words are chosen until they touch so many bigrams.
+    """
+    import re
+
+    out: set[str] = set()
+    for _, text in templates:
+        w = [x for x in re.split(PARTS, text.lower()) if x]
+        grams = set(zip(w, w[1:], strict=False))
+        want = int(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9) + 1
+        touched: set[tuple[str, str]] = set()
+        for word in sorted(set(w), key=lambda x: (x not in out, -min(len(x), 8), -sum(x in g for g in grams), x)):
+            if len(touched) >= want:
+                break
+            touched |= {g for g in grams if word in g}
+            out.add(word)
+    return sorted(out)
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_units (that match), licence, dice, line (0: the whole text, -1: no match), of the best match."""
     table = template_table(docs.sparkSession, templates)
@@ -66,11 +92,13 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
-    unit = docs.select("doc_id", key.alias("key"), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
+    telling = telling_words(templates, threshold)
+    may = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in telling])
+    unit = docs.where(may(text)).select("doc_id", key.alias("key"), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
     # A unit of n bigrams has more than n words, each with a letter at least and a gap: a bound without cutting words.
     longest = max(sizes) * high
     shortest = min(sizes) * low
-    unit = unit.where(F.length("unit") >= 2 * shortest)
+    unit = unit.where((F.length("unit") >= 2 * shortest) & may(F.col("unit")))
     cut = unit.select("key", "line", words(F.col("unit")).alias("w")).where(F.size("w") - 1 >= shortest)
     cut = cut.select("key", "line", bigrams(F.col("w")).alias("g")).withColumn("n", F.size("g")).where((F.col("n") >= shortest) & (F.col("n") <= longest))
     gram = cut.select("key", "line", "n", F.explode("g").alias("gram"))
