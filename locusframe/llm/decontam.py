@@ -25,9 +25,8 @@ SIZE = 10
 #: Windows of the benchmark are broadcast up to so many; beyond, all joins shuffle.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Fixed patterns: what parts words after folding, and a word before it.
+# Fixed pattern: what parts words after folding.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -80,7 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     hit = found.select("key", place).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.select("key", F.explode("item_ids").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     marks = hit.join(items, "key")
-    out = docs.select("doc_id", "key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    out = docs.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = out.join(marks, "key", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -98,4 +97,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) ->
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     found = occurrences(docs.select(key.alias("key"), "text"), benchmark, size).select("key").distinct()
     bad = stash(found, "contaminated").withColumnRenamed("key", "_key")
-    return docs.join(bad.hint("shuffle_hash"), key == F.col("_key"), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), key == bad["_key"], "left_anti")
