@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b; null where b is zero."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
 # --- features -------------------------------------------------------------------------------
 
 
@@ -46,7 +51,7 @@ def log_view(c: Column | str) -> Column:
 
 def normalise(c: Column, lo: Column, hi: Column, top: float) -> Column:
     """(v - min) / (max - min) * top, as for 8-bit, 16-bit and float images."""
-    return (c - lo) / (hi - lo) * F.lit(float(top))
+    return over(c - lo, hi - lo) * F.lit(float(top))
 
 
 def rotate(x: Column, y: Column, cx: Column, cy: Column, angle: float) -> Point:
@@ -211,7 +216,7 @@ def rect_in_circle(c: Point, r: Column, x0: Column, y0: Column, x1: Column, y1:
 def closest_on_line(p: Point, a: Point, b: Point) -> Point:
     """Foot of p on the line through a and b."""
     dx, dy = b[0] - a[0], b[1] - a[1]
-    t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)
+    t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) * over(F.lit(1.0), dx * dx + dy * dy)
     return a[0] + t * dx, a[1] + t * dy
 
 
@@ -231,7 +236,7 @@ def line_at(x: Column, a: Point, b: Point) -> Column:
 def point_at(a: Point, b: Point, d: Column) -> Point:
     """The point at distance d from a towards b."""
     n = distance(a, b)
-    return a[0] + (b[0] - a[0]) * d / n, a[1] + (b[1] - a[1]) * d / n
+    return a[0] + over((b[0] - a[0]) * d, n), a[1] + over((b[1] - a[1]) * d, n)
 
 
 # --- rounding, colours, strings -------------------------------------------------------------

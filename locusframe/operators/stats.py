@@ -134,7 +134,7 @@ def average_density(df: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFram
         w = F.ceil(F.max(a)) - F.floor(F.min(a))
         size = w if size is None else size * w
     return df.agg(F.count(F.lit(1)).alias("n"), size.cast("double").alias("box")).select(
-        "n", "box", (F.col("n") / F.col("box")).alias("density"), (F.col("box") / F.col("n")).alias("per_loc")
+        "n", "box", F.try_divide(F.col("n").cast("double"), F.col("box")).alias("density"), F.try_divide(F.col("box"), F.col("n").cast("double")).alias("per_loc")
     )
 
 
@@ -191,14 +191,14 @@ def cumulative(hist: DataFrame) -> DataFrame:
     """A histogram with its running share of the total; histograms have few rows."""
     w = Window.partitionBy(F.lit(0)).orderBy("bin")
     total = F.sum("count").over(Window.partitionBy(F.lit(0)))
-    return hist.withColumn("cdf", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total)
+    return hist.withColumn("cdf", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.greatest(total, F.lit(1)))
 
 
 def probability(hist: DataFrame) -> DataFrame:
     """A histogram as a density: count / (n * distance to the next centre)."""
     w = Window.partitionBy(F.lit(0)).orderBy("bin")
     gap = F.coalesce(F.lead("centre").over(w) - F.col("centre"), F.col("centre") - F.lag("centre").over(w))
-    return hist.withColumn("pdf", F.col("count") / (F.sum("count").over(Window.partitionBy(F.lit(0))) * gap))
+    return hist.withColumn("pdf", F.try_divide(F.col("count").cast("double"), F.sum("count").over(Window.partitionBy(F.lit(0))) * gap))
 
 
 def first_crossing(curve: DataFrame, measured: str, model: str, at: str = "centre") -> DataFrame:
