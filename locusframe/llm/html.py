@@ -114,6 +114,8 @@ def _read_attrs(attrs: str) -> tuple[frozenset[int], bool]:
         elif name in ("class", "id", "role"):
             cues.update(_CUE_OF[w] for w in _WORDS.findall(value) if w in _CUE_OF)
             cues.update(names.index(c) for w, c in zip(_LOOSE, _LOOSE_CUE, strict=True) if w in value)
+    if len(cues) > 1:
+        cues.discard(names.index("main"))  # "sponsored-content", "comment-body": the other word tells
     return frozenset(cues), hidden
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import broadcast_if, stash
 from .textbuf import TextBuf, U, binary_parts, by_slices, powers
 
 LENGTH = 100
@@ -96,6 +96,11 @@ def _pieces(cut: pa.RecordBatch, length: int):
 
 
 def find_blocks(length: int):
+    """One row for each block; of equal blocks in a batch the earliest, with the places of the others in ``more``.
+
+    Copies and texts that repeat themselves are so put together before the shuffle.
+    """
+
     def work(cut: pa.RecordBatch) -> pa.RecordBatch:
         got = []
         for buf, ids, base in _pieces(cut, length):
@@ -103,8 +108,17 @@ def find_blocks(length: int):
             same = buf.span_hash(s, s + n) + d.astype(np.uint64)
             start = s - buf.off[doc] + base[doc]
             got.append((ids[doc], h.view(np.int64), same.view(np.int64), (start << 16) | (n << 8) | d))
-        cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["doc_id", "key", "same", "place"])
+        doc, key, same, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((place, doc, same, key))
+        doc, key, same, place = doc[order], key[order], same[order], place[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(key))) - 1
+        rest = np.stack([doc[~new], place[~new]], 1).astype("<i8")
+        to = np.concatenate(([0], np.cumsum(size * 16))).astype(np.int32)
+        more = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(rest))])
+        cols = [pa.array(x[new]) for x in (doc, key, same, place)]
+        return pa.RecordBatch.from_arrays([*cols, more], ["doc_id", "key", "same", "place", "more"])
 
     return by_slices(work, "body")
 
@@ -133,8 +147,10 @@ def scan(batches):
             i = int(np.searchsorted(gid, gid[-1]))
             pending = (doc[i], place[i], k[i]) if reps[gid[-1]] == 1 else None
         key, same = k[-1], c[-1]
-        cols = [np.append(~rep[out], np.zeros(len(extra), bool))]
-        cols += [np.append(x[out], np.array([e[j] for e in extra], np.int64)) for j, x in enumerate((doc, place, k))]
+        more = np.frombuffer(binary_parts(batch.column("more"))[0].tobytes(), "<i8").reshape(-1, 2).astype(np.int64)
+        cols = [np.concatenate((~rep[out], np.zeros(len(extra), bool), np.ones(len(more), bool)))]
+        rest = (more[:, 0], more[:, 1], np.zeros(len(more), np.int64))
+        cols += [np.concatenate((x[out], np.array([e[j] for e in extra], np.int64), rest[j])) for j, x in enumerate((doc, place, k))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
 
 
@@ -379,12 +395,15 @@ def with_spans(docs: DataFrame, length: int, hot: int, text_col: str) -> DataFra
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     wide = docs.withColumn("_body", body).withColumn("_key", key).drop(text_col)
     found = docs.select(key.alias("doc_id"), body.alias("body"))
-    found = found.mapInArrow(find_blocks(length), "doc_id long, key long, same long, place long")
+    found = found.mapInArrow(find_blocks(length), "doc_id long, key long, same long, place long, more binary")
     found = found.repartition("key").sortWithinPartitions("key", "same", "doc_id", "place")
     seen = stash(found.mapInArrow(scan, "full boolean, doc_id long, place long, key long"), "blocks")
     candidates = seen.where("not full")
     hot_keys = candidates.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
-    candidates = candidates.join(hot_keys, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    any_hot = not hot_keys.isEmpty()
+    if any_hot:
+        candidates = candidates.join(broadcast_if(hot_keys, 1_000_000), "key", "left")
+    candidates = candidates.withColumn("hot", F.coalesce("hot", F.lit(False)) if any_hot else F.lit(False))
     spots = candidates.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("place", "key", "hot")).alias("spots"))
     cut = cut_out(length)
 
@@ -396,7 +415,7 @@ def with_spans(docs: DataFrame, length: int, hot: int, text_col: str) -> DataFra
     out = "doc_id long, start long, size long"
     cold = taken.where("not hot").repartition("key").sortWithinPartitions("key", "doc_id", "start")
     spans = cold.mapInArrow(sort_runs(length), out)
-    if not hot_keys.isEmpty():
+    if any_hot:
         dealt = taken.where("hot").repartition("key", "body").sortWithinPartitions("key", "body", "doc_id", "start")
         spans = spans.unionByName(dealt.mapInArrow(compare_neighbours(length), out))
     place = F.col("place")

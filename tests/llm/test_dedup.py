@@ -145,7 +145,8 @@ def test_pieces_of_a_long_text(docs_of, monkeypatch):
     small = [b for b in suffix.find_blocks(100)(iter([cut]))][0].to_pandas()
     monkeypatch.setattr(suffix, "PIECE", 1 << 22)
     whole = [b for b in suffix.find_blocks(100)(iter([cut]))][0].to_pandas()
-    covered = lambda d: {(p >> 16) + k for p in d["place"] for k in range((p >> 8 & 255) - 99)}
+    places = lambda d: [*d["place"], *np.frombuffer(b"".join(d["more"]), "<i8")[1::2].tolist()]
+    covered = lambda d: {(p >> 16) + k for p in places(d) for k in range((p >> 8 & 255) - 99)}
     assert covered(small) == covered(whole) == set(range(5901))
 
 
