@@ -40,7 +40,9 @@ def k_function(locs: DataFrame, lo: float = 10.0, hi: float = 200.0, step: float
     box = (math.floor(x0), math.floor(y0), math.ceil(x1), math.ceil(y1))
     density = n / ((box[2] - box[0]) * (box[3] - box[1]))
     near = pairs_within(locs, locs, rs[-1], strict=True).where("a != b")
-    first = F.array_position(F.transform(F.array(*map(F.lit, rs)), lambda r: F.col("d2") < r * r), F.lit(True)).cast("int") - 1
+    first = F.when(F.col("d2") < rs[0] ** 2, 0)  # one generated expression, no array for each pair
+    for i, r in enumerate(rs[1:], 1):
+        first = first.when(F.col("d2") < r**2, i)
     per = stash(near.select("a", first.alias("ring")).groupBy("a", "ring").agg(F.count(F.lit(1)).alias("c")), "rings")
     grid = F.explode(F.sequence(F.col("ring"), F.lit(len(rs) - 1))).alias("i")
     within = per.select("a", "c", grid).groupBy("a", "i").agg(F.sum("c").alias("c"))

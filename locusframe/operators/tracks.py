@@ -161,14 +161,19 @@ def link_frames(locs: DataFrame, radius: float = 50.0, max_dark: int = 10) -> Da
     block = clusters(p, stash(links.select("a", "b"), "links"))
     with_block = stash(p.join(block, "loc_id"), "blocks")
 
-    # Many blocks to a task: a call for each of millions of small groups costs more than the linking.
-    parts = max(1, min(4096, 1 + with_block.count() // 2000))
+    # A block of one point is an emitter by itself. The others are dealt out many to a task and linked
+    # together: points of different blocks are never near enough to be taken for one another.
+    size = with_block.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sized = stash(with_block.join(size, "cluster"), "sized")
+    parts = max(1, min(4096, 1 + sized.where("n > 1").count() // 2000))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [_link_block(block, radius, max_dark) for _, block in pdf.groupby("cluster", sort=False)]
-        return pd.concat(out, ignore_index=True)
+        return _link_block(pdf, radius, max_dark)
 
-    return with_block.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts))).groupBy("part").applyInPandas(work, "loc_id long, emitter_id long")
+    many = sized.where("n > 1").withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts))).select("part", "loc_id", "x", "y", "frame")
+    linked = many.groupBy("part").applyInPandas(work, "loc_id long, emitter_id long")
+    alone = sized.where("n = 1").select(F.col("loc_id").cast("long").alias("loc_id"), F.col("loc_id").cast("long").alias("emitter_id"))
+    return linked.unionByName(alone)
 
 
 def merged_features(locs: DataFrame, links: DataFrame) -> DataFrame:

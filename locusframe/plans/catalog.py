@@ -555,22 +555,26 @@ def link_totals(spark, sf_dir):
 # --- spatial correlation --------------------------------------------------------------------
 
 
-@query(f"""WITH {PTS}, r AS (SELECT i + 1 AS i, (i + 1) * 5.0 AS radius FROM range(8) t(i)), s AS (SELECT count(*) AS n, (ceil(max(x)) - floor(min(x))) * (ceil(max(y)) - floor(min(y))) AS box FROM pts),
-d AS (SELECT (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM pts a JOIN pts b ON abs(a.x - b.x) < 40 AND abs(a.y - b.y) < 40 AND a.loc_id <> b.loc_id),
+@query(f"""WITH {PTS}, r AS (SELECT (i + 1) * {R10} / 2 AS radius FROM range(8) t(i)), s AS (SELECT count(*) AS n, (ceil(max(x)) - floor(min(x))) * (ceil(max(y)) - floor(min(y))) AS box FROM pts),
+d AS (SELECT (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM pts a JOIN pts b ON abs(a.x - b.x) < 4 * {R10} AND abs(a.y - b.y) < 4 * {R10} AND a.loc_id <> b.loc_id),
 k AS (SELECT radius, (SELECT count(*) FROM d WHERE d2 < radius * radius) / (n / box) / n AS k FROM r, s)
-SELECT radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
+SELECT round(radius, 6) AS radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
 def ripley_uncorrected(spark, sf_dir):
-    return ripley.k_function(pts(spark, sf_dir), 5.0, 40.0, 5.0, corrected=False).select("radius", F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
+    p = pts(spark, sf_dir)
+    r = radius(p, 5.0)
+    return ripley.k_function(p, r, 8 * r, r, corrected=False).select(r6("radius").alias("radius"), F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
 
 
-@query(f"""WITH {PTS}, s AS (SELECT count(*) AS n, floor(min(x)) AS x0, ceil(max(x)) AS x1, floor(min(y)) AS y0, ceil(max(y)) AS y1 FROM pts), r AS (SELECT (i + 1) * 5.0 AS radius FROM range(4) t(i)),
-d AS (SELECT a.loc_id, any_value(a.x) AS x, any_value(a.y) AS y, radius, count(*) AS c FROM pts a JOIN pts b ON abs(a.x - b.x) < 20 AND abs(a.y - b.y) < 20 AND a.loc_id <> b.loc_id JOIN r ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < radius * radius GROUP BY a.loc_id, radius),
+@query(f"""WITH {PTS}, s AS (SELECT count(*) AS n, floor(min(x)) AS x0, ceil(max(x)) AS x1, floor(min(y)) AS y0, ceil(max(y)) AS y1 FROM pts), r AS (SELECT (i + 1) * {R10} / 2 AS radius FROM range(4) t(i)),
+d AS (SELECT a.loc_id, any_value(a.x) AS x, any_value(a.y) AS y, radius, count(*) AS c FROM pts a JOIN pts b ON abs(a.x - b.x) < 2 * {R10} AND abs(a.y - b.y) < 2 * {R10} AND a.loc_id <> b.loc_id JOIN r ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < radius * radius GROUP BY a.loc_id, radius),
 e AS (SELECT radius, c, n, x1, x0, y1, y0, least(x - x0, x1 - x) AS dx, least(y - y0, y1 - y) AS dy FROM d, s),
 a AS (SELECT *, CASE WHEN dx < radius THEN acos(least(dx / radius, 1)) ELSE 0 END AS ax, CASE WHEN dy < radius THEN acos(least(dy / radius, 1)) ELSE 0 END AS ay FROM e),
 k AS (SELECT radius, sum(2 * pi() / greatest(2 * pi() - CASE WHEN dx * dx + dy * dy < radius * radius THEN pi() / 2 + ax + ay ELSE 2 * (ax + ay) END, 1e-9) * c) / any_value(n / ((x1 - x0) * (y1 - y0))) / any_value(n) AS k FROM a GROUP BY radius)
-SELECT radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
+SELECT round(radius, 6) AS radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
 def ripley_corrected(spark, sf_dir):
-    return ripley.k_function(pts(spark, sf_dir), 5.0, 20.0, 5.0).select("radius", F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
+    p = pts(spark, sf_dir)
+    r = radius(p, 5.0)
+    return ripley.k_function(p, r, 4 * r, r).select(r6("radius").alias("radius"), F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
 
 
 # --- colocalization -------------------------------------------------------------------------
