@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest doc_id."""
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_id"], "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

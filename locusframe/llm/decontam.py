@@ -10,7 +10,7 @@ join runs on these tokens. A hit at some place fixes where the window would
 begin; that start must lie in the document with the whole window after it
 (positional and length bounds), and the words there must equal the window's.
 
-Null text has no words. A null doc_id is a document of its own name; rows that
+Null text has no words; a null item_id counts as the empty string. A null doc_id is a document of its own name; rows that
 repeat a doc_id are taken as copies of one document.
 """
 
@@ -38,7 +38,7 @@ def words(text: Column) -> Column:
 
 def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """(window_id, tokens, item_ids): distinct windows and the items they belong to, as strings."""
-    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
     cut = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w.w, i + 1, size))).alias("tokens"))
     out = cut.groupBy("tokens").agg(F.collect_set("item_id").alias("item_ids"))

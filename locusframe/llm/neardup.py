@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id: the smallest doc_id with an equal set; component_id: the smallest one reachable over links.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    no_id = F.lit(-(2**63))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     schema = "doc_id long, n_shingles long, set_a long, set_b long, regs binary"
     sk = stash(docs.mapInArrow(by_slices(sketch, "body"), schema), "sketches")
     full = sk.where("n_shingles > 0")
@@ -268,4 +269,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sk.select("doc_id", "n_shingles").where("n_shingles = 0").withColumn("class_id", F.col("doc_id")).unionByName(member)
     out = out.join(at("class_id", "label"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: F.nullif(F.col(c), no_id) for c in ("doc_id", "class_id", "component_id")})

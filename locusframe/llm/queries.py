@@ -104,6 +104,22 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+_OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, CAST(2 * p + 1 AS BIGINT), 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+mark AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER o + 100 OR lag(p) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM again WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+island AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM island GROUP BY 1, 2),
+cut AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+kept AS (SELECT doc_id, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS y FROM cut JOIN d USING (doc_id) GROUP BY 1),
+per AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS spans, max(b) AS last FROM span GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE y || substr(x, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import interleave
 
@@ -169,6 +185,20 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+cls AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(list_sort(s), '|')) END AS class_id FROM sets),
+g AS (SELECT doc_id, n, unnest(s) AS g FROM cls WHERE doc_id = class_id),
+joint AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM joint WHERE 100 * c >= 75 * (na + nb - c)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(root, v) AS (SELECT doc_id, doc_id FROM cls WHERE doc_id = class_id UNION SELECT root, e.b FROM reach JOIN e ON v = e.a),
+comp AS (SELECT v, min(root) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, class_id, component_id, doc_id = component_id AS kept FROM cls JOIN comp ON v = class_id
+"""
+
 #: A blocklist's history for the query: list, entry, action, day since. Pages carry no fetch time, so
 #: the query takes 2024-01-01 plus page_id modulo 731 days.
 HISTORY = (
@@ -218,4 +248,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_license_scan": _op2_sql(), "op10_url_asof": _op10_sql(), "op5_interleaved_shards": _OP5_SQL, "op8_prefix_decontam": _OP8_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op2_license_scan": _op2_sql(), "op10_url_asof": _op10_sql(), "op4_suffix_dedup": _OP4_SQL, "op5_interleaved_shards": _OP5_SQL, "op9_hyperminhash": _OP9_SQL, "op8_prefix_decontam": _OP8_SQL}

@@ -56,3 +56,22 @@ def test_stages_keep_columns(spark, sf):
     empty = docs.limit(0)
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
     assert TOKENIZER
+
+
+def test_every_operator_takes_null_ids(spark, sf):
+    from locusframe.llm import decontam, langid, licenses, neardup, packing, quality, shards, suffix
+
+    rows = [(None, "some words of a text that has an id of null " * 8, None, None, None), (3, None, None, None, None), (4, "some words of a text that has an id of null " * 8, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(None, "some words of a text that has an id of null some"), (2, None)], "item_id long, text string")
+    near = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    assert near[None]["kept"] and near[3]["kept"] and not near[4]["kept"] and near[4]["component_id"] is None
+    gone = {r["doc_id"]: r["n_removed"] == r["n_bytes"] for r in suffix.repeated_passages(docs).collect()}
+    assert gone == {None: False, 3: True, 4: True}
+    assert {r["doc_id"]: r["contaminated"] for r in decontam.contamination(docs, bench).collect()} == {None: True, 3: False, 4: True}
+    for out in (quality.quality_rules(docs), licenses.scan_licenses(docs), shards.interleave(docs), langid.identify(docs), packing.pack(docs, TOKENIZER)):
+        assert {r["doc_id"] for r in out.collect()} == {None, 3, 4}
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).collect()
+    kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert {r["doc_id"] for r in kept} == {None, 3}
