@@ -88,7 +88,8 @@ def train(sample: np.ndarray, lang: np.ndarray) -> tuple[list[str], np.ndarray,
     weight = 1 / np.sqrt(np.array([(lang == n).sum() for n in lang]))[:, None]  # languages count alike
     mean, target = np.average(phi, 0, weight[:, 0]), np.average(y, 0, weight[:, 0])
     a, b = (phi - mean) * weight, (y - target) * weight
-    w = np.linalg.solve(a.T @ a + RIDGE * np.trace(a.T @ a) / a.shape[1] * np.eye(a.shape[1]), a.T @ b)
+    ridge = RIDGE * np.trace(a.T @ a) / a.shape[1] + 1e-9
+    w = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
     return names, (mark.T @ (white @ w)).astype(np.float32), target - mean @ w
 
 
