@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import broadcast_if
 from .textbuf import LOWER, TextBuf, U, slices
 
 #: Bound of the training sample: labelled rows for each language, and languages.
 SAMPLE = 400
 LANGUAGES = 64
 LANDMARKS = 160
+#: Parts of hashes by which the sample is found.
+PARTS = 1 << 16
 RIDGE = 1e-2
 #: Hashed profile sizes, as bits, of n = 1, 2, 3.
 BITS = (8, 13, 14)
@@ -134,8 +137,15 @@ def identify(docs: DataFrame) -> DataFrame:
     )
     h = F.xxhash64(F.lit("sample"), "doc_id")
     learn = rows.where("not held_out and lang is not null and octet_length(body) > 0").select("doc_id", "lang", h.alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = learn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("doc_id", "lang")
+    # The rows of smallest hash: counts of hash parts tell how many parts reach the sample's size, so that only
+    # a few rows of a language are ranked, however many it has.
+    learn = learn.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    counts = learn.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = counts.withColumn("b", F.coalesce(before, F.lit(0))).where(F.col("b") < SAMPLE).select("lang", "part")
+    few = learn.join(broadcast_if(parts, SAMPLE * LANGUAGES), ["lang", "part"], "left_semi")
+    order = Window.partitionBy("lang").orderBy("part", "h", "doc_id")
+    picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("doc_id", "lang")
     picked = F.broadcast(picked.orderBy("lang", "doc_id").limit(SAMPLE * LANGUAGES))  # a bound of ids
     got = rows.where("not held_out").join(picked, ["doc_id", "lang"], "left_semi").withColumn("h", h)
     got = got.select("lang", "h", "body").mapInArrow(profile_rows, "lang string, h long, grams array<int>")
