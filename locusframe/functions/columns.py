@@ -193,7 +193,7 @@ def circle_segment_hits(c: Point, r: Column, a: Point, b: Point) -> Column:
     qa, qb, qc = dx * dx + dy * dy, 2 * (fx * dx + fy * dy), fx * fx + fy * fy - r * r
     disc = qb * qb - 4 * qa * qc
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    ts = F.array((-qb - root) / (2 * qa), (-qb + root) / (2 * qa))
+    ts = F.array((-qb - root) / (2 * qa) + 0.0, (-qb + root) / (2 * qa) + 0.0)  # no negative zero beside zero
     inside = F.filter(F.array_distinct(ts), lambda t: (t >= 0) & (t <= 1))
     hits = F.transform(inside, lambda t: F.struct((a[0] + t * dx).alias("x"), (a[1] + t * dy).alias("y")))
     return F.when((disc >= 0) & (qa > 0), hits).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
