@@ -30,7 +30,7 @@ SAMPLE = 400
 LANGUAGES = 64
 LANDMARKS = 160
 #: Parts of hashes by which the sample is found.
-PARTS = 1 << 16
+PARTS = 1 << 12
 RIDGE = 1e-2
 #: Hashed profile sizes, as bits, of n = 1, 2, 3.
 BITS = (8, 13, 14)
