@@ -155,6 +155,7 @@ def regularise_sectors(locs: DataFrame, cx: float, cy: float, cz: float, steps:
     return locs.groupBy(az, po).agg(*[F.avg(a).alias(a) for a in "xyz"], F.count(F.lit(1)).alias("n")).drop("ka", "kp")
 
 
+# Names of the modes.
 NORMALISATIONS = (
     "Norm-Self", "Norm-FirstDiff", "Norm-MaxDiff", "Norm-MinDiff", "Norm-Diff", "Diff-Norm", "Raw-Differences", "Norm-Diffs-Only-NoRescale", "Raw-Distances",
 )
