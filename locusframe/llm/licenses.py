@@ -12,6 +12,13 @@ whose bounds hold for its unit. Before any text is cut, units without one of the
 words that every match must hold are passed over. A unit and a template without
 a common bigram never meet. Templates are a fixed list of known size, so they are broadcast.
 
+A document without a matching unit is searched for the best window of
+consecutive words, across lines and inside them, against the templates and the
+texts of licence_texts. A window starts where a run of pairs shared with the
+template starts, as a shared pair more to the left never lowers the dice, and
+ends at a shared pair. Only documents that hold enough of a template's pairs
+within a window's reach are measured.
+
 Null or blank text, and units with one word, match nothing. One row comes out
 for each row in.
 """
@@ -20,9 +27,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .licence_texts import BODIES, OPENINGS
+
 THRESHOLD = 0.9
 # Licence notices and short licences.
 TEMPLATES = (
@@ -48,10 +57,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), PARTS), "")
 
 
+def pairs(w: Column) -> Column:
+    """Pairs of neighbouring words."""
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(w: Column) -> Column:
     """Distinct pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(pairs(w))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -84,16 +97,75 @@ def telling_words(templates, threshold: float) -> list[str]:
     return sorted(out)
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """doc_id, n_units (that match), licence, dice, line (0: the whole text, -1: no match), of the best match."""
+def holds_any(found: list[str]):
+    """Whether a text contains one of the words; a word that holds another one is not looked for."""
+    short = [w for w in found if not any(v != w and v in w for v in found)]
+    return lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in short])
+
+
+def best_windows(docs: DataFrame, threshold: float, templates) -> DataFrame:
+    """key, n_units, best (dice, minus_line, minus_template, licence): the best window of each document's words.
+
+    docs: (key, text). n_units counts the lines in which templates' best windows start; a line counts from 1.
+    """
+    spark = docs.sparkSession
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, licence string, body string").withColumn("all", pairs(words(F.col("body"))))
+    t = t.withColumn("grams", F.array_distinct("all")).withColumn("n_template", F.size("grams"))
+    # A window holds (dice * template) / (2 - dice) of the template's pairs at least; twice its bound of distinct pairs leaves room for repeats.
+    need, reach = F.ceil(low * F.col("n_template") - 1e-9).cast("int"), F.floor(2 * high * F.size("all")).cast("int")
+    t = t.select("template", "licence", "n_template", need.alias("need"), reach.alias("reach"), F.explode("grams").alias("gram"))
+    docs = docs.where(holds_any(telling_words(templates, threshold))(F.col("text"))).withColumn("h", F.xxhash64("text"))
+    at = lambda d: d.select("key", "h", F.posexplode(pairs(words(F.col("text")))).alias("pos", "gram"))
+    by = ["key", "h", "template", "licence", "n_template", "need", "reach"]
+    hits = at(docs).join(F.broadcast(t), "gram").groupBy(*by).agg(F.sort_array(F.collect_set("pos")).alias("hits"), F.countDistinct("gram").alias("n_common"))
+    hits = hits.where(F.col("n_common") >= F.col("need"))
+    hit, n = F.col("hits"), F.size("hits")
+    before = lambda a: F.when(a > 0, F.get(hit, a - 1) == F.get(hit, a) - 1).otherwise(F.lit(False))
+    dense = lambda x, a: (F.get(hit, a + F.col("need") - 1) < x + F.col("reach")) & ~before(a)
+    hits = hits.withColumn("starts", F.filter(hit, dense)).where(F.size("starts") > 0)
+    some = docs.join(hits.select("key", "h").distinct(), ["key", "h"], "left_semi")
+    # For each pair the place of its last copy: it is the first in a window that starts behind that.
+    prev = F.coalesce(F.lag("pos").over(Window.partitionBy("key", "h", "gram").orderBy("pos")), F.lit(-1))
+    prev = at(some).distinct().withColumn("prev", prev).groupBy("key", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "prev")))["prev"].alias("prev"))
+    sizes = some.select("key", "h", F.transform(F.split("text", "\n"), lambda x: F.size(words(x))).alias("sizes")).distinct()
+    p = F.col("prev")
+
+    def measured(s: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            c = acc["c"] + F.when(F.get(p, x) < s, 1).otherwise(0)
+            d = acc["d"] + F.size(F.filter(F.slice(p, acc["last"] + 2, x - acc["last"]), lambda q: q < s))
+            return F.struct(c.alias("c"), d.alias("d"), x.alias("last"), F.greatest(acc["dice"], 2 * c / (d + F.col("n_template"))).alias("dice"))
+
+        zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("d"), (s - 1).alias("last"), F.lit(0.0).alias("dice"))
+        return F.aggregate(F.filter(hit, lambda x: (x >= s) & (x < s + F.col("reach"))), zero, add, lambda acc: acc["dice"])
+
+    def step(acc: Column, size: Column) -> Column:
+        on = (acc["left"] >= size) & ~acc["done"]
+        return F.struct(F.when(on, acc["left"] - size).otherwise(acc["left"]).alias("left"), F.when(on, acc["line"] + 1).otherwise(acc["line"]).alias("line"), (~on).alias("done"))
+
+    got = hits.join(prev, ["key", "h"]).withColumn("top", F.array_max(F.transform("starts", lambda s: F.struct(measured(s).alias("dice"), (-s).alias("minus_start")))))
+    got = got.where(F.col("top.dice") >= threshold).join(sizes, ["key", "h"])
+    zero = F.struct((-F.col("top.minus_start")).alias("left"), F.lit(1).alias("line"), F.lit(False).alias("done"))
+    got = got.withColumn("line", F.aggregate("sizes", zero, step, lambda acc: acc["line"]))
+    best = F.struct(F.col("top.dice").alias("dice"), (-F.col("line")).alias("minus_line"), (-F.col("template")).alias("minus_template"), "licence")
+    # A whole text goes before a sentence of it: pairs in common less those of one side only, for a window as large as its template.
+    best = F.max_by(best, F.struct(F.col("n_template") * (3 * F.col("top.dice") - 2), best))
+    return got.groupBy("key").agg(F.countDistinct("line").alias("n_units"), best.alias("best"))
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, texts=BODIES + OPENINGS) -> DataFrame:
+    """doc_id, n_units (that match), licence, dice, line (0: the whole text, -1: no match), of the best match.
+
+    Where no unit matches, of the best window of words over templates and texts, with the line in which it starts.
+    """
     table = template_table(docs.sparkSession, templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [r[0] for r in table.select("n_template").distinct().collect()]  # of the fixed list
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
-    telling = telling_words(templates, threshold)
-    may = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in telling])
+    may = holds_any(telling_words(templates, threshold))
     unit = docs.where(may(text)).select("doc_id", key.alias("key"), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
     # A unit of n bigrams has more than n words, each with a letter at least and a gap: a bound without cutting words.
     longest = max(sizes) * high
@@ -109,6 +181,8 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     hit = met.select("key", "line", "template", "licence", dice).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("line")).alias("minus_line"), (-F.col("template")).alias("minus_template"), "licence"))
     per = hit.groupBy("key").agg(F.countDistinct("line").alias("n_units"), best.alias("best"))
+    windows = best_windows(docs.select(key.alias("key"), text.alias("text")), threshold, (*templates, *texts))
+    per = per.unionByName(windows.join(per.select("key"), "key", "left_anti"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).join(per, "key", "left")
     return out.select(
         "doc_id",

@@ -115,6 +115,26 @@ def test_licences(docs_of):
     assert got[0] == ("MIT", 2) and got[1] == ("Apache-2.0", 0) and got[2] == got[3] == (None, -1)
 
 
+def test_licences_across_and_inside_lines(docs_of):
+    import textwrap
+
+    from locusframe.llm.licence_texts import BODIES, OPENINGS
+
+    body = dict(reversed(BODIES))
+    prose = "\n".join(f"A line of prose {i} about rivers and hills." for i in range(30))
+    inside = lambda t, width=60: f"{prose}\n{textwrap.fill(t, width)}\n{prose}"
+    names = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Apache-2.0", "GPL-3.0", "AGPL-3.0", "GPL-2.0", "LGPL-2.1"]
+    texts = [inside(body[n]) for n in names] + [inside(t) for _, t in OPENINGS]
+    edited = body["MIT"].replace("AUTHORS", "WRITERS").replace("THE SOFTWARE IS", "THIS PROGRAM IS")
+    texts += [inside(edited), "We say: it is released under the MIT License. And so on.", "rivers\n" + body["MIT"][: len(body["MIT"]) // 5], prose]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(texts)).collect()}
+    want = names + [a for a, _ in OPENINGS] + ["MIT", "MIT"]
+    assert [got[i]["licence"] for i in range(len(want))] == want
+    assert [got[i]["line"] for i in range(len(want))] == [31] * (len(want) - 1) + [1] and all(got[i]["n_units"] >= 1 for i in range(len(want)))
+    assert got[0]["dice"] == 1 and 0.9 <= got[len(want) - 2]["dice"] < 1
+    assert [(got[i]["licence"], got[i]["line"]) for i in (len(want), len(want) + 1)] == [(None, -1)] * 2
+
+
 def test_url_lists(spark):
     day = lambda n: dt.date(2024, 1, n)
     history = spark.createDataFrame(
