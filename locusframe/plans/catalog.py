@@ -711,7 +711,7 @@ def voronoi_total(spark, sf_dir):
 @query()
 def delaunay_objects(spark, sf_dir):
     p, f = _triangulation(spark, sf_dir)
-    got = objects.objects_from_faces(f, p, radius(p, 8.0), min_locs=5, max_locs=500)
+    got = objects.objects_from_faces(f, p, 8.0, min_locs=5, max_locs=500)
     member = got["object_locs"].join(p, "loc_id")
     return rounded(objects.features(got["objects"], member), "area", "size", "circ", "major", "minor")
 
@@ -752,7 +752,7 @@ def voronoi_colocalization(spark, sf_dir):
 def object_colocalization(spark, sf_dir):
     """Overlaps of Delaunay objects of two colours; tests check known squares."""
     p = pts(spark, sf_dir)
-    r = radius(p, 14.0)
+    r = 14.0
     one, two = [overlap.sampled_objects(p.where(F.col("color") == k).select("loc_id", "x", "y"), r, min_locs=8) for k in ("F", "O")]
     return rounded(overlap.object_colocalization(one, two, step=r / 4)["overlaps"], "measure")
 
