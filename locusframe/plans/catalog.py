@@ -806,12 +806,12 @@ def bounding_ellipses(spark, sf_dir):
 
 
 def _space(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("loc_id"), F.col("p_retailprice").alias("x"), (F.col("p_partkey") * 37 % 1009).cast("double").alias("y"), (F.col("p_partkey") * 91 % 997).cast("double").alias("z")).where("loc_id <= 400")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("loc_id"), F.col("p_retailprice").alias("x"), (F.col("p_partkey") * 37 % 1009).cast("double").alias("y"), (F.col("p_partkey") * 91 % 997).cast("double").alias("z"))
 
 
 @query()
 def tetrahedra(spark, sf_dir):
-    """A triangulation in space of a fixed small block of points, as one task's kernel."""
+    """A triangulation in space of all points, as one task's kernel."""
     f = tess.delaunay3(_space(spark, sf_dir))
     return f.select("face_id", *[F.col("v")[i].alias(f"v{i}") for i in range(4)], r6("measure").alias("measure"))
 

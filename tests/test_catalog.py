@@ -21,3 +21,8 @@ def test_cut_distances_do_not_follow_the_size(spark, monkeypatch):
             with pytest.raises(Stop):
                 catalog.queries()[name](spark, f"/root/testdata/{size}")
     assert seen == [8.0, 14.0] * 2
+
+
+def test_space_takes_all_points(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    assert catalog._space(spark, sf_dir).count() == catalog.table(spark, sf_dir, "part").count() == 2000
