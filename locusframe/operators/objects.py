@@ -11,7 +11,7 @@ from ..runtime import stash
 from .graph import clusters
 from .kernels import bounding_ellipsoid, chain_edges, hull_2d, hull_3d, mesh_volume, pca, shoelace
 from .stats import relabel
-from .tess import face_edges, with_edge_lengths
+from .tess import face_edges, facets, with_edge_lengths
 
 FWHM = 2.35
 
@@ -22,24 +22,30 @@ def objects_from_faces(faces: DataFrame, locs: DataFrame, cut_distance: float |
 
     Faces (in one region with all corners, if rois) whose sides are at most
     cut_distance long are joined over shared sides; objects out of range go.
-    object_id is 1, 2, ... in the order of the smallest face.
+    object_id is 1, 2, ... in the order of the smallest face. Tetrahedra are
+    joined over shared triangles; objects then have a cz, outlines a corner c.
     """
+    widths = [r[0] for r in faces.select(F.size("v")).distinct().limit(3).collect()]
+    if len(widths) > 1:
+        raise ValueError("triangles and tetrahedra in one set of faces")
+    space = widths == [4]
+    axes, ends = (("x", "y", "z"), ("a", "b", "c")) if space else (("x", "y"), ("a", "b"))
     if rois is not None:
         from .roi import matches
 
         inside = matches(locs, rois)
         v = faces.select("face_id", F.explode("v").alias("loc_id")).join(inside, "loc_id").groupBy("face_id", "roi_id").agg(F.count(F.lit(1)).alias("k"))
-        faces = faces.join(v.where("k = 3").select("face_id").distinct(), "face_id", "left_semi")
+        faces = faces.join(v.where(F.col("k") == (4 if space else 3)).select("face_id").distinct(), "face_id", "left_semi")
     if cut_distance is not None:
         ok = F.forall("edges", lambda e: e * e <= F.lit(cut_distance**2))
-        faces = with_edge_lengths(faces, locs).where(ok).select("face_id", "v", "measure")
+        faces = with_edge_lengths(faces, locs, space).where(ok).select("face_id", "v", "measure")
     faces = stash(faces.select("face_id", "v", "measure"), "kept_faces")
-    edges = stash(face_edges(faces), "face_edges")
+    edges = stash((facets if space else face_edges)(faces), "face_edges")
     links = edges.where("neigh is not null and face_id < neigh").select(F.col("face_id").alias("a"), F.col("neigh").alias("b"))
     comp = clusters(faces, links, key="face_id")
     f = faces.join(comp, "face_id")
     member = f.select("cluster", F.explode("v").alias("loc_id")).distinct()
-    size = member.join(locs.select("loc_id", "x", "y"), "loc_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_locs"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    size = member.join(locs.select("loc_id", *axes), "loc_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_locs"), *[F.avg(a).alias(f"c{a}") for a in axes])
     obj = f.groupBy("cluster").agg(F.sum("measure").alias("measure")).join(size, "cluster")
     from .select import object_filter
 
@@ -47,9 +53,9 @@ def objects_from_faces(faces: DataFrame, locs: DataFrame, cut_distance: float |
     obj = relabel(obj, "cluster", "object_id").withColumn("object_id", F.col("object_id") + 1)
     ids = stash(obj, "numbered")
     key = ids.select("cluster", "object_id")
-    outline = edges.where("neigh is null").select("face_id", "a", "b").join(comp, "face_id").join(key, "cluster").select("object_id", "a", "b")
+    outline = edges.where("neigh is null").select("face_id", *ends).join(comp, "face_id").join(key, "cluster").select("object_id", *ends)
     return {
-        "objects": ids.select("object_id", "n_locs", "measure", "cx", "cy"),
+        "objects": ids.select("object_id", "n_locs", "measure", *[f"c{a}" for a in axes]),
         "object_locs": member.join(key, "cluster").select("object_id", "loc_id"),
         "object_faces": f.join(key, "cluster").select("object_id", "face_id"),
         "object_outline": outline,

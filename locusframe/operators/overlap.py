@@ -29,8 +29,11 @@ def object_colocalization(one: dict[str, DataFrame], two: dict[str, DataFrame],
     outlines are sampled and triangulated together; the faces whose centroid
     lies in an object of both colours are joined over shared sides, those of
     one pair of objects together. Gives overlaps (overlap_id, object1, object2,
-    measure) of at least min_points corners, and overlap_faces.
+    measure) of at least min_points corners, and overlap_faces. Objects of
+    tetrahedra are refused.
     """
+    if any(c["faces"].where(F.size("v") != 3).limit(1).count() for c in (one, two)):
+        raise ValueError("object_colocalization takes triangles only")
     pts = [sample_outlines(c["object_outline"], c["locs"], step) for c in (one, two)]
     p = pts[0].unionByName(pts[1]).distinct()
     p = stash(p.withColumn("loc_id", F.abs(F.xxhash64("x", "y"))), "samples")

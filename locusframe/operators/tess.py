@@ -163,8 +163,22 @@ def with_corners(faces: DataFrame, locs: DataFrame, axes=("x", "y")) -> DataFram
     return faces.join(v.groupBy("face_id").agg(*cols), "face_id")
 
 
-def with_edge_lengths(faces: DataFrame, locs: DataFrame) -> DataFrame:
-    """faces with ``edges``: the lengths of their sides."""
+def facets(faces: DataFrame) -> DataFrame:
+    """(face_id, edge_no, a, b, c, neigh): each triangle of a tetrahedron and the one across it, null at the hull."""
+    v = F.col("v")
+    k = F.array(*[F.struct(F.lit(i).alias("edge_no"), F.array_sort(F.array(*[v[j] for j in range(4) if j != i])).alias("t")) for i in range(4)])
+    e = faces.select("face_id", F.explode(k).alias("e")).select("face_id", "e.edge_no", F.col("e.t")[0].alias("a"), F.col("e.t")[1].alias("b"), F.col("e.t")[2].alias("c"))
+    pair = e.groupBy("a", "b", "c").agg(F.min("face_id").alias("lo"), F.max("face_id").alias("hi"))
+    neigh = F.when(F.col("lo") == F.col("hi"), F.lit(None)).otherwise(F.when(F.col("face_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
+    return e.join(pair, ["a", "b", "c"]).select("face_id", "edge_no", "a", "b", "c", neigh.alias("neigh"))
+
+
+def with_edge_lengths(faces: DataFrame, locs: DataFrame, space: bool = False) -> DataFrame:
+    """faces with ``edges``: the lengths of their sides (of tetrahedra all six, in x, y and z)."""
+    if space:
+        f = with_corners(faces, locs, ("x", "y", "z"))
+        far = lambda i, j: F.sqrt(sum((F.col(f"{a}{i}") - F.col(f"{a}{j}")) ** 2 for a in "xyz"))
+        return f.withColumn("edges", F.array(*[far(i, j) for i in range(4) for j in range(i)]))
     f = with_corners(faces, locs)
     d = lambda i, j: F.sqrt((F.col(f"x{i}") - F.col(f"x{j}")) ** 2 + (F.col(f"y{i}") - F.col(f"y{j}")) ** 2)
     return f.withColumn("edges", F.array(d(0, 1), d(1, 2), d(2, 0)))

@@ -156,6 +156,29 @@ def test_objects_of_two_blobs(spark):
     assert {r["measure"] for r in hulls} == {9.0}
 
 
+def test_objects_in_space(spark):
+    from locusframe.plans import macro
+
+    g = np.random.default_rng(8).random((30, 3))
+    df = cloud(spark, np.vstack([g, g + [0, 0, 50]]))
+    d = macro.Dataset(spark, {"DetectionSet": df})
+    macro.run(d, '{"DetectionSet": {"computeDelaunay": {}}}\n{"DelaunayTriangulation": {"createFilteredObjects": {"cutDistance": 5}}}')
+    rows = d.table("ObjectList").orderBy("object_id").collect()
+    hull = kernels.hull_3d(g)
+    assert [r["n_locs"] for r in rows] == [30, 30]
+    assert [r["measure"] for r in rows] == pytest.approx([kernels.mesh_volume(g - g.mean(0), hull)] * 2, rel=1e-6)
+    assert sorted(r["cz"] for r in rows) == pytest.approx([g[:, 2].mean(), g[:, 2].mean() + 50])
+    outline = d.table("ObjectOutline")
+    sides = {frozenset((r["a"], r["b"], r["c"])) for r in outline.collect() if r["a"] < 30}
+    assert sides == {frozenset(map(int, t)) for t in hull}
+    ball = spark.createDataFrame([(1, "sphere", [(0.5, 0.5, 0.5)], 0.55)], "roi_id int, kind string, pts array<struct<x:double,y:double,z:double>>, radius double")
+    faces = d.table("DelaunayTriangulation")
+    within = set(np.flatnonzero(((g - 0.5) ** 2).sum(1) <= 0.55**2).tolist())
+    want = {r["face_id"] for r in faces.collect() if set(r["v"]) <= within}
+    got = objects.objects_from_faces(faces, df, rois=ball)["object_faces"]
+    assert want and {r["face_id"] for r in got.collect()} == want
+
+
 def test_overlap_of_two_squares(spark):
     from locusframe.operators import overlap
 
