@@ -418,6 +418,41 @@ def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 2)
 
 
+def is_convex(p: np.ndarray) -> bool:
+    return abs(shoelace(hull_2d(p)) - shoelace(p)) <= 1e-12 * shoelace(p)
+
+
+def ears(p: np.ndarray) -> list[np.ndarray]:
+    """Triangles of a simple polygon, by cutting off ears."""
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    ring = [q for q, r in zip(p.tolist(), np.roll(p, 1, 0).tolist(), strict=True) if q != r]
+    if sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) < 0:
+        ring.reverse()
+    out = []
+    while len(ring) > 2:
+        for i in range(len(ring)):
+            a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
+            t = turn(a, b, c)
+            others = (q for q in ring if q not in (a, b, c))
+            if t == 0 or t > 0 and not any(turn(a, b, q) >= 0 and turn(b, c, q) >= 0 and turn(c, a, q) >= 0 for q in others):
+                break
+        else:
+            raise ValueError("a polygon crosses itself")
+        if t > 0:
+            out.append(np.array([a, b, c]))
+        del ring[i]
+    return out
+
+
+def clip_polygons(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Intersection of two simple polygons as convex pieces that do not overlap."""
+    if len(a) < 3 or len(b) < 3:
+        return []
+    one, two = ([p] if is_convex(p) else ears(p) for p in (a, b))
+    got = [clip_convex(s, t) for s in one for t in two]
+    return [g for g in got if shoelace(g) > 0]
+
+
 def chain_edges(edges: Sequence[tuple[int, int]]) -> list[list[int]]:
     """Directed outline edges put together to rings, in order of their smallest corners."""
     nxt: dict[int, list[int]] = {}

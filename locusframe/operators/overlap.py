@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stash
 from . import objects, spatial, tess
-from .kernels import clip_convex, hull_2d, shoelace
+from .kernels import clip_polygons, shoelace
 
 
 def sample_outlines(outline: DataFrame, locs: DataFrame, step: float = 0.5) -> DataFrame:
@@ -68,7 +68,7 @@ def object_colocalization(one: dict[str, DataFrame], two: dict[str, DataFrame],
 
 
 def polygon_intersections(one: DataFrame, two: DataFrame, cell: float) -> DataFrame:
-    """(id1, id2, measure, pts): overlaps of polygons (id, pts array<struct<x,y>>); those of ``two`` are taken by their hulls.
+    """(id1, id2, measure, parts): overlaps of simple polygons (id, pts array<struct<x,y>>), as convex pieces.
 
     Boxes meet in grid cells, an equi-join; each pair is clipped once.
     """
@@ -86,13 +86,12 @@ def polygon_intersections(one: DataFrame, two: DataFrame, cell: float) -> DataFr
             rows = []
             for r in pdf.itertuples(index=False):
                 a, b = (np.array([(q["x"], q["y"]) for q in p], float) for p in (r.p1, r.p2))
-                got = clip_convex(a, hull_2d(b))
-                area = shoelace(got)
-                if area > 0:
-                    rows.append((r.id1, r.id2, area, [{"x": float(x), "y": float(y)} for x, y in got]))
-            yield pd.DataFrame(rows, columns=["id1", "id2", "measure", "pts"]).astype({"id1": "int64", "id2": "int64", "measure": "float64"})
+                got = clip_polygons(a, b)
+                if got:
+                    rows.append((r.id1, r.id2, sum(map(shoelace, got)), [[{"x": float(x), "y": float(y)} for x, y in g] for g in got]))
+            yield pd.DataFrame(rows, columns=["id1", "id2", "measure", "parts"]).astype({"id1": "int64", "id2": "int64", "measure": "float64"})
 
-    schema = "id1 long, id2 long, measure double, pts array<struct<x:double,y:double>>"
+    schema = "id1 long, id2 long, measure double, parts array<array<struct<x:double,y:double>>>"
     return pairs.select(F.col("id1").cast("long"), F.col("id2").cast("long"), "p1", "p2").mapInPandas(work, schema)
 
 

@@ -287,9 +287,15 @@ def delaunay_on_sphere(locs: DataFrame, centre: tuple[float, float, float] | Non
 
 
 def voronoi_on_sphere(locs: DataFrame, faces: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Cells of points on a sphere about the origin: each face gives a third of its area to each of its corners
-    (the barycentric dual); sides as in the plane; no border."""
-    share = faces.select(F.explode("v").alias("loc_id"), (F.col("measure") / 3).alias("part"))
+    """Cells of points on a sphere about the origin: each face gives its corners what the perpendicular bisectors of
+    its sides cut off (signed, up to its circumcentre); sides as in the plane; no border."""
+    n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    f = with_corners(faces, locs.select("loc_id", *[(F.col(a) / n * radius).alias(a) for a in "xyz"]), ("x", "y", "z"))
+    dot = lambda k, i, j: sum((F.col(f"{a}{i}") - F.col(f"{a}{k}")) * (F.col(f"{a}{j}") - F.col(f"{a}{k}")) for a in "xyz")
+    cot = lambda k, i, j: dot(k, i, j) / (2 * F.col("measure"))
+    part = lambda i, j, k: (dot(i, j, j) * cot(k, i, j) + dot(i, k, k) * cot(j, i, k)) / 8
+    corner = [F.struct(F.col("v")[i].alias("loc_id"), part(i, j, k).alias("part")) for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+    share = f.where("measure > 0").select(F.explode(F.array(*corner)).alias("e")).select("e.*")
     cells = share.groupBy("loc_id").agg(F.sum("part").alias("measure"))
     sides = vertex_links(faces).select(F.col("a").alias("loc_id"), F.col("b").alias("neigh"))
     near = sides.join(cells.select(F.col("loc_id").alias("neigh"), F.col("measure").alias("m")), "neigh").groupBy("loc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("m"))

@@ -200,6 +200,33 @@ def test_polygons_clip(spark):
     assert [(r["id1"], r["id2"], r["measure"]) for r in got] == [(1, 7, 6.0)]
 
 
+def test_concave_polygons_clip(spark):
+    from locusframe.operators import overlap
+
+    schema = "id long, pts array<struct<x:double,y:double>>"
+    u = [(0.0, 0.0), (6.0, 0.0), (6.0, 5.0), (4.0, 5.0), (4.0, 2.0), (2.0, 2.0), (2.0, 5.0), (0.0, 5.0)]
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    one = spark.createDataFrame([(1, box(2.5, 3.0, 3.5, 4.0)), (2, box(1.0, 1.0, 5.0, 4.0)), (3, [(x, 5.0 - y) for x, y in u])], schema)
+    two = spark.createDataFrame([(7, u), (8, u[::-1])], schema)
+    got = {(r["id1"], r["id2"]): r for r in overlap.polygon_intersections(one, two, 3.0).collect()}
+    assert {k: r["measure"] for k, r in got.items()} == pytest.approx({(2, 7): 8.0, (2, 8): 8.0, (3, 7): 20.0, (3, 8): 20.0})
+    assert sum(kernels.shoelace(np.array(p)) for p in got[2, 7]["parts"]) == pytest.approx(8.0)
+
+
+def test_cells_on_a_sphere_are_voronoi_cells(spark):
+    u = np.random.default_rng(9).normal(size=(2000, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u = u[:500]
+    df = cloud(spark, u)
+    cells, _ = tess.voronoi_on_sphere(df, tess.delaunay_on_sphere(df, (0.0, 0.0, 0.0), 3.0), 3.0)
+    got = np.array([r["measure"] for r in cells.orderBy("loc_id").collect()])
+    probe = np.random.default_rng(10).normal(size=(400_000, 3))
+    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
+    near = np.concatenate([(q @ u.T).argmax(1) for q in np.array_split(probe, 40)])
+    want = np.bincount(near, minlength=500) / len(probe) * 4 * np.pi * 9
+    assert np.abs(got - want).mean() / want.mean() < 0.05
+
+
 def test_alpha_of_one_piece(spark):
     g = np.array([[i, j] for i in range(5) for j in range(5)], float)
     df = cloud(spark, g)
