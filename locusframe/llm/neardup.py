@@ -4,11 +4,12 @@ A document's set holds its distinct shingles of five words (ASCII upper case
 folded); with one to four words, the whole sequence is its one shingle. Two
 documents are linked if 100 * intersection >= 75 * union.
 
-1. Sketch. A shingle's 64-bit hash falls into one of 256 buckets by its top
-   bits; a bucket keeps the smallest of the other 56 bits, compressed to its
-   leading-zero count and 16 mantissa bits (22 bits for a register). Empty
-   buckets borrow by a fixed probe sequence.
-2. Documents with equal sets form a class at once; only its smallest doc_id goes on.
+1. Sketch. A shingle's 64-bit hash, made of its words' BLAKE2 digests, falls
+   into one of 256 buckets by its top bits; a bucket keeps the smallest of the
+   other 56 bits, compressed to its leading-zero count and 16 mantissa bits (22
+   bits for a register). Empty buckets borrow by a fixed probe sequence.
+2. Documents with equal sets, told by the SHA-256 of all their shingles' words
+   in order of hashes, form a class at once; only its first row goes on.
 3. Banding. 80 bands of five registers give keys. At a similarity of 0.75 a
    pair shares no key with probability (1 - 0.75**5)**80 < 1e-9 for
    independent bands; bands that reuse registers leave it below 1e-6.
@@ -19,24 +20,29 @@ documents are linked if 100 * intersection >= 75 * union.
    filter over its shingles, which loses no link. The estimated similarity of
    two sketches is corrected for register collisions; a pair goes if it lies
    more than five standard errors below the threshold, else it is confirmed on
-   the full sets of shingles.
+   the full sets of shingles, by their words.
 5. Components by contraction with pointer jumping, in written tables.
 
 So every pair that shares a key is either confirmed, refuted, or already in one
-component. No group is held in one task and nothing is collected. Null and
-blank texts have an empty set and stay alone. doc_id should be unique; rows
-that repeat an id with another text are compared by one of these texts.
+component. Smallest members and counts of a key or a shingle come from a
+partial aggregation and are joined back, where Spark splits a hot one; nothing
+is collected. Null and blank texts have an empty set and stay alone. Rows that
+repeat an id are documents of their own: a component goes by the smallest id in
+it, and ``kept`` holds for each row with that id, ``first`` for one row alone.
+Long texts are cut into words as a whole; tables without rows give none.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, stash
-from .textbuf import STEP, TextBuf, U, by_slices, mix, order_in_docs, whole_sequences, windows
+from .shared import NO_ID, components, numbered, private, stash
+from .textbuf import IS_SPACE, STEP, TextBuf, U, by_slices, coded, digests, joint, mix, order_in_docs, padded, window_starts
 
 WORDS = 5
 REGISTERS = 256
@@ -49,20 +55,42 @@ BAND_REGISTERS = np.stack([np.random.default_rng([7, b]).choice(REGISTERS, ROWS,
 SIMILAR, OF = 75, 100
 
 
-def shingle_sets(buf: TextBuf, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, ascending within it: documents, hashes."""
-    s, e, d = buf.words()
-    if not len(s):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = buf.span_hash(s, e)
-    g, at = windows(h, d, k)
-    w, short = whole_sequences(h, d, buf.n, k)
-    g, doc = np.concatenate((g, w)), np.concatenate((d[at], short))
+def word_codes(buf: TextBuf) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each word's number and document, and the distinct words."""
+    solid = ~IS_SPACE[buf.data]
+    s, e, d = buf.runs(solid)
+    code, distinct = coded(buf, solid, s, e)
+    return code, d, distinct
+
+
+def shingle_sets(buf: TextBuf, k: int = WORDS, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in the order of documents and hashes: documents, hashes, words (k each) and their digests.
+
+    Shingles are told apart by their words, whatever their hashes (of so many
+    bits) say; the order of equal hashes is that of digests, so it is the same in every batch.
+    """
+    code, d, distinct = word_codes(buf)
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, k), np.int64), np.zeros((1, 2), np.uint64)
+    digest = np.concatenate((digests(distinct), np.zeros((1, 2), np.uint64)))
+    code, d = padded(code, d, buf.n, k, len(distinct))
+    at = window_starts(d, k)
+    doc, words = d[at], np.stack([code[at + j].astype(np.int32) for j in range(k)], 1)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h += digest[words[:, j], 0] * STEP[j]
+    g = mix(h)
+    if bits < 64:
+        g = mix(g >> U(64 - bits))
     order = order_in_docs(doc, g)
-    g, doc = g[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], g[new]
+    same = lambda o: (doc[o[1:]] == doc[o[:-1]]) & (g[o[1:]] == g[o[:-1]])
+    equal = lambda o: (words[o[1:]] == words[o[:-1]]).all(1)
+    if (same(order) & ~equal(order)).any():
+        by = [digest[words[:, j], x] for j in range(k) for x in (0, 1)]
+        order = np.lexsort((*by, g, doc))
+    new = np.append(True, ~(same(order) & equal(order)))
+    order = order[new]
+    return doc[order], g[order], words[order], digest
 
 
 def registers(doc: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,20 +148,23 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def sketch(cut: pa.RecordBatch) -> pa.RecordBatch:
-    buf = TextBuf.of(cut.column("body"), lower=True)
-    doc, g = shingle_sets(buf)
-    n = np.bincount(doc, minlength=buf.n)
-    regs, _ = registers(doc, g, buf.n)
-    cuts = np.concatenate(([0], np.cumsum(n)))
-    sums = []
-    for salt in (STEP[20], STEP[21]):
-        c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g ^ salt), dtype=np.uint64)))
-        sums.append((c[cuts[1:]] - c[cuts[:-1]]).view(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [cut.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), _binary(pack(regs))],
-        ["doc_id", "n_shingles", "set_a", "set_b", "regs"],
-    )
+def sketch(bits: int):
+    def work(cut: pa.RecordBatch) -> pa.RecordBatch:
+        buf = TextBuf.of(cut.column("body"), lower=True)
+        doc, g, words, digest = shingle_sets(buf, bits=bits)
+        n = np.bincount(doc, minlength=buf.n)
+        regs, _ = registers(doc, g, buf.n)
+        sets, a = [], 0
+        for b in np.cumsum(n).tolist():
+            sha = hashlib.sha256()
+            for at in range(a, b, 1 << 16):
+                sha.update(np.ascontiguousarray(digest[words[at : min(b, at + (1 << 16))]]))
+            sets.append(sha.digest())
+            a = b
+        cols = [cut.column("row"), pa.array(n.astype(np.int64)), pa.array(sets, pa.binary()), _binary(pack(regs))]
+        return pa.RecordBatch.from_arrays(cols, ["row", "n_shingles", "set", "regs"])
+
+    return by_slices(work, "body")
 
 
 def band_keys(batches):
@@ -163,14 +194,22 @@ def estimate(batches):
 
 
 def verify(cut: pa.RecordBatch) -> pa.RecordBatch:
-    """Pairs whose full sets are similar enough."""
-    left, right = (shingle_sets(TextBuf.of(cut.column(c), lower=True)) for c in ("body_a", "body_b"))
-    doc, g = np.concatenate((left[0], right[0])), np.concatenate((left[1], right[1]))
-    order = order_in_docs(doc, g)
-    d, h = doc[order], g[order]
-    both = np.bincount(d[1:][(d[1:] == d[:-1]) & (h[1:] == h[:-1])], minlength=cut.num_rows) if len(d) else np.zeros(cut.num_rows)
-    union = np.bincount(doc, minlength=cut.num_rows) - both
-    return cut.filter(pa.array((union > 0) & (OF * both >= SIMILAR * union))).select(["a", "b"])
+    """Pairs whose full sets are similar enough; words are compared as such."""
+    n = cut.num_rows
+    both = pa.concat_arrays([cut.column("body_a"), cut.column("body_b")])
+    code, d, distinct = word_codes(TextBuf.of(both, lower=True))
+    code, d = padded(code, d, 2 * n, WORDS, len(distinct))
+    at = window_starts(d, WORDS)
+    g, doc = joint([code[at + j] for j in range(WORDS)]), d[at]
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])) if len(g) else np.zeros(0, bool)
+    g, pair = g[new], doc[new] % n
+    order = np.lexsort((g, pair))
+    g, pair = g[order], pair[order]
+    common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (g[1:] == g[:-1])], minlength=n)
+    union = np.bincount(pair, minlength=n) - common
+    return cut.filter(pa.array((union > 0) & (OF * common >= SIMILAR * union))).select(["a", "b"])
 
 
 def _linked(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -182,25 +221,31 @@ def _linked(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFra
     return stash(full.mapInArrow(by_slices(verify, "body_a"), "a long, b long"), "links")
 
 
-def token_rows(cut: pa.RecordBatch) -> pa.RecordBatch:
-    doc, g = shingle_sets(TextBuf.of(cut.column("body"), lower=True))
-    n = np.bincount(doc, minlength=cut.num_rows)
-    label = cut.column("label").to_numpy()
-    cols = [cut.column("id").to_numpy()[doc], label[doc], n[doc], g.view(np.int64)]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "label", "n", "g"])
+def token_rows(bits: int):
+    def work(cut: pa.RecordBatch) -> pa.RecordBatch:
+        doc, g, _, _ = shingle_sets(TextBuf.of(cut.column("body"), lower=True), bits=bits)
+        n = np.bincount(doc, minlength=cut.num_rows)
+        if len(g):  # different shingles of a document with one hash count as several tokens
+            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])))
+            turn = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+            g = g + turn.astype(np.uint64) * STEP[12]
+        label = cut.column("label").to_numpy()
+        cols = [cut.column("id").to_numpy()[doc], label[doc], n[doc], g.view(np.int64)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["id", "label", "n", "g"])
 
+    return by_slices(work, "body")
 
-def _across(open_ids: DataFrame, bodies: DataFrame) -> DataFrame:
+
+def _across(open_ids: DataFrame, bodies: DataFrame, bits: int) -> DataFrame:
     """Pairs of documents in different components that may still be linked, by a prefix filter without loss.
 
     Shingles are put in one order for all: those whose documents lie in one
     component first, then the rarer ones. A linked pair's first common shingle
     lies in the prefix of both, and enough shingles must be left behind it.
     """
-    rows = bodies.join(open_ids, "id").mapInArrow(by_slices(token_rows, "body"), "id long, label long, n long, g long")
-    w = Window.partitionBy("g")
-    seen = rows.withColumn("df", F.count(F.lit(1)).over(w)).withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
-    mixed = seen.where("lo < hi").select("id", "label", "n", "g", "df")
+    rows = stash(bodies.join(open_ids, "id").mapInArrow(token_rows(bits), "id long, label long, n long, g long"), "tokens")
+    spread = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = rows.join(spread.where("lo < hi").select("g", "df"), "g")
     in_doc = Window.partitionBy("id")
     rank = F.row_number().over(in_doc.orderBy("df", "g"))
     left = F.count(F.lit(1)).over(in_doc) - rank  # shingles behind this one
@@ -212,37 +257,49 @@ def _across(open_ids: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "id_o").alias("a"), F.greatest("id", "id_o").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), one row for each row of docs.
 
     class_id: the smallest doc_id with an equal set; component_id: the smallest one reachable over links.
+    ``bits`` is the length of shingle hashes; with short ones the result is the same, but more is compared.
     """
-    no_id = F.lit(-(2**63))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, regs binary"
-    sk = stash(docs.mapInArrow(by_slices(sketch, "body"), schema), "sketches")
+    name = private(docs, "_row")
+    rows, plain = numbered(docs, name, id_col, text_col)
+    return rows_with_components(rows, name, plain, id_col, text_col, bits).drop("_row", "first")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the first row of docs, all columns."""
+    name, mark = private(docs, "_row"), private(docs, "_first")
+    rows, plain = numbered(docs, name, id_col, text_col)
+    first = rows_with_components(rows, name, plain, id_col, text_col).where("first").select(F.col("_row").alias(mark))
+    return rows.join(first, rows[name] == first[mark], "left_semi").drop(name)
+
+
+def rows_with_components(docs: DataFrame, row_col: str, same_as_id: bool, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """near_duplicates of rows as numbered() gives them, with each row's name, ``_row``, and ``first``: it stands for its component."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    docs = docs.select(F.col(row_col).alias("row"), key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    sk = stash(docs.select("row", "body").mapInArrow(sketch(bits), "row long, n_shingles long, set binary, regs binary"), "sketches")
     full = sk.where("n_shingles > 0")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    classes = full.groupBy("set").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("c"))
     classes = stash(classes.where("c > 1").drop("c"), "several")
-    member = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    member = stash(member.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-    first = member.where("doc_id = class_id").select("doc_id").distinct()
-    reps = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs")
-    reps = reps.join(first.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    w = Window.partitionBy("key")
+    member = full.select("row", "n_shingles", "set").join(classes, "set", "left")
+    member = stash(member.select("row", "n_shingles", F.coalesce("class", "row").alias("class")), "classes")
+    later = member.where("row != class").select(F.col("row").alias("id"))
+    reps = full.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "regs").join(later, "id", "left_anti")
+    reps = stash(reps, "representatives")
     keyed = reps.mapInArrow(band_keys, "key long, id long, n long")
-    lowest = F.min(F.struct("id", "n")).over(w)
-    bucket = keyed.withColumn("low", lowest).withColumn("c", F.count(F.lit(1)).over(w)).where("c > 1")
-    bucket = stash(bucket.select("key", "id", "n", F.col("low.id").alias("pivot"), F.col("low.n").alias("pivot_n")), "buckets")
+    lowest = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    lowest = lowest.select("key", F.col("low.id").alias("pivot"), F.col("low.n").alias("pivot_n"))
+    bucket = stash(keyed.join(lowest, "key"), "buckets")
 
     near = lambda a, b: (F.least(a, b) * OF >= F.greatest(a, b) * SIMILAR)
     star = bucket.where((F.col("id") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n")))
     star = stash(star.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "star")
-    ids = bucket.select("id").distinct()
-    sketches = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs").join(ids.hint("shuffle_hash"), "id", "left_semi")
-    sketches = stash(sketches.dropDuplicates(["id"]), "candidate_sketches")
-    bodies = docs.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    bodies = stash(bodies, "candidate_texts")
+    ids = stash(bucket.select("id").distinct(), "candidates")
+    sketches = stash(reps.join(ids, "id", "left_semi"), "candidate_sketches")
+    bodies = stash(docs.select(F.col("row").alias("id"), "body").join(ids, "id", "left_semi"), "candidate_texts")
 
     best = star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("minus_a"))).alias("m"))
     best = stash(best.select((-F.col("m.minus_a")).alias("a"), "b"), "best")
@@ -259,15 +316,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(_linked(second, sketches, bodies))
     comp = components(links)
     tried = tried.unionByName(second)
-    m = bucket.select("key", "id", "n").join(at("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    m = bucket.select("key", "id").join(at("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_keys = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     m = m.join(open_keys, "key", "left_semi").select("id", "label").distinct()
-    third = _across(stash(m, "open"), bodies)
+    third = _across(stash(m, "open"), bodies, bits)
     third = stash(third.join(tried, ["a", "b"], "left_anti"), "third")
     links = links.unionByName(_linked(third, sketches, bodies))
     comp = components(links)
-    out = sk.select("doc_id", "n_shingles").where("n_shingles = 0").withColumn("class_id", F.col("doc_id")).unionByName(member)
-    out = out.join(at("class_id", "label"), "class_id", "left")
-    out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out.withColumns({c: F.nullif(F.col(c), no_id) for c in ("doc_id", "class_id", "component_id")})
+    out = sk.select("row", "n_shingles").where("n_shingles = 0").withColumn("class", F.col("row")).unionByName(member)
+    out = out.join(at("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    id_of = lambda c: F.col(c)
+    if not same_as_id:
+        out = stash(out, "labelled")
+        ids = docs.select("row", "doc_id")
+        for c in ("row", "class", "label"):
+            out = out.join(ids.select(F.col("row").alias(c), F.col("doc_id").alias(f"{c}_id")), c)
+        id_of = lambda c: F.col(f"{c}_id")
+    out = out.select(
+        F.col("row").alias("_row"), id_of("row").alias("doc_id"), "n_shingles", id_of("class").alias("class_id"),
+        id_of("label").alias("component_id"), (F.col("row") == F.col("label")).alias("first"),
+    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("doc_id", "class_id", "component_id")})

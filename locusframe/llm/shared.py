@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..runtime import broadcast_if, fits, stash
 
-__all__ = ["broadcast_if", "components", "fits", "private", "ranked", "stash"]
+__all__ = ["broadcast_if", "broadcast_small", "components", "fits", "numbered", "private", "ranked", "stash"]
+
+NO_ID = -(2**63)
+#: Tables are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def private(df: DataFrame, name: str) -> str:
@@ -24,25 +28,46 @@ def components(links: DataFrame) -> DataFrame:
     return graph.components(links, one_task=0)
 
 
-def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """df with the 0-based rank in its group, as ``name``.
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if its values take at most so many bytes; else as it is, for a shuffled join."""
+    width = sum((F.octet_length(F.col(f"`{f.name}`").cast("string")) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
+
 
-    ``bucket`` is an integer that ascends with ``order``, so that rows of one
-    group are ranked in many tasks: a count for each (group, bucket) gives
-    where a bucket begins, and a window ranks the rows in a bucket.
+def numbered(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """docs with a long that names each row, and whether it is the id itself.
+
+    It is where no id repeats (null: the smallest long). Else rows are numbered
+    in the order of id (null first), then a hash of the text, then their place
+    in the table; docs is written once for that.
     """
-    b = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
-    count = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in"))
-    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = count.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
-    start = start.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_start")
-    on = [b[k].eqNullSafe(start[f"_k_{k}"]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = b.join(start, cond, "left")
-    within = Window.partitionBy(*keys).orderBy(*order)
-    return out.withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_bucket", "_start", *[f"_k_{k}" for k in keys])
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    if docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        return docs.withColumn(name, key), True
+    at = private(docs, "_at")
+    table = stash(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    order = table.select(F.col(at), key.alias("k"), F.xxhash64(text_col).alias("h")).orderBy("k", "h", at)
+    place = stash(order.select(F.col(at), F.monotonically_increasing_id().alias(name)), "places")
+    return table.join(place, at).drop(at), False
 
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """df, written, with the 0-based rank in its group, as ``name``.
+
+    All rows are sorted in ranges, so that a group with a third of them lies in
+    many tasks; counts for each range and group tell where ranks begin.
+    """
+    at, part = private(df, "_at"), private(df, "_part")
+    rows = stash(df.orderBy(*group, *order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    count = rows.groupBy(*group, part).agg(F.count(F.lit(1)).alias("_in"), F.min(at).alias("_first"))
+    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = before.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_first") - F.coalesce(F.sum("_in").over(before), F.lit(0))
+    start = stash(count.select(*[F.col(k).alias(f"_k_{k}") for k in [*group, part]], start.alias("_shift")), "starts")
+    start = broadcast_small(start)
+    cond = rows[part] == start[f"_k_{part}"]
+    for k in group:
+        cond = cond & rows[k].eqNullSafe(start[f"_k_{k}"])
+    out = rows.join(start, cond).withColumn(name, F.col(at) - F.col("_shift"))
+    return out.drop(at, part, "_shift", *[f"_k_{k}" for k in [*group, part]])

@@ -4,13 +4,19 @@ A batch that Spark hands over by Arrow holds its texts in one contiguous
 buffer. The functions here work on that buffer as a whole with numpy, so no
 Python code runs per document.
 
-Hashes are polynomial modulo 2**64 over a random table of byte values: with
-``H[i]`` the sum of ``T[b[j]] * B**j`` for j < i, the hash of bytes s..e is
-``(H[e] - H[s]) * B**-s``, whatever its place.
+Words and lines are told apart exactly, by a dictionary of a batch's distinct
+ones. Where texts of different batches must meet, a word goes by its BLAKE2
+digest, and a run of words by a hash of these.
+
+``span_hash`` is polynomial modulo 2**64 over a random table of byte values:
+with ``H[i]`` the sum of ``T[b[j]] * B**j`` for j < i, the hash of bytes s..e is
+``(H[e] - H[s]) * B**-s``, whatever its place. Long texts exist that differ and
+have equal hashes of this kind, so who uses it must compare the bytes as well.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -154,25 +160,44 @@ def order_in_docs(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return by_hash[np.argsort(d, kind="stable")]
 
 
-def windows(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every k consecutive words of one document, and the index of the first word."""
-    n = len(word_hash) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h += word_hash[j : j + n] * STEP[j]
-    return mix(h[at] + U(k)), at
+def coded(buf: TextBuf, mark: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each run s..e of marked bytes, equal for equal bytes alone, and the distinct runs in the order of numbers."""
+    to = np.concatenate(([0], np.cumsum(e - s))).astype(np.int64)
+    body = pa.py_buffer(np.ascontiguousarray(buf.data[mark]))
+    runs = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(to), body]).dictionary_encode()
+    return runs.indices.to_numpy().astype(np.int64), runs.dictionary
 
 
-def whole_sequences(word_hash: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For documents with 1 to k - 1 words: a hash of all of them, and the document."""
+def digests(distinct: pa.Array) -> np.ndarray:
+    """Two 64-bit numbers for each string: its BLAKE2 digest of 128 bits."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in distinct.to_pylist()])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
+def joint(codes: list[np.ndarray]) -> np.ndarray:
+    """One number for each tuple of numbers, equal for equal tuples alone."""
+    out = codes[0]
+    for c in codes[1:]:
+        if not len(c):
+            return out
+        a, b = int(out.max()) + 1, int(c.max()) + 1
+        if a * b >= 2**63:
+            out = np.unique(out, return_inverse=True)[1].reshape(-1)
+        out = out * b + c
+    return out
+
+
+def padded(code: np.ndarray, doc: np.ndarray, n_docs: int, k: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their documents, where documents with 1 to k - 1 words are filled up to k with one number."""
     count = np.bincount(doc, minlength=n_docs)
-    first = np.concatenate(([0], np.cumsum(count)))[:-1]
-    short = np.flatnonzero((count > 0) & (count < k))
-    h = np.zeros(len(short), np.uint64)
-    for j in range(k - 1):
-        has = count[short] > j
-        h[has] += word_hash[first[short[has]] + j] * STEP[j]
-    return mix(h + count[short].astype(np.uint64)), short
+    lack = np.where((count > 0) & (count < k), k - count, 0)
+    if not lack.any():
+        return code, doc
+    ends = np.repeat(np.cumsum(count), lack)
+    return np.insert(code, ends, pad), np.insert(doc, ends, np.repeat(np.arange(n_docs), lack))
+
+
+def window_starts(doc: np.ndarray, k: int) -> np.ndarray:
+    """The words at which k consecutive words of one document begin."""
+    n = len(doc) - k + 1
+    return np.flatnonzero(doc[:n] == doc[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
