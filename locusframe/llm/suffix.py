@@ -8,23 +8,29 @@ are judged on the input.
    the leftmost of smallest hash. Equal windows pick the gram at the same
    place, so two equal windows meet under the gram's hash. Consecutive windows
    with one anchor form a block (about 39 bytes apart); only a block's key, the
-   hash of its bytes and its place are shuffled.
-2. Scan, streaming in key order. Keys with one block have no repeats. Of blocks
-   with equal bytes all but the earliest go as a whole; blocks of one key that
-   differ are candidates.
-3. Suffix sort of the candidates under each key: suffixes at the same distance
+   128-bit BLAKE2 digest of its bytes and its place are shuffled.
+2. Equal blocks. Blocks are dealt out by key and digest, so that a passage that
+   many rows share at its ends is no hot key; of blocks with equal digests all
+   but the earliest go as a whole, those that repeat within a part of the input
+   before the shuffle.
+3. Several blocks. Keys with one block have no further repeats. Blocks of one key
+   that differ are candidates: where several lie in one task, that is known
+   there; what is left alone in its task meets the others once more, one row for
+   each task at most.
+4. Suffix sort of the candidates under each key: suffixes at the same distance
    from the anchor are merge-sorted, level by level for all groups at once.
    Two suffixes are compared by the longest common extension, found by binary
-   search over prefix polynomial hashes. Neighbours that share ``length`` bytes
-   are equal; bytes are then compared, and a group where a hash lied is sorted
-   anew by its bytes.
-4. A key with more than ``hot`` different blocks is not sorted in one task: its
-   windows are dealt out by their own hash and compared with their neighbour in
-   sorted order, in a stream.
+   search over prefix polynomial hashes. The order of neighbours is then verified
+   by their bytes; a group where a hash lied is sorted anew by its bytes. A key
+   with more than RUN blocks is split: its windows are dealt out into several
+   runs by a hash of their bytes (equal ones of a task put together), and each
+   run is sorted in the same way.
 5. Spans join their documents.
 
-Null text is empty; a null doc_id comes before all others. doc_id should be unique.
-Matches never cross documents.
+Null text is empty. Rows are ordered by doc_id (null first); rows that repeat an
+id are documents of their own, in the order of a hash of their texts and then of
+their place in the table, so of equal rows one keeps its text. Texts shorter than
+a window lose nothing. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -36,15 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if, stash
-from .textbuf import TextBuf, U, binary_parts, by_slices, powers
+from .shared import broadcast_small, numbered, stash
+from .textbuf import STEP, TextBuf, U, binary_parts, by_slices, mix, powers, slices
 
 LENGTH = 100
 GRAM = 24
 #: Longer texts are read in pieces of so many bytes that overlap by a window less one byte.
 PIECE = 1 << 22
 INDEX_BITS = 23
-HOT = 20_000
+#: Equal blocks are put together within so many bytes of text before the shuffle.
+TOGETHER = 1 << 24
+#: Blocks of a key that are sorted in one run.
+RUN = 4096
 
 
 def _sliding_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -84,7 +93,7 @@ def blocks(buf: TextBuf, length: int) -> tuple[np.ndarray, ...]:
 
 def _pieces(cut: pa.RecordBatch, length: int):
     """The batch's texts, one that is too long in overlapping pieces: buffer, ids, offsets in the text."""
-    ids = cut.column("doc_id").to_numpy(zero_copy_only=False)
+    ids = cut.column("row").to_numpy()
     data, off = binary_parts(cut.column("body"))
     if len(data) <= PIECE:
         yield TextBuf(data, off), ids, np.zeros(len(ids), np.int64)
@@ -95,94 +104,157 @@ def _pieces(cut: pa.RecordBatch, length: int):
             yield TextBuf(part, np.array([0, len(part)])), ids[k : k + 1], np.array([at - int(off[k])])
 
 
-def find_blocks(length: int):
-    """One row for each block; of equal blocks in a batch the earliest, with the places of the others in ``more``.
+def _binaries(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Cells of so many bytes each from one run of bytes."""
+    to = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(flat))])
 
-    Copies and texts that repeat themselves are so put together before the shuffle.
-    """
 
-    def work(cut: pa.RecordBatch) -> pa.RecordBatch:
-        got = []
-        for buf, ids, base in _pieces(cut, length):
-            s, n, d, h, doc = blocks(buf, length)
-            same = buf.span_hash(s, s + n) + d.astype(np.uint64)
-            start = s - buf.off[doc] + base[doc]
-            got.append((ids[doc], h.view(np.int64), same.view(np.int64), (start << 16) | (n << 8) | d))
-        doc, key, same, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((place, doc, same, key))
-        doc, key, same, place = doc[order], key[order], same[order], place[order]
+def find_blocks(length: int, together: int = TOGETHER):
+    """One row for each block: key, digest, row of docs, place. Of equal blocks of a part of the input only the
+    earliest; places of the others are handed on as repeats, in rows of their own (``more``) under any key."""
+    names = ["key", "same", "same2", "row", "place", "more"]
+
+    def settle(got: list[tuple]) -> pa.RecordBatch:
+        row, key, same, same2, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((place, row, same2, same, key))
+        row, key, same, same2, place = (x[order] for x in (row, key, same, same2, place))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
-        size = np.diff(np.append(np.flatnonzero(new), len(key))) - 1
-        rest = np.stack([doc[~new], place[~new]], 1).astype("<i8")
-        to = np.concatenate(([0], np.cumsum(size * 16))).astype(np.int32)
-        more = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(rest))])
-        cols = [pa.array(x[new]) for x in (doc, key, same, place)]
-        return pa.RecordBatch.from_arrays([*cols, more], ["doc_id", "key", "same", "place", "more"])
+        new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1]) | (same2[1:] != same2[:-1])
+        rest = np.stack([row[~new], place[~new]], 1).astype("<i8")
+        many = np.diff(np.append(np.arange(0, len(rest), 4096), len(rest)))
+        spread = mix(np.arange(len(many), dtype=np.uint64) + (row[:1].astype(np.uint64) if len(row) else U(0)) * STEP[30]).view(np.int64)
+        none = np.zeros(len(many), np.int64)
+        cols = [(key[new], spread), (same[new], spread), (same2[new], none), (row[new], none), (place[new], none)]
+        more = _binaries(rest, np.concatenate((np.zeros(int(new.sum()), np.int64), many * 16)))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in cols), more], names)
 
-    return by_slices(work, "body")
+    def run(batches):
+        got, held = [], 0
+        for batch in batches:
+            for cut in slices(batch, "body", 1 << 20):
+                for buf, ids, base in _pieces(cut, length):
+                    s, n, d, h, doc = blocks(buf, length)
+                    raw = memoryview(np.ascontiguousarray(buf.data))
+                    digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), (s + n).tolist(), strict=True)])
+                    same = np.frombuffer(digest, "<i8").reshape(-1, 2)
+                    start = s - buf.off[doc] + base[doc]
+                    got.append((ids[doc], h.view(np.int64), same[:, 0], same[:, 1], (start << 16) | (n << 8) | d))
+                    held += buf.size
+                if held >= together:
+                    yield settle(got)
+                    got, held = [], 0
+        if got:
+            yield settle(got)
 
+    return run
 
-def scan(batches):
-    """Of rows in order of (key, same, doc_id, place): repeats as a whole (full), and blocks of a key with several."""
-    names = ["full", "doc_id", "place", "key"]
-    key = same = pending = None
+
+def whole_keys(batches):
+    """Tables of all rows of the keys in them; rows come in order of the key."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, c, doc, place = (batch.column(x).to_numpy() for x in ("key", "same", "doc_id", "place"))
-        new_key = np.ones(len(k), bool)
-        new_key[1:] = k[1:] != k[:-1]
-        new_key[0] = key is None or k[0] != key
-        rep = new_key.copy()
-        rep[1:] |= c[1:] != c[:-1]
-        rep[0] |= same is None or c[0] != same
-        gid = np.cumsum(new_key)
-        reps = np.bincount(gid[rep], minlength=gid[-1] + 1)
-        out = ~rep | (reps[gid] > 1) | (gid == 0)
-        extra = []
-        if gid[0] == 0 and reps[0] and pending is not None:
-            extra, pending = [pending], None
-        if gid[-1] > 0:
-            i = int(np.searchsorted(gid, gid[-1]))
-            pending = (doc[i], place[i], k[i]) if reps[gid[-1]] == 1 else None
-        key, same = k[-1], c[-1]
-        more = np.frombuffer(binary_parts(batch.column("more"))[0].tobytes(), "<i8").reshape(-1, 2).astype(np.int64)
-        cols = [np.concatenate((~rep[out], np.zeros(len(extra), bool), np.ones(len(more), bool)))]
-        rest = (more[:, 0], more[:, 1], np.zeros(len(more), np.int64))
-        cols += [np.concatenate((x[out], np.array([e[j] for e in extra], np.int64), rest[j])) for j, x in enumerate((doc, place, k))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
-
-
-def cut_out(length: int):
-    """The bytes of candidate blocks (hot keys: of each window, under its own hash)."""
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and (cut or key[-1] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def work(cut: pa.RecordBatch) -> pa.RecordBatch:
-        ids = cut.column("doc_id").to_numpy()
-        data, off = binary_parts(cut.column("body"))
-        spots = cut.column("spots")
-        n = np.diff(spots.offsets.to_numpy())
-        row = np.repeat(np.arange(len(ids)), n)
-        flat = spots.flatten()
-        place, key, hot = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-        start, size, dist = place >> 16, (place >> 8) & 255, place & 255
-        if hot.any():
-            many = np.where(hot, size - length + 1, 1)
-            pick = np.repeat(np.arange(len(row)), many)
-            step = np.arange(len(pick)) - np.repeat(np.cumsum(many) - many, many)
-            row, start, key, hot = row[pick], start[pick] + step, key[pick], hot[pick]
-            size, dist = np.where(hot, length, size[pick]), np.where(hot, 0, dist[pick])
-        src = off[row] + start
+
+#: What scan says of a block: a repeat as a whole, one of several under its key, alone in its task, and the sign that a key has several.
+FULL, SEVERAL, ALONE, SIGN = range(4)
+
+
+def scan(batches):
+    """Of rows in order of (key, same, same2, row, place): repeats as a whole, and the first of equal blocks."""
+    for t in whole_keys(batches):
+        more = np.frombuffer(binary_parts(t.column("more"))[0].tobytes(), "<i8").reshape(-1, 2).astype(np.int64)
+        plain = np.diff(binary_parts(t.column("more"))[1]) == 0
+        key, same, same2, row, place = (t.column(x).to_numpy()[plain] for x in ("key", "same", "same2", "row", "place"))
+        new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
+        first = new_key.copy()
+        first[1:] |= (same[1:] != same[:-1]) | (same2[1:] != same2[:-1])
+        gid = np.cumsum(new_key) - 1
+        several = np.bincount(gid[first], minlength=len(key))[gid] > 1
+        kind = np.where(~first, FULL, np.where(several, SEVERAL, ALONE))
+        sign = key[new_key & several]
+        none, gone = np.zeros(len(sign), np.int64), np.zeros(len(more), np.int64)
+        cols = [(kind, none + SIGN, gone + FULL), (row, none, more[:, 0]), (place, none, more[:, 1]), (key, sign, gone)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in cols], ["kind", "row", "place", "key"])
+
+
+def settle_alone(batches):
+    """Of blocks alone in their task and signs, in order of the key: the blocks whose key has others."""
+    for t in whole_keys(batches):
+        kind, row, place, key = (t.column(x).to_numpy() for x in ("kind", "row", "place", "key"))
+        first = np.append(True, key[1:] != key[:-1])
+        at = np.flatnonzero(first)
+        gid = np.cumsum(first) - 1
+        size = np.diff(np.append(at, len(key)))[gid]
+        signed = np.bincount(gid[kind == SIGN], minlength=len(at))[gid] > 0
+        ok = (kind == ALONE) & ((size > 1) | signed)
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (row, place, key)], ["row", "place", "key"])
+
+
+def cut_out(length: int, at_once: int = 200_000):
+    """The bytes of candidate blocks. Of a key in several parts each window is cut out, under a key of its part and its
+    distance from the anchor; of equal windows (of so many) only the earliest, the others are repeats (dist -1, no bytes)."""
+    names = ["key", "row", "start", "dist", "body"]
+
+    def cold(data, start, size, dist, key, ids) -> pa.RecordBatch:
         to = np.concatenate(([0], np.cumsum(size)))
-        body = data[np.repeat(src - to[:-1], size) + np.arange(to[-1])]
-        if hot.any():
-            own = TextBuf(body, to).span_hash(to[:-1], to[1:]).view(np.int64)
-            key = np.where(hot, own, key)
-        cell = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(body)])
-        cols = [pa.array(hot), pa.array(key), pa.array(ids[row]), pa.array(start), pa.array(dist), cell]
-        return pa.RecordBatch.from_arrays(cols, ["hot", "key", "doc_id", "start", "dist", "body"])
+        body = data[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, ids[0], ids[1], dist)), _binaries(body, size)], names)
+
+    def hot(data, start, size, dist, key, ids, parts) -> pa.RecordBatch:
+        many = size - length + 1
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        block = np.repeat(np.arange(len(size)), many)
+        window = np.lib.stride_tricks.sliding_window_view(data, length)[start[block] + step]
+        same = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(block), [None, pa.py_buffer(np.ascontiguousarray(window))])
+        same = same.dictionary_encode().indices.to_numpy().astype(np.int64)
+        away, at = dist[block] - step, ids[1][block] + step
+        order = np.lexsort((at, ids[0][block], same, away, key[block]))
+        new = np.ones(len(order), bool)
+        for x in (same, away, key[block]):
+            new[1:] &= x[order[1:]] == x[order[:-1]]
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = new[1:]
+        text = TextBuf(window.reshape(-1), np.arange(len(block) + 1) * length)
+        part = text.span_hash(text.off[:-1], text.off[1:]) % parts[block].astype(np.uint64)
+        own = mix(key[block].view(np.uint64) + part * STEP[31] + away.astype(np.uint64) * STEP[32])
+        own = np.where(again, mix(np.arange(len(block), dtype=np.uint64)), own).view(np.int64)
+        body = _binaries(window[~again].reshape(-1), np.where(again, 0, length))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (own, ids[0][block], at, np.where(again, -1, 0))), body], names)
+
+    def run(batches):
+        for batch in batches:
+            for cut in slices(batch, "body", 1 << 20):
+                ids = cut.column("row").to_numpy()
+                data, off = binary_parts(cut.column("body"))
+                spots = cut.column("spots")
+                row = np.repeat(np.arange(len(ids)), np.diff(spots.offsets.to_numpy()))
+                flat = spots.flatten()
+                place, key, parts = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                start, size, dist = place >> 16, (place >> 8) & 255, place & 255
+                for several in (False, True):
+                    chosen = np.flatnonzero((parts > 1) == several)
+                    turn = np.cumsum(size[chosen] - length + 1) // at_once if several else np.zeros(len(chosen), np.int64)
+                    for k in np.unique(turn).tolist():
+                        c = chosen[turn == k]
+                        args = (data, off[row[c]] + start[c], size[c], dist[c], key[c], (ids[row[c]], start[c]))
+                        yield hot(*args, parts[c]) if several else cold(*args)
 
-    return by_slices(work, "body", 1 << 20)
+    return run
 
 
 class SuffixOrder:
@@ -258,11 +330,15 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, dist: np.ndarray, run: n
     pair = np.flatnonzero(group[1:] == group[:-1])
     p, q = pos[pair], pos[pair + 1]
     equal = view.common(p, q) >= length
-    said = np.flatnonzero(equal)
     lied = np.zeros(len(pair), bool)
-    for at in range(0, len(said), 50_000):
-        part = said[at : at + 50_000]
-        lied[part] = (data[p[part][:, None] + np.arange(length)] != data[q[part][:, None] + np.arange(length)]).any(1)
+    for at in range(0, len(pair), 50_000):
+        part = slice(at, at + 50_000)
+        x, y = (np.lib.stride_tricks.sliding_window_view(data, length)[v[part]] for v in (p, q))
+        differ = x != y
+        n = differ.argmax(1)
+        i = np.arange(len(n))
+        truly = ~differ[i, n]
+        lied[part] = (truly != equal[part]) | (~truly & (x[i, n] > y[i, n])) | (truly & (p[part] > q[part]))
     found = [q[equal & ~np.isin(group[pair], group[pair][lied])]]
     for g in np.unique(group[pair][lied]).tolist():  # a hash lied: this group by its bytes
         seen: set[bytes] = set()
@@ -275,67 +351,47 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, dist: np.ndarray, run: n
 
 
 def sort_runs(length: int, limit: int = 1 << 20):
-    """Over rows in order of (key, doc_id, start): the spans that candidates lose."""
+    """Over rows in order of (key, row, start): the spans that candidates lose."""
 
     def spans(t: pa.Table) -> pa.RecordBatch:
+        over = t.column("dist").to_numpy() < 0
         data, off = binary_parts(t.column("body"))
-        key, doc, start, dist = (t.column(x).to_numpy() for x in ("key", "doc_id", "start", "dist"))
-        run = np.cumsum(np.append(False, key[1:] != key[:-1]))
-        hit = repeated_windows(data, off, dist, run, length)
-        block = np.searchsorted(off, hit, "right") - 1
-        new = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(block) != 0))) if len(hit) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(hit))[: len(new)] - 1
-        b = block[new]
-        cols = [doc[b], start[b] + hit[new] - off[b], hit[last] - hit[new] + length]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["doc_id", "start", "size"])
+        key, row, start, dist = (t.column(x).to_numpy()[~over] for x in ("key", "row", "start", "dist"))
+        gone = [t.column(x).to_numpy()[over] for x in ("row", "start")]
+        cols = [gone[0], gone[1], np.full(len(gone[0]), length)]
+        if len(key):
+            off = np.append(off[:-1][~over], off[-1])
+            run = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            hit = repeated_windows(data, off, dist, run, length)
+            block = np.searchsorted(off, hit, "right") - 1
+            new = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(block) != 0))) if len(hit) else np.zeros(0, np.int64)
+            last = np.append(new[1:], len(hit))[: len(new)] - 1
+            b = block[new]
+            more = (row[b], start[b] + hit[new] - off[b], hit[last] - hit[new] + length)
+            cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["row", "start", "size"])
 
     def run(batches):
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
+        held, size = [], 0
+        for t in whole_keys(batches):
+            body, key = t.column("body").nbytes, t.column("key").to_numpy()
+            if held and size + body > limit:
+                yield spans(pa.concat_tables(held).combine_chunks())
+                held, size = [], 0
+            if body <= limit:
+                held.append(t)
+                size += body
                 continue
-            t = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
-            key = t.column("key").to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            cuts = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             _, off = binary_parts(t.column("body"))
             at = 0
-            while True:
+            while at < len(key):  # as many whole keys as fit, one at least
                 later = cuts[cuts > at]
-                if not len(later):
-                    break
-                fit = later[off[later] - off[at] <= limit]
-                if not len(fit):
-                    to = int(later[0])
-                elif len(fit) == len(later) and off[-1] - off[at] <= limit:
-                    break
-                else:
-                    to = int(fit[-1])
-                yield spans(t.slice(at, to - at))
+                to = int(max(later[0], later[np.searchsorted(off[later] - off[at], limit, "right") - 1]))
+                yield spans(t.slice(at, to - at).combine_chunks())
                 at = to
-            held = [t.slice(at)]
-        if held and held[0].num_rows:
-            yield spans(held[0].combine_chunks())
-
-    return run
-
-
-def compare_neighbours(length: int):
-    """Over windows of hot keys in order of (key, body, doc_id, start): each one equal to the one before it."""
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, off = binary_parts(batch.column("body"))
-            rows = data.reshape(-1, length)
-            again = np.zeros(len(rows), bool)
-            again[1:] = (rows[1:] == rows[:-1]).all(1)
-            again[0] = held is not None and bool((rows[0] == held).all())
-            held = rows[-1].copy()
-            out = batch.filter(pa.array(again))
-            size = pa.array(np.full(out.num_rows, length, np.int64))
-            yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("start"), size], ["doc_id", "start", "size"])
+        if held:
+            yield spans(pa.concat_tables(held).combine_chunks())
 
     return run
 
@@ -386,57 +442,52 @@ def rewrite(names: list[str], text_col: str):
     return work
 
 
-def with_spans(docs: DataFrame, length: int, hot: int, text_col: str) -> DataFrame:
+def with_spans(docs: DataFrame, length: int, run: int, text_col: str, together: int = TOGETHER) -> DataFrame:
     """docs with ``_body`` (bytes) for the text and ``_spans``, the repeated passages (start, size) to remove."""
     if not GRAM < length <= 128:
         raise ValueError("length must lie above the gram's 24 bytes and be 128 at most")
+    docs, _ = numbered(docs, "_row", text_col=text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    # Without nulls in the key both joins below read one and the same exchange of texts.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    wide = docs.withColumn("_body", body).withColumn("_key", key).drop(text_col)
-    found = docs.select(key.alias("doc_id"), body.alias("body"))
-    found = found.mapInArrow(find_blocks(length), "doc_id long, key long, same long, place long, more binary")
-    found = found.repartition("key").sortWithinPartitions("key", "same", "doc_id", "place")
-    seen = stash(found.mapInArrow(scan, "full boolean, doc_id long, place long, key long"), "blocks")
-    candidates = seen.where("not full")
-    hot_keys = candidates.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
-    any_hot = not hot_keys.isEmpty()
-    if any_hot:
-        candidates = candidates.join(broadcast_if(hot_keys, 1_000_000), "key", "left")
-    candidates = candidates.withColumn("hot", F.coalesce("hot", F.lit(False)) if any_hot else F.lit(False))
-    spots = candidates.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("place", "key", "hot")).alias("spots"))
+    wide = docs.withColumn("_body", body).drop(text_col)
+    found = docs.select(F.col("_row").alias("row"), body.alias("body"))
+    found = found.mapInArrow(find_blocks(length, together), "key long, same long, same2 long, row long, place long, more binary")
+    found = found.repartition("key", "same").sortWithinPartitions("key", "same", "same2", "row", "place")
+    seen = stash(found.mapInArrow(scan, "kind long, row long, place long, key long"), "blocks")
+    alone = seen.where(F.col("kind") >= ALONE).repartition("key").sortWithinPartitions("key")
+    candidates = seen.where(F.col("kind") == SEVERAL).select("row", "place", "key")
+    candidates = stash(candidates.unionByName(alone.mapInArrow(settle_alone, "row long, place long, key long")), "candidates")
+    parts = candidates.groupBy("key").count().where(F.col("count") > run).select("key", F.ceil(F.col("count") / run).alias("parts"))
+    candidates = candidates.join(broadcast_small(stash(parts, "parts")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spots = candidates.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("place", "key", "parts")).alias("spots"))
     cut = cut_out(length)
 
     def cut_bodies(batches):
-        return cut(b.select(["_key", "_body", "spots"]).rename_columns(["doc_id", "body", "spots"]) for b in batches)
-
-    taken = wide.join(spots.hint("shuffle_hash"), "_key")
-    taken = taken.mapInArrow(cut_bodies, "hot boolean, key long, doc_id long, start long, dist long, body binary")
-    out = "doc_id long, start long, size long"
-    cold = taken.where("not hot").repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    spans = cold.mapInArrow(sort_runs(length), out)
-    if any_hot:
-        dealt = taken.where("hot").repartition("key", "body").sortWithinPartitions("key", "body", "doc_id", "start")
-        spans = spans.unionByName(dealt.mapInArrow(compare_neighbours(length), out))
+        return cut(b.select(["_row", "_body", "spots"]).rename_columns(["row", "body", "spots"]) for b in batches)
+
+    taken = wide.join(spots, "_row")  # this join and the last one read the same exchange of texts
+    taken = taken.mapInArrow(cut_bodies, "key long, row long, start long, dist long, body binary")
+    taken = taken.repartition("key").sortWithinPartitions("key", "row", "start")
+    spans = taken.mapInArrow(sort_runs(length), "row long, start long, size long")
     place = F.col("place")
-    whole = seen.where("full").select("doc_id", F.shiftright(place, 16).alias("start"), F.shiftright(place, 8).bitwiseAND(255).alias("size"))
-    spans = whole.unionByName(spans).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
-    joined = wide.join(spans.hint("shuffle_hash"), "_key", "left")
+    whole = seen.where(F.col("kind") == FULL).select("row", F.shiftright(place, 16).alias("start"), F.shiftright(place, 8).bitwiseAND(255).alias("size"))
+    spans = whole.unionByName(spans).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
+    joined = wide.join(spans, "_row", "left")
     none = F.array().cast("array<struct<start:bigint,size:bigint>>")
     return joined.withColumn("_spans", F.coalesce("_spans", none))
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, run: int = RUN, together: int = TOGETHER) -> DataFrame:
     """One row for each row of docs: bytes, removed bytes and runs, SHA-256 of what is left."""
-    wide = with_spans(docs.select("doc_id", "text"), length, hot, "text")
+    wide = with_spans(docs.select("doc_id", "text"), length, run, "text", together)
+    wide = wide.withColumn("doc_id", F.col("doc_id").cast("long"))
     return wide.mapInArrow(by_slices(digest, "_body"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     """docs, all columns, with the repeated passages cut from the texts; a text may become empty."""
     # Columns are numbered on the way, so that none of the operator's own names can clash with theirs.
     plain = {"doc_id": "doc_id", "text": "text"}
     names = [plain.get(c, f"column {i}") for i, c in enumerate(docs.columns)]
-    numbered = docs.toDF(*names)
-    wide = with_spans(numbered, length, hot, "text")
-    return wide.mapInArrow(by_slices(rewrite(names, "text"), "_body"), numbered.schema).toDF(*docs.columns)
+    renamed = docs.toDF(*names)
+    wide = with_spans(renamed, length, run, "text")
+    return wide.mapInArrow(by_slices(rewrite(names, "text"), "_body"), renamed.schema).toDF(*docs.columns)
