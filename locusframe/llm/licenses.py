@@ -20,7 +20,7 @@ ends at a shared pair. Only documents that hold enough of a template's pairs
 within a window's reach are measured.
 
 Null or blank text, and units with one word, match nothing. One row comes out
-for each row in.
+for each row in; rows that repeat an id, or have none, are scanned each by itself.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .licence_texts import BODIES, OPENINGS
+from .shared import numbered
 
 THRESHOLD = 0.9
 # Licence notices and short licences.
@@ -162,11 +163,11 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     table = template_table(docs.sparkSession, templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [r[0] for r in table.select("n_template").distinct().collect()]  # of the fixed list
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    text = F.coalesce("text", F.lit(""))
+    docs, _ = numbered(docs.select("doc_id", "text"), "key")
+    key, text = F.col("key"), F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
     may = holds_any(telling_words(templates, threshold))
-    unit = docs.where(may(text)).select("doc_id", key.alias("key"), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
+    unit = docs.where(may(text)).select("key", F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
     # A unit of n bigrams has more than n words, each with a letter at least and a gap: a bound without cutting words.
     longest = max(sizes) * high
     shortest = min(sizes) * low
@@ -181,9 +182,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     hit = met.select("key", "line", "template", "licence", dice).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("line")).alias("minus_line"), (-F.col("template")).alias("minus_template"), "licence"))
     per = hit.groupBy("key").agg(F.countDistinct("line").alias("n_units"), best.alias("best"))
-    windows = best_windows(docs.select(key.alias("key"), text.alias("text")), threshold, (*templates, *texts))
+    windows = best_windows(docs.select("key", text.alias("text")), threshold, (*templates, *texts))
     per = per.unionByName(windows.join(per.select("key"), "key", "left_anti"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")).join(per, "key", "left")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "key").join(per, "key", "left")
     return out.select(
         "doc_id",
         F.coalesce("n_units", F.lit(0)).alias("n_units"),
