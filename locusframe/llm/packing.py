@@ -36,8 +36,6 @@ CLOSING_ID = 0
 REMEMBERED = 500_000
 #: Longer words are not remembered.
 LONG_WORD = 64
-#: Parts in which pieces of one length are ranked.
-RANK_PARTS = 64
 
 # Texts of these characters are cut into words here; others go to the tokenizer as a whole. The set leaves out
 # what normalisation changes (combining marks), letters whose lower case is longer, and rare kinds of space.
@@ -261,9 +259,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     table = places(best_two_fit(counts, capacity))
     span = max(counts.values(), default=0) + 1
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS))
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    with_rank = ranked(cut, ["length"], part, order, "rank")
+    with_rank = ranked(cut, ["length"], order, "rank")
     with_rank = with_rank.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return with_rank.mapInArrow(place(table, span), schema)

@@ -131,12 +131,12 @@ WITH RECURSIVE bits AS (
   SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
   UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(c ORDER BY b) AS tbl FROM bits WHERE k = 8),
-d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5('interleave-1' || coalesce(':' || doc_id, '')) AS h FROM documents),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x, md5('interleave-1:' || coalesce(text, '')) AS h FROM documents),
 r AS (SELECT doc_id, source, h, CAST(length(x) // 2 + 8 AS BIGINT) AS size,
     xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
       lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, crc),
-f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fr FROM r),
-p AS (SELECT *, row_number() OVER (ORDER BY fr, source NULLS FIRST, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fr FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fr, source NULLS FIRST, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
 SELECT doc_id, source, size, text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard,
   pos - ((pos * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
