@@ -11,7 +11,13 @@ that a seeded generator lays out in many ways. A page's main text is the own
 text of the nodes whose marginal exceeds one half, in page order.
 
 Scripts, styles, comments and other markup have no text. Character references
-are decoded; white space inside a block becomes one space. Null html is empty.
+are decoded; white space inside a block becomes one space. Inline elements belong
+to their block, whatever they are called, unless the block has less text than they.
+
+Null or blank html gives an empty text. Every row is judged by itself, so ties and
+repeated rows give equal texts, and an empty table gives no rows. Pages are read in
+time that grows with their length: a tag that never ends is dropped with what
+follows it, and elements deeper than DEPTH become children of the last one above.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages that the weights are trained on, their seed, and gradient steps.
-TRAIN_PAGES = 400
+TRAIN_PAGES = 600
 TRAIN_SEED = 11
 STEPS = 250
 
@@ -66,17 +72,29 @@ _LOOSE = ("cookie", "advert", "sponsor", "comment", "sidebar", "footer", "naviga
 _LOOSE_CUE = ("notice", "advert", "advert", "comment", "side", "footer", "menu", "share", "share")
 
 N_TAGS, N_CUES = len(TAGS) + 1, len(CUES)
-N_NUMBERS = 12
+N_NUMBERS = 13
 WIDTH = N_TAGS + N_CUES + N_NUMBERS
+#: Tags and cues of regions beside the article.
+SIDE_COLUMNS = [*(_TAG_OF[t] for t in ("nav", "aside", "footer", "form", "dialog", "head")), *(N_TAGS + i for i, c in enumerate(CUES) if c not in ("main", "meta"))]
 MAIN_COLUMNS = [_TAG_OF["article"], _TAG_OF["main"], N_TAGS + list(CUES).index("main")]
 #: Kinds of edges: the child is plain, a section of its own, or named by a cue.
 SECTIONING = frozenset("nav header footer aside form main article section dialog button select fieldset".split())
 KINDS = 3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+#: Elements are nested so deep at most.
+DEPTH = 400
+# Words in names that say nothing of what a region is for.
+NEUTRAL = frozenset(
+    "box wrap wrapper container inner outer block area section region zone left right top panel item items list links link posts articles stories cards "
+    "card group column col row grid layout module component unit slot holder site global primary secondary js is has sticky fixed new mobile desktop "
+    "sm md lg xs default standard buttons button icons icon bar strip reader user the one two three".split()
 )
+TEXT_BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre figcaption caption summary".split())
+
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _WORDS = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in (*RAW, "title", "textarea")}
 
@@ -95,6 +113,8 @@ class Tree:
 
     def add(self, parent: int, tag: str, attrs: str) -> int:
         cues, hidden = _read_attrs(attrs) if attrs else (frozenset(), False)
+        if self.depth[parent] >= DEPTH:
+            parent = self.parent[parent]
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
@@ -103,102 +123,177 @@ class Tree:
         return len(self.parent) - 1
 
 
-@functools.lru_cache(maxsize=20_000)
-def _read_attrs(attrs: str) -> tuple[frozenset[int], bool]:
+def _name_cues(name: str) -> set[int]:
+    """What one class, id or role says: its last word that is not neutral counts, as in "reader-comments" or
+    "acme-footer-box"; "popular-science" is no list of popular pages."""
+    words = _WORDS.findall(_HUMP.sub(r"\1-\2", name).lower())
+    main = list(CUES).index("main")
+    known = {_CUE_OF[w] for w in words if w in _CUE_OF}
+    head = next((w for w in reversed(words) if w not in NEUTRAL and _CUE_OF.get(w) != main), None)
+    if head is None:
+        return known
+    if head in _CUE_OF:
+        return known
+    return {list(CUES).index(c) for w, c in zip(_LOOSE, _LOOSE_CUE, strict=True) if w in head} if len(words) == 1 else set()
+
+
+def _attrs(attrs: str) -> tuple[frozenset[int], bool]:
     cues, hidden = set(), False
-    names = list(CUES)
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
             hidden = True
         elif name in ("class", "id", "role"):
-            cues.update(_CUE_OF[w] for w in _WORDS.findall(value) if w in _CUE_OF)
-            cues.update(names.index(c) for w, c in zip(_LOOSE, _LOOSE_CUE, strict=True) if w in value)
+            for x in value.split():
+                cues |= _name_cues(x)
     if len(cues) > 1:
-        cues.discard(names.index("main"))  # "sponsored-content", "comment-body": the other word tells
+        cues.discard(list(CUES).index("main"))  # "sponsored-content", "comment-body": the other word tells
     return frozenset(cues), hidden
 
 
+_short_attrs = functools.lru_cache(maxsize=20_000)(_attrs)
+
+
+def _read_attrs(attrs: str) -> tuple[frozenset[int], bool]:
+    return _short_attrs(attrs) if len(attrs) < 300 else _attrs(attrs)
+
+
+def _tokens(page: str):
+    """Texts (None, text) and tags (name, (closing, attributes, end)); the reader may send a place to go on from."""
+    at, size, quotes = 0, len(page), True
+    seek = 0
+    while at < size:
+        start = page.find("<", max(at, seek))
+        tag = start >= 0 and _NAME.match(page, start)
+        if start >= 0 and not tag and page[start + 1 : start + 2] not in ("!", "?"):
+            seek = start + 1  # a sign, no tag
+            continue
+        stop = start if start >= 0 else size
+        if stop > at:
+            yield None, page[at:stop]
+        if start < 0:
+            return
+        if not tag:
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + 2)
+            at = end + len(mark) if end >= 0 else size
+            continue
+        whole = _TAG.match(page, start) if quotes else None
+        if whole:
+            at, attrs = whole.end(), whole.group(3)
+        else:
+            end = page.find(">", tag.end())
+            if end < 0:
+                return  # a tag that never ends
+            quotes = False  # a quote that never ends: from here on the next > ends a tag
+            at, attrs = end + 1, page[tag.end() : end]
+        to = yield tag.group(2).lower(), (tag.group(1) != "", attrs, at)
+        if to is not None:
+            at = to
+            yield None, ""  # the answer to send()
+
+
+class Stack:
+    """Open elements with their nodes, and how many of each kind are open."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("html", 0)]
+        self.open: dict[str, int] = {"html": 1}
+
+    def push(self, tag: str, node: int) -> None:
+        self.items.append((tag, node))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def cut(self, k: int) -> None:
+        """Elements from the k-th on are closed."""
+        for tag, _ in self.items[k:]:
+            self.open[tag] -= 1
+        del self.items[k:]
+
+    def close(self, tags: frozenset[str] | set[str], fence) -> bool:
+        """The innermost open element of these kinds and all in it are closed, if none that fence(tag) names stands before it."""
+        if not any(self.open.get(t) for t in tags):
+            return False
+        for k in range(len(self.items) - 1, 0, -1):
+            if self.items[k][0] in tags:
+                self.cut(k)
+                return True
+            if fence(self.items[k][0]):
+                return False
+        return False
+
+
 def parse(page: str) -> Tree:
     """The tree of a page; missing and stray end tags are mended as browsers mostly do."""
-    tree = Tree()
-    stack: list[tuple[str, int]] = [("html", 0)]  # element, its node; inline elements share their block's node
-    links = 0
-    at, size = 0, len(page)
-    find = _TOKEN.search
-    while at < size:
-        m = find(page, at)
-        start = m.start() if m else size
-        if start > at:
-            text = page[at:start]
-            if not text.isspace():
-                tree.parts.append((stack[-1][1], entities.unescape(text) if "&" in text else text, links > 0))
-            else:
-                tree.parts.append((stack[-1][1], " ", False))
-        if not m:
-            break
-        at = m.end()
-        tag = m.group(2)
+    tree, stack = Tree(), Stack()
+    size = len(page)
+    endless: set[str] = set()
+    named: list[int] = []
+    size_of: dict[int, int] = {}
+
+    def say(node: int, text: str) -> None:
+        if text.isspace():
+            tree.parts.append((node, " ", False))
+        else:
+            text = entities.unescape(text) if "&" in text else text
+            tree.parts.append((node, text, stack.open.get("a", 0) > 0))
+            size_of[node] = size_of.get(node, 0) + len(text.strip())
+
+    reader = _tokens(page)
+    for tag, got in reader:
+        top = stack.items[-1][1]
         if tag is None:
+            if got:
+                say(top, got)
             continue
-        tag = tag.lower()
-        if m.group(1):
-            if tag in ("p", "br") and not any(t == tag for t, _ in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        closing, attrs, at = got
+        if closing:
+            if tag not in ("html", "body"):
+                stack.close({tag}, (lambda t: t not in INLINE) if tag in INLINE else (lambda t: False))
             continue
-        attrs = m.group(3)
         if tag in RAW or tag in ("title", "textarea"):
-            if not attrs.endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if (not attrs.endswith("/") or tag in ("script", "style", "title", "textarea")) and tag not in endless:
                 end = _RAW_END[tag].search(page, at)
+                if not end and tag in RAW and tag not in ("script", "style"):
+                    endless.add(tag)
+                    continue
                 if tag in ("title", "textarea"):
-                    node = tree.add(stack[-1][1], tag, attrs)
-                    tree.parts.append((node, entities.unescape(page[at : end.start() if end else size]), False))
-                at = end.end() if end else size
+                    say(tree.add(top, tag, attrs), page[at : end.start() if end else size] or " ")
+                reader.send(end.end() if end else size)
             continue
-        if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
+        if tag == "html" or (tag == "body" and stack.open.get("body")):
             continue
         if tag in INLINE:
             if tag == "br":
-                tree.parts.append((stack[-1][1], " ", False))
+                tree.parts.append((top, " ", False))
             elif tag not in VOID and not attrs.endswith("/"):
-                node = stack[-1][1]
                 cues, hidden = _read_attrs(attrs) if attrs else (frozenset(), False)
-                if hidden or (cues and tag not in ("a",)):  # a named inline region is judged by itself
-                    node = tree.add(node, "div", attrs)
-                stack.append((tag, node))
-                links += tag == "a"
+                node = top
+                if hidden or (cues and tag != "a" and tree.tag[top] not in TEXT_BLOCKS):  # a named region is judged by itself
+                    node = tree.add(top, "div", attrs)
+                    if not hidden:
+                        named.append(node)
+                stack.push(tag, node)
             continue
         if tag in P_ENDERS:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == "p":
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if t not in INLINE:
-                    break
+            stack.close({"p"}, lambda t: t not in INLINE)
         if tag in CLOSES:
             closed, fence = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closed:
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in fence:
-                    break
+            stack.close(closed, lambda t, fence=fence: t in fence)
+        top = stack.items[-1][1]
         if tag in VOID:
-            tree.parts.append((stack[-1][1], " ", False))
+            tree.parts.append((top, " ", False))
             continue
-        node = tree.add(stack[-1][1], tag, attrs)
+        node = tree.add(top, tag, attrs)
         if not attrs.endswith("/"):
-            stack.append((tag, node))
+            stack.push(tag, node)
+    back = {}
+    for k in named:  # a named part of a sentence is part of its block
+        if size_of.get(tree.parent[k], 0) > size_of.get(k, 0):
+            back[k] = back.get(tree.parent[k], tree.parent[k])
+            tree.cues[k] = frozenset()
+    if back:
+        tree.parts = [(back.get(n, n), text, link) for n, text, link in tree.parts]
     return tree
 
 
@@ -243,15 +338,17 @@ class Forest:
             np.add.at(whole_links, self.parent[nodes], whole_links[nodes])
         hidden = np.array([h for t in trees for h in t.hidden], float)
         is_main = x[:, MAIN_COLUMNS].any(1)
-        inside = np.zeros(total, bool)
+        is_side = x[:, SIDE_COLUMNS].any(1)
+        inside, beside = np.zeros(total, bool), np.zeros(total, bool)
         for nodes in self.levels:
             inside[nodes] = inside[self.parent[nodes]] | is_main[self.parent[nodes]]
+            beside[nodes] = beside[self.parent[nodes]] | is_side[self.parent[nodes]]
         has_main = np.repeat(np.add.reduceat(is_main, roots) > 0, n) if total else is_main
         numbers = np.stack(
             [
                 np.ones(total), own > 0, np.minimum(np.log1p(own), 8) / 4, np.minimum(np.log1p(whole), 10) / 5, linked / np.maximum(own, 1),
                 whole_links / np.maximum(whole, 1), np.minimum(ends, 5) / 5, hidden, (own > 0) & (own < 30), own > 120,
-                inside, has_main & ~inside & ~is_main,
+                inside, has_main & ~inside & ~is_main, is_main & ~inside & ~beside & ~is_side,
             ], 1,
         )
         x[:, N_TAGS + N_CUES :] = numbers
@@ -295,7 +392,7 @@ def train(trees: list[Tree], labels: list[list[int]]) -> tuple[np.ndarray, np.nd
         p, joint = forest.marginals(w, pair)
         want = np.zeros((KINDS, 2, 2))
         np.add.at(want, forest.kind[child], joint[child])
-        grad = np.concatenate((forest.x.T @ (y - p), (seen - want).reshape(-1))) / len(trees) - 0.002 * theta
+        grad = np.concatenate((forest.x.T @ (y - p), (seen - want).reshape(-1))) / len(trees) - 0.0004 * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         theta = theta + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -319,6 +416,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> tuple[list[T
     for _ in range(n):
         t = Tree()
         y = [1]
+        brief = chance(0.3)  # an article of a few words
 
         def add(parent: int, tag: str, attrs: str = "", text: str = "", good: int = 0, link: bool = False, t=t, y=y) -> int:
             k = t.add(parent, tag, attrs)
@@ -387,11 +485,18 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> tuple[list[T
                 k = add(parent, "div", a("share", "social", "follow", "subscribe"), say(1, 5) if chance(0.5) else "")
                 listing(k, 1, 4)
 
-        def prose(parent: int, add=add) -> None:
-            for _ in range(int(rng.integers(1, 9))):
+        def prose(parent: int, add=add, brief=brief) -> None:
+            for _ in range(int(rng.integers(1, 3 if brief else 9))):
                 what = rng.random()
-                if what < 0.7:
-                    add(parent, "p", 'class="text"' if chance(0.1) else "", say(1, 90, "." if chance(0.9) else ""), 1, chance(0.03))
+                if what < 0.62:
+                    add(parent, "p", 'class="text"' if chance(0.1) else "", say(1, 9 if brief else 90, "." if chance(0.9) else ""), 1, chance(0.03))
+                elif what < 0.65:
+                    d = add(parent, "dl", "", "", 1)
+                    for _ in range(int(rng.integers(1, 5))):
+                        add(d, "dt", "", say(1, 4), 1)
+                        add(d, "dd", "", say(1, 25, "."), 1)
+                elif what < 0.72:
+                    add(parent, pick(["pre", "pre", "address", "div", "div", "section"]), "", say(1, 40, pick(["", "."])), 1)
                 elif what < 0.8:
                     add(parent, pick(["h2", "h3", "h4"]), "", say(1, 8), 1)
                 elif what < 0.88:
@@ -425,17 +530,19 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> tuple[list[T
         if chance(0.85):
             shape = pick(["article", "article", "div", "main", "section"])
             attrs = pick(["", "", 'class="post"', 'class="article-body"', 'class="entry-content"', 'id="content"']) if shape in ("article", "main") else pick(['class="content"', 'class="post"', 'id="article"', 'class="story"', ""])
-            art = add(place, shape, attrs, say(5, 60, ".") if chance(0.15) else "", 1)
+            bare = chance(0.08)  # text without blocks
+            art = add(place, shape, attrs, say(3, 12 if brief else 60, ".") if bare or chance(0.15) else "", 1)
         else:
-            art = place
+            art, bare = place, False
         if chance(0.7):
             hold = art
             if chance(0.15):
                 hold = add(art, "header", "", "", 1)
             add(hold, "h1", "", say(1, 12), 1)
-        prose(art)
+        if not bare:
+            prose(art)
         for _ in range(int(rng.integers(0, 3))):
-            if chance(0.4):
+            if not bare and chance(0.4):
                 junk(art)
                 prose(art)
         if place == body or chance(0.7):

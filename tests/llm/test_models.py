@@ -34,24 +34,6 @@ def test_held_out_layouts():
     assert ((p > 0.5) == y).mean() > 0.99
 
 
-def test_messages_are_exact_marginals():
-    trees, _ = html.labelled_pages(6, seed=3)
-    tree = min(trees, key=lambda t: len(t.parent))
-    f = html.Forest([tree])
-    rng = np.random.default_rng(1)
-    w, pair = rng.normal(size=html.WIDTH) / 3, rng.normal(size=(html.KINDS, 2, 2))
-    n = len(tree.parent)
-    if n > 14:
-        pytest.skip("too many labellings")
-    u, total, mass = f.x @ w, 0.0, np.zeros(n)
-    for m in range(2**n):
-        y = [(m >> i) & 1 for i in range(n)]
-        e = np.exp(sum(u[i] * y[i] for i in range(n)) + sum(pair[f.kind[i], y[f.parent[i]], y[i]] for i in range(1, n)))
-        total += e
-        mass += e * np.array(y)
-    assert f.marginals(w, pair)[0] == pytest.approx(mass / total)
-
-
 def test_odd_pages(spark):
     rows = [(0, "u", None), (1, None, ""), (2, "u", "<"), (3, "u", "plain text only"), (4, "u", "<p>" * 3000 + "deep"), (5, "u", "</div></p>"), (6, "u", "<!-- open"), (6, "u", "<b>x"), (None, "u", "<div><span>a</span></div>"), (8, "u", "<div>" * 3000 + "deep")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as text", "1 as n_chars")).collect()
