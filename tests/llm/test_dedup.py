@@ -120,10 +120,11 @@ def passages(seed):
     return [*texts, "ab" * 400, "ab" * 130, "z" * 99, "z" * 100, "z" * 101, *ODD]
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 1])
-def test_repeats_against_plain_python(docs_of, hot):
+@pytest.mark.parametrize(("run", "together"), [(suffix.RUN, suffix.TOGETHER), (1, 1), (2, 1 << 24)])
+def test_repeats_against_plain_python(docs_of, run, together):
+    """Also with keys of two or three blocks split into several runs, and equal blocks of each batch sent apart."""
     texts = passages(3)
-    got = {r["doc_id"]: r for r in suffix.repeated_passages(docs_of(texts), hot=hot).collect()}
+    got = {r["doc_id"]: r for r in suffix.repeated_passages(docs_of(texts).repartition(5), run=run, together=together).collect()}
     want = remove(texts)
     assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == [w[:4] for w in want]
 
@@ -141,11 +142,11 @@ def test_pieces_of_a_long_text(docs_of, monkeypatch):
     import pyarrow as pa
 
     text = bytes(random.Random(1).choices(b"abcd ", k=3000))
-    cut = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text + text], pa.binary())], ["doc_id", "body"])
-    small = [b for b in suffix.find_blocks(100)(iter([cut]))][0].to_pandas()
+    cut = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text + text], pa.binary())], ["row", "body"])
+    small = pa.Table.from_batches(suffix.find_blocks(100)(iter([cut]))).to_pandas()
     monkeypatch.setattr(suffix, "PIECE", 1 << 22)
-    whole = [b for b in suffix.find_blocks(100)(iter([cut]))][0].to_pandas()
-    places = lambda d: [*d["place"], *np.frombuffer(b"".join(d["more"]), "<i8")[1::2].tolist()]
+    whole = pa.Table.from_batches(suffix.find_blocks(100)(iter([cut]))).to_pandas()
+    places = lambda d: [*d["place"][d["more"] == b""], *np.frombuffer(b"".join(d["more"]), "<i8")[1::2].tolist()]
     covered = lambda d: {(p >> 16) + k for p in places(d) for k in range((p >> 8 & 255) - 99)}
     assert covered(small) == covered(whole) == set(range(5901))
 
@@ -162,3 +163,63 @@ def test_lying_hashes_are_found():
     finally:
         TextBuf.prefix = property(real)
     assert plain.tolist() == lied.tolist() == []
+
+
+THUE = [bin(i).count("1") % 2 for i in range(2048)]
+#: Two texts of one word whose polynomials modulo 2**64 are equal for every base.
+TWINS = ["".join("ab"[x] for x in THUE), "".join("ba"[x] for x in THUE)]
+
+
+def test_texts_with_equal_polynomials(docs_of):
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs_of([*TWINS, "x " + TWINS[0], "x " + TWINS[1]])).collect()}
+    assert [got[i]["component_id"] for i in range(4)] == [0, 1, 2, 3]
+    texts = [TWINS[0], TWINS[1], TWINS[0][:1024] + TWINS[1][:1024]]
+    gone = {r["doc_id"]: r["n_removed"] for r in suffix.repeated_passages(docs_of(texts)).collect()}
+    assert [gone[i] for i in range(3)] == [w[1] for w in remove(texts)]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_components_with_short_hashes(docs_of, bits):
+    """Shingles whose hashes agree are told apart by their words, in sets, classes, links and the prefix filter."""
+    texts = ODD + family(4, n=25) + family(5, n=20, length=25) + [" ".join(f"s{i}" for i in range(k, k + 40)) for k in range(0, 60, 3)] + TWINS
+    random.Random(5).shuffle(texts)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(docs_of(texts), bits=bits).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == components(texts)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(sets(t)) for t in texts]
+
+
+REPEATED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(130))
+    other = " ".join(f"v{i}" for i in range(130))
+    rows = [(5, long), (5, other), (8, long + " more"), (9, other + " more"), (0, long), (0, long), (None, long), (None, "z" * 300), (None, None), (3, "")]
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], REPEATED), rows
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    docs, rows = repeated_ids(spark)
+    comp = components([t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))])
+    ids = sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    want = sorted((str(i), str(ids[c])) for i, c in zip(ids, comp, strict=True))
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == want
+    kept = neardup.kept_rows(docs).collect()
+    assert len(kept) == len(set(comp)) and {t for _, t in rows if t} >= {r["text"] for r in kept if r["text"]}
+    assert sum(r["text"] is not None and r["text"].startswith("v") for r in kept) == 1
+
+
+def test_repeats_with_repeated_ids(spark):
+    docs, rows = repeated_ids(spark)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix.repeated_passages(docs).collect())
+    null = [g for g in got if g[0] == "None"]
+    assert len(got) == len(rows)
+    n = len(rows[0][1])
+    assert sorted(null) == [("None", 0, 0), ("None", 300, 299), ("None", n, 0)]
+    assert [g for g in got if g[0] == "0"] == [("0", n, n)] * 2
+    assert [g for g in got if g[0] == "5"] == [("5", n, 0), ("5", n, n)]
+    again = spark.createDataFrame([(0, "some text " * 60), (0, "some text " * 60)], "doc_id long, text string")
+    left = sorted(len(r["text"]) for r in suffix.without_repeats(again).collect())
+    first = remove(["some text " * 60])[0]
+    assert left == [0, first[0] - first[1]]

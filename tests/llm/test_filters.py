@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from locusframe.llm import decontam, licenses, quality, queries, urlfilter
+from locusframe.llm import decontam, licenses, quality, queries, shared, urlfilter
 
 from .conftest import ODD
 
@@ -50,9 +50,9 @@ def test_lines_first(docs_of):
     got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
     assert [got[i]["kept"] for i in range(5)] == [True, True, False, False, True]
     assert got[4]["n_bad_lines"] == 1
-    clean = {r["doc_id"]: r["clean"] for r in quality.cleaned_texts(docs).collect()}
-    assert clean[0] == good and noise not in clean[1] and clean[4].rstrip("\n") == good
-    assert {r["doc_id"] for r in quality.kept_documents(docs).collect()} == {0, 1, 4}
+    clean = {r["doc_id"]: r for r in quality.clean_documents(docs).collect()}
+    assert set(clean) == {0, 1, 4} and all(r["n_chars"] == len(r["text"]) for r in clean.values())
+    assert clean[0]["text"] == good and noise not in clean[1]["text"] and clean[4]["text"].rstrip("\n") == good
 
 
 def test_empty_tables(spark, docs_of):
@@ -92,11 +92,11 @@ def test_decontamination_against_plain_python(spark, docs_of):
 
 
 def _without_broadcast(docs, bench):
-    limit, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, 0
+    limit, shared.BROADCAST_BYTES = shared.BROADCAST_BYTES, -1
     try:
         return decontam.contamination(docs, bench).collect()
     finally:
-        decontam.BROADCAST_ROWS = limit
+        shared.BROADCAST_BYTES = limit
 
 
 def test_repeated_rows_and_clashing_columns(spark, docs_of):
@@ -106,7 +106,7 @@ def test_repeated_rows_and_clashing_columns(spark, docs_of):
     assert sorted(r["n_hit"] for r in decontam.contamination(docs, bench).collect()) == [0, 0, 10, 10]
     kept = decontam.clean_documents(docs, bench)
     assert kept.columns == docs.columns and kept.count() == 2
-    assert quality.quality_rules(docs).count() == 4 and quality.kept_documents(docs).columns == docs.columns
+    assert quality.quality_rules(docs).count() == 4 and quality.clean_documents(docs).columns == docs.columns
 
 
 def test_licences(docs_of):
@@ -154,3 +154,28 @@ def test_url_lists(spark):
 def test_words_of_odd_texts(odd):
     got = {r["doc_id"]: r["n_words"] for r in quality.quality_rules(odd).collect()}
     assert got == {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in enumerate(ODD)}
+
+
+def test_long_lines_and_words_are_compared_as_such(docs_of):
+    from .test_dedup import TWINS
+
+    lines = [f"{a} and this is a line of its own." for a in TWINS]
+    text = "\n".join([*lines, lines[0]])
+    words = " ".join(f"{a} b c" for a in TWINS)
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs_of([text, words, words + " " + words])).collect()}
+    assert [got[i]["n_dup_lines"] for i in range(3)] == [1, 0, 0]
+    assert [got[i]["n_repeat_words"] for i in range(3)] == [26, 0, 12]
+
+
+def test_repeated_ids_keep_their_own_rows(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(5, item + " and more"), (5, "single"), (5, "other words " * 20), (None, item), (None, "x y"), (7, item), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "'s' as spaced", "2 as _row")
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "x y")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == sorted([("5", 13, 11, 1, True), ("5", 1, 0, 0, False), ("5", 40, 0, 0, False), ("None", 11, 11, 1, True), ("None", 2, 2, 1, True), ("7", 11, 11, 1, True), ("7", 11, 11, 1, True)])
+    clean = decontam.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["text"] for r in clean.collect()) == ["other words " * 20, "single"]
+    rows = [(1, "Released under the MIT License."), (1, "nothing of that kind"), (None, "Licensed under CC BY-NC 4.0."), (None, "no")]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["licence"])) for r in found) == [("1", "MIT"), ("1", "None"), ("None", "CC-BY-NC-4.0"), ("None", "None")]

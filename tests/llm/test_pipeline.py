@@ -12,12 +12,33 @@ from .test_dedup import components, remove  # noqa: E402
 from .test_models import TOKENIZER, token_ids  # noqa: E402
 
 
+def cleaned(text):
+    """Lines that fail go, each with its line feed."""
+    from locusframe.llm.quality import CLOSING, PHRASES, SEPARATORS
+
+    def fails(line):
+        w = re.findall("[^\x20\x09-\x0d]+", line)
+        if not w:
+            return False
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        seps = sum(x in SEPARATORS for x in w)
+        return (
+            10 * len(re.findall(r"[#*$%&|<>]", line)) > sum(map(len, w))
+            or 3 * line.count("!") > len(w)
+            or (seps > 0 and 4 * seps >= len(w))
+            or (len(w) <= 5 and w[-1][-1] not in CLOSING)
+            or (len(w) <= 25 and any(p in low for p in PHRASES))
+        )
+
+    return "".join(line for line in re.findall("[^\n]*\n|[^\n]+", text) if not fails(line.rstrip("\n")))
+
+
 def plain(spark, sf):
     from locusframe.llm import quality
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()}
-    text = {r["doc_id"]: r["text"] for r in docs.orderBy("doc_id").collect() if r["doc_id"] in kept}
+    text = {r["doc_id"]: cleaned(r["text"]) for r in docs.orderBy("doc_id").collect() if r["doc_id"] in kept}
     ids = sorted(text)
     comp = components([text[i] for i in ids])
     ids = [i for k, i in enumerate(ids) if comp[k] == k]
