@@ -16,14 +16,13 @@ from locusframe.llm.shared import stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line and base rules, as they are."""
-    return quality.kept_documents(docs)
+    """Documents that pass the line and base rules, without the lines that fail."""
+    return quality.clean_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of each component of near-duplicates, the row with the smallest doc_id."""
+    return neardup.kept_rows(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
