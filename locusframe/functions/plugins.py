@@ -56,7 +56,14 @@ def call(df: DataFrame, f: str | Callable, inputs: Sequence[str], outputs: str |
     return df.drop(*names).groupBy(*(by or [F.lit("all")])).applyInPandas(run, schema)
 
 
-def reduce_columns(df: DataFrame, f: Callable, inputs: Sequence[str]) -> float:
-    """A function of whole columns that gives one number, for printing; the columns come to the driver."""
-    pdf = df.select(*inputs).toPandas()
-    return float(np.asarray(f(*[pdf[c].to_numpy() for c in inputs])).reshape(-1)[0])
+def reduce_columns(df: DataFrame, f: Callable, inputs: Sequence[str], rows: int = 20_000_000) -> float:
+    """A function of whole columns that gives one number, for printing. It runs in a task of an executor, and only the
+    number comes to the driver; more than ``rows`` rows raise an error, as one task must hold the columns."""
+    n = df.count()
+    if n > rows:
+        raise ValueError(f"{n} rows are too many for one task; aggregate first")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"value": [float(np.asarray(f(*[pdf[c].to_numpy() for c in inputs])).reshape(-1)[0])]})
+
+    return df.select(*inputs).groupBy(F.lit("all")).applyInPandas(run, "value double").first()["value"]

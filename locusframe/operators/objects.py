@@ -71,14 +71,14 @@ def objects_from_cells(cells: DataFrame, faces: DataFrame, locs: DataFrame, fact
     return objects_from_faces(faces.join(ok, "face_id", "left_semi"), locs, **limits)
 
 
-def cluster_sweep(cells: DataFrame, sides: DataFrame, average: float, start: float = 1.0, stop: float = 2.0, step: float = 0.5, min_locs: int = 1) -> DataFrame:
+def cluster_sweep(cells: DataFrame, sides: DataFrame, average: float, start: float = 1.0, stop: float = 2.0, step: float = 0.5, min_locs: int = 1, max_locs: int | None = None) -> DataFrame:
     """(factor, loc_id, cluster): components of dense cells over their sides for each factor; 0 for none."""
     out, f = None, start
     while f <= stop + 1e-9:
         dense = stash(cells.where(F.col("density") >= f * average).select("loc_id"), "dense")
         links = sides.where("loc_id < neigh").select(F.col("loc_id").alias("a"), F.col("neigh").alias("b"))
         links = links.join(dense.withColumnRenamed("loc_id", "a"), "a", "left_semi").join(dense.withColumnRenamed("loc_id", "b"), "b", "left_semi")
-        c = relabel(clusters(dense, links, min_locs), "cluster", "n").select("loc_id", F.coalesce(F.col("n") + 1, F.lit(0)).alias("cluster"))
+        c = relabel(clusters(dense, links, min_locs, max_locs), "cluster", "n").select("loc_id", F.coalesce(F.col("n") + 1, F.lit(0)).alias("cluster"))
         one = cells.select(F.lit(f).alias("factor"), "loc_id").join(c, "loc_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
         out = one if out is None else out.unionByName(one)
         f += step

@@ -20,13 +20,16 @@ def radii(lo: float = 10.0, hi: float = 200.0, step: float = 10.0) -> list[float
 
 
 def edge_factor(x: Column, y: Column, r: Column, box: tuple[float, float, float, float]) -> Column:
-    """1 / share of a circle's arc about (x, y) inside the box, for circles that meet one or two adjacent edges."""
+    """1 / share of a circle's arc about (x, y) inside the box, for any edges that it meets, opposite ones too.
+
+    Beyond an edge at distance d lies an arc of 2 * acos(d / r); arcs of neighbouring edges share what
+    exceeds a right angle between them, about the corner.
+    """
     x0, y0, x1, y1 = (F.lit(float(v)) for v in box)
-    dx, dy = F.least(x - x0, x1 - x), F.least(y - y0, y1 - y)
-    ax = F.when(dx < r, F.acos(F.least(dx / r, F.lit(1.0)))).otherwise(0.0)
-    ay = F.when(dy < r, F.acos(F.least(dy / r, F.lit(1.0)))).otherwise(0.0)
-    corner = dx * dx + dy * dy < r * r
-    lost = F.when(corner, F.lit(math.pi / 2) + ax + ay).otherwise(2 * (ax + ay))
+    half = [F.acos(F.least(d / r, F.lit(1.0))) for d in (x - x0, y - y0, x1 - x, y1 - y)]
+    lost = F.lit(0.0)
+    for a, b in zip(half, half[1:] + half[:1], strict=True):
+        lost = lost + 2 * a - F.greatest(a + b - math.pi / 2, F.lit(0.0))
     return F.lit(2 * math.pi) / F.greatest(F.lit(2 * math.pi) - lost, F.lit(1e-9))
 
 

@@ -13,7 +13,7 @@ from ..operators import coloc, fit, graph, objects, overlap, ripley, roi, select
 from ..runtime import stash
 from ..sources import files
 from . import macro
-from .views import FRAMES, PTS, TRACKS, frames, pts, radius, table, track_points, two_colours
+from .views import FRAMES, PTS, TRACKS, frames, pts, table, track_points, two_colours
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more  # noqa: F401  registers its queries
+    from . import more, single  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more  # noqa: F401
+    from . import more, single  # noqa: F401
 
     return dict(_SQL)
 
@@ -49,8 +49,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 
 
-#: The radius that the SQL uses, as views.radius gives it.
-R10 = "(SELECT 10.0 * sqrt(15000.0 / count(*)) FROM pts)"
+#: The radius of neighbour queries, the same at every size.
+RADIUS = 10.0
+R10 = str(RADIUS)
 #: Pairs of points within the radius by SQL: a join on grid cells.
 NEAR = f"""g AS (SELECT *, CAST(floor(x / r) AS BIGINT) AS cx, CAST(floor(y / r) AS BIGINT) AS cy FROM (SELECT *, {R10} AS r FROM pts)),
 near AS (SELECT a.loc_id AS a, b.loc_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, a.r AS r, b.color AS color_b
@@ -307,19 +308,19 @@ def roi_measures(spark, sf_dir):
 @query(f"WITH {PTS}, {NEAR} SELECT a AS loc_id, count(*) AS density FROM near WHERE d2 < r * r GROUP BY a")
 def density_within(spark, sf_dir):
     p = pts(spark, sf_dir)
-    return spatial.density_within(p, radius(p, 10.0))
+    return spatial.density_within(p, RADIUS)
 
 
 @query(f"WITH {PTS}, {NEAR} SELECT a AS loc_id, count(*) AS density FROM near WHERE d2 <= r * r GROUP BY a")
 def density_within_inclusive(spark, sf_dir):
     p = pts(spark, sf_dir)
-    return spatial.density_within(p, radius(p, 10.0), strict=False)
+    return spatial.density_within(p, RADIUS, strict=False)
 
 
 @query(f"WITH {PTS}, {NEAR} SELECT a, count(*) AS n FROM near WHERE d2 <= r * r AND a <> b GROUP BY a")
 def region_query(spark, sf_dir):
     p = pts(spark, sf_dir)
-    return spatial.neighbours(p, radius(p, 10.0)).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.neighbours(p, RADIUS).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
 _DBSCAN = f"""WITH RECURSIVE {PTS}, {NEAR}, nb AS (SELECT a, b, d2 FROM near WHERE d2 <= r * r AND a <> b),
@@ -333,23 +334,23 @@ ok AS (SELECT cluster FROM lab GROUP BY cluster HAVING count(*) >= 2)"""
 @query(_DBSCAN + " SELECT loc_id, lab.cluster FROM pts LEFT JOIN (SELECT * FROM lab WHERE cluster IN (SELECT cluster FROM ok)) lab USING (loc_id)")
 def dbscan(spark, sf_dir):
     p = pts(spark, sf_dir)
-    return spatial.dbscan(p, radius(p, 10.0), 8, 2).select("loc_id", "cluster")
+    return spatial.dbscan(p, RADIUS, 8, 2).select("loc_id", "cluster")
 
 
 @query(_DBSCAN + """, bl AS (SELECT a AS loc_id, arg_min(lab.cluster, [d2, b]) AS cluster FROM nb JOIN lab ON b = lab.loc_id WHERE a NOT IN (SELECT v FROM core) GROUP BY a),
 al AS (SELECT * FROM lab UNION ALL SELECT * FROM bl) SELECT loc_id, al.cluster FROM pts LEFT JOIN al USING (loc_id)""")
 def dbscan_with_border(spark, sf_dir):
     p = pts(spark, sf_dir)
-    return spatial.dbscan(p, radius(p, 10.0), 8, 1, border=True).select("loc_id", "cluster")
+    return spatial.dbscan(p, RADIUS, 8, 1, border=True).select("loc_id", "cluster")
 
 
-@query(_DBSCAN + """ SELECT cluster AS object_id, count(*) AS n_locs, round(avg(x) + 0.000000037, 6) AS cx, round(avg(y) + 0.000000037, 6) AS cy, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y
+@query(_DBSCAN + """ SELECT cluster AS object_id, count(*) AS n_locs, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y
 FROM lab JOIN pts USING (loc_id) WHERE cluster IN (SELECT cluster FROM ok) GROUP BY 1""")
 def dbscan_objects(spark, sf_dir):
     p = pts(spark, sf_dir)
-    m = spatial.dbscan(p, radius(p, 10.0), 8, 2).where("cluster is not null").join(p, "loc_id")
-    g = m.groupBy(F.col("cluster").alias("object_id")).agg(F.count(F.lit(1)).alias("n_locs"), (F.avg("x") + 0.000000037).alias("cx"), (F.avg("y") + 0.000000037).alias("cy"), F.min("x").alias("min_x"), F.max("y").alias("max_y"))  # off exact halves
-    return rounded(g, "cx", "cy", "min_x", "max_y")
+    m = spatial.dbscan(p, RADIUS, 8, 2).where("cluster is not null").join(p, "loc_id")
+    g = m.groupBy(F.col("cluster").alias("object_id")).agg(F.count(F.lit(1)).alias("n_locs"), F.round(F.avg("x"), 9).alias("cx"), F.round(F.avg("y"), 9).alias("cy"), F.min("x").alias("min_x"), F.max("y").alias("max_y"))
+    return rounded(g, "min_x", "max_y")
 
 
 @query(f"""WITH {PTS}, two AS (SELECT * FROM pts WHERE color IN ('F', 'O')),
@@ -496,9 +497,9 @@ def track_features(spark, sf_dir):
 
 
 @query(f"""WITH {TRACKS}, d AS (SELECT a.track_id, b.seq - a.seq AS lag, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM tp a JOIN tp b ON a.track_id = b.track_id AND b.seq > a.seq)
-SELECT track_id, lag, round(avg(sqrt(d2)), 5) AS mean_displacement, round(avg(d2) + 0.00000037, 3) AS msd FROM d GROUP BY 1, 2""")
+SELECT track_id, lag, round(avg(sqrt(d2)), 5) AS mean_displacement, round(avg(d2), 8) AS msd FROM d GROUP BY 1, 2""")
 def displacement_curves(spark, sf_dir):
-    return tracks.displacement(track_points(spark, sf_dir)).select("track_id", "lag", F.round("mean_displacement", 5).alias("mean_displacement"), F.round(F.col("msd") + 0.00000037, 3).alias("msd"))
+    return tracks.displacement(track_points(spark, sf_dir)).select("track_id", "lag", F.round("mean_displacement", 5).alias("mean_displacement"), F.round("msd", 8).alias("msd"))
 
 
 @query(f"""WITH {TRACKS}, d AS (SELECT a.track_id, b.seq - a.seq AS lag, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS m FROM tp a JOIN tp b ON a.track_id = b.track_id AND b.seq - a.seq BETWEEN 1 AND 4 GROUP BY 1, 2)
@@ -561,19 +562,19 @@ k AS (SELECT radius, (SELECT count(*) FROM d WHERE d2 < radius * radius) / (n /
 SELECT round(radius, 6) AS radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
 def ripley_uncorrected(spark, sf_dir):
     p = pts(spark, sf_dir)
-    r = radius(p, 5.0)
+    r = RADIUS / 2
     return ripley.k_function(p, r, 8 * r, r, corrected=False).select(r6("radius").alias("radius"), F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
 
 
 @query(f"""WITH {PTS}, s AS (SELECT count(*) AS n, floor(min(x)) AS x0, ceil(max(x)) AS x1, floor(min(y)) AS y0, ceil(max(y)) AS y1 FROM pts), r AS (SELECT (i + 1) * {R10} / 2 AS radius FROM range(4) t(i)),
 d AS (SELECT a.loc_id, any_value(a.x) AS x, any_value(a.y) AS y, radius, count(*) AS c FROM pts a JOIN pts b ON abs(a.x - b.x) < 2 * {R10} AND abs(a.y - b.y) < 2 * {R10} AND a.loc_id <> b.loc_id JOIN r ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < radius * radius GROUP BY a.loc_id, radius),
-e AS (SELECT radius, c, n, x1, x0, y1, y0, least(x - x0, x1 - x) AS dx, least(y - y0, y1 - y) AS dy FROM d, s),
-a AS (SELECT *, CASE WHEN dx < radius THEN acos(least(dx / radius, 1)) ELSE 0 END AS ax, CASE WHEN dy < radius THEN acos(least(dy / radius, 1)) ELSE 0 END AS ay FROM e),
-k AS (SELECT radius, sum(2 * pi() / greatest(2 * pi() - CASE WHEN dx * dx + dy * dy < radius * radius THEN pi() / 2 + ax + ay ELSE 2 * (ax + ay) END, 1e-9) * c) / any_value(n / ((x1 - x0) * (y1 - y0))) / any_value(n) AS k FROM a GROUP BY radius)
+e AS (SELECT radius, c, n, x1, x0, y1, y0, list_transform([x - x0, y - y0, x1 - x, y1 - y], lambda v: acos(least(v / radius, 1))) AS a FROM d, s),
+l AS (SELECT *, 2 * list_sum(a) - list_sum(list_transform(range(1, 5), lambda i: greatest(a[i] + a[i % 4 + 1] - pi() / 2, 0))) AS lost FROM e),
+k AS (SELECT radius, sum(2 * pi() / greatest(2 * pi() - lost, 1e-9) * c) / any_value(n / ((x1 - x0) * (y1 - y0))) / any_value(n) AS k FROM l GROUP BY radius)
 SELECT round(radius, 6) AS radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 5) AS l FROM k""")
 def ripley_corrected(spark, sf_dir):
     p = pts(spark, sf_dir)
-    r = radius(p, 5.0)
+    r = RADIUS / 2
     return ripley.k_function(p, r, 4 * r, r).select(r6("radius").alias("radius"), F.round("k", 4).alias("k"), F.round("l", 5).alias("l"))
 
 
@@ -587,7 +588,7 @@ pd AS (SELECT loc_id, color, d1, d2, CASE WHEN d1 >= 1 AND d2 >= 1 THEN 'coloc'
 
 def _paired(spark, sf_dir) -> DataFrame:
     p = pts(spark, sf_dir)
-    den = spatial.density_within(p, radius(p, 10.0))
+    den = spatial.density_within(p, RADIUS)
     return coloc.paired_densities(stash(p.join(den, "loc_id").where(F.col("color").isin("F", "O")), "coloured"))
 
 
@@ -614,11 +615,11 @@ def spearman(spark, sf_dir):
     return rounded(coloc.spearman(p, "d1", "d2"), "rho")
 
 
-_OVERLAPS = "ov AS (SELECT l_orderkey * 10 + l_linenumber AS overlap_id, l_partkey % 50 AS object1, l_suppkey % 37 AS object2, l_quantity AS measure FROM lineitem WHERE l_partkey % 11 = 0)"
+_OVERLAPS = "ov AS (SELECT l_orderkey * 10 + l_linenumber AS overlap_id, l_partkey % 50 AS object1, l_suppkey % 37 AS object2, l_quantity AS measure FROM lineitem)"
 
 
 def _overlaps(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_partkey % 11 = 0").selectExpr("l_orderkey * 10 + l_linenumber as overlap_id", "l_partkey % 50 as object1", "l_suppkey % 37 as object2", "l_quantity as measure")
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as overlap_id", "l_partkey % 50 as object1", "l_suppkey % 37 as object2", "l_quantity as measure")
 
 
 @query(f"WITH {_OVERLAPS} SELECT object1 AS object_id, count(DISTINCT object2) AS n_partners, count(*) AS n_overlaps, array_to_string(list_sort(list(DISTINCT object2)), ',') AS partners FROM ov GROUP BY 1")
@@ -783,10 +784,10 @@ def object_pca(spark, sf_dir):
     return objects.pca_2d(_boxed(spark, sf_dir)).select("object_id", *[F.round(c, 4).alias(c) for c in ("major", "minor", "size")])
 
 
-@query(f"WITH {_BOXED} SELECT object_id, round(avg(x) + 0.000000037, 6) AS x, round(avg(y) + 0.000000037, 6) AS y FROM m GROUP BY 1")
+@query(f"WITH {_BOXED} SELECT object_id, round(avg(x), 9) AS x, round(avg(y), 9) AS y FROM m GROUP BY 1")
 def object_centroids(spark, sf_dir):
     c = objects.centroids(_boxed(spark, sf_dir))
-    return c.select("object_id", r6(F.col("x") + 0.000000037).alias("x"), r6(F.col("y") + 0.000000037).alias("y"))  # off exact halves
+    return c.select("object_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query(f"WITH {_BOXED} SELECT pts.loc_id, coalesce(object_id, 0) AS object_id FROM pts LEFT JOIN (SELECT * FROM m WHERE object_id % 2 = 1) USING (loc_id)")
@@ -795,9 +796,13 @@ def locs_with_objects(spark, sf_dir):
     return files.locs_with_objects(pts(spark, sf_dir).select("loc_id"), m)
 
 
-@query()
+@query(f"""WITH {_BOXED}, e AS (SELECT a.object_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bw FROM m a JOIN m b ON a.object_id = b.object_id AND a.loc_id <> b.loc_id),
+h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM m c WHERE c.object_id = e.object_id AND ((bx - ax) * (c.y - ay) - (bw - ay) * (c.x - ax) < 0
+  OR ((bx - ax) * (c.y - ay) - (bw - ay) * (c.x - ax) = 0 AND (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - bw) > 0)))),
+g AS (SELECT object_id, sum(ax * bw - bx * ay) / 2 AS area FROM h GROUP BY 1)
+SELECT object_id, n_locs, round(coalesce(abs(area), 0), 8) AS measure FROM (SELECT object_id, count(*) AS n_locs FROM m GROUP BY 1) LEFT JOIN g USING (object_id)""")
 def convex_hulls(spark, sf_dir):
-    return rounded(objects.convex_hulls(_boxed(spark, sf_dir)), "measure")
+    return objects.convex_hulls(_boxed(spark, sf_dir)).withColumn("measure", F.round("measure", 8))
 
 
 @query()

@@ -35,6 +35,10 @@ class Dataset:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     bounds: dict[str, dict] = field(default_factory=dict)
+    #: Features of each table whose bounds are those of their log10.
+    logs: dict[str, set] = field(default_factory=dict)
+    #: Tables whose selection is inverted.
+    inverted: set[str] = field(default_factory=set)
     average: float = 0.0
     #: What was run, ready to be saved and run again.
     record: list[Step] = field(default_factory=list)
@@ -45,7 +49,8 @@ class Dataset:
         return self.tables[name]
 
     def selected(self, name: str) -> DataFrame:
-        return select.select(self.table(name), self.bounds.get(name, {}))
+        chosen = select.predicate(self.bounds.get(name, {}), self.logs.get(name, set()))
+        return self.table(name).where(~F.coalesce(chosen, F.lit(False)) if name in self.inverted else chosen)
 
 
 Command = Callable[[Dataset, dict], None]
@@ -114,10 +119,21 @@ def _open(d: Dataset, p: dict) -> None:
     ) if p["path"].rsplit(".", 1)[-1].lower() in ("csv", "txt", "xls") else files.Loaders().load(d.spark, p["path"])
 
 
+@command("MainWindow", "addComponent")
+def _add_component(d: Dataset, p: dict) -> None:
+    """Another file's table beside those that are there, under a name; ``format`` stands for a missing extension."""
+    path, name = p["path"], p["name"]
+    ext = p.get("format", path.rsplit(".", 1)[-1].lower())
+    columns = {k: int(p[k]) for k in ("x", "y", "z", "frame", "intensity") if k in p}
+    d.tables[name] = files.read_locs(d.spark, path, columns, p.get("separator", ",")) if ext in ("csv", "txt", "xls") else files.Loaders().load(d.spark, path)
+
+
 @command("MainWindow", "close")
 def _close(d: Dataset, p: dict) -> None:
     d.tables.clear()
     d.bounds.clear()
+    d.logs.clear()
+    d.inverted.clear()
 
 
 def _on_each(name: str):
@@ -137,6 +153,9 @@ def _histogram(d: Dataset, component: str, p: dict) -> None:
     bounds = d.bounds.setdefault(component, {})
     if action in ("changeBoundsCustom", "changeHistogramBounds"):
         bounds[feature] = (p.get("min"), p.get("max"))
+    elif action == "log":
+        logs = d.logs.setdefault(component, set())
+        (logs.add if p.get("value", True) else logs.discard)(feature)
     elif action == "reset":
         bounds.pop(feature, None)
     elif action == "delete":
@@ -151,6 +170,11 @@ def _histogram(d: Dataset, component: str, p: dict) -> None:
         d.tables["Histogram"] = stats.histogram(d.table(component), feature, int(p.get("bins", 100)), p.get("min"), p.get("max"))
 
 
+@_on_each("invertSelection")
+def _invert(d: Dataset, component: str, p: dict) -> None:
+    d.inverted ^= {component}
+
+
 @_on_each("duplicateSelected")
 def _duplicate(d: Dataset, component: str, p: dict) -> None:
     d.tables[p.get("name", component)] = d.selected(component)
@@ -246,6 +270,83 @@ def _cell_objects(d: Dataset, p: dict) -> None:
     d.tables |= {"ObjectList": got["objects"], "ObjectLocs": got["object_locs"], "ObjectOutline": got["object_outline"]}
 
 
+@command("DelaunayTriangulation", "applyCutDistance")
+def _cut(d: Dataset, p: dict) -> None:
+    from ..operators import tess
+
+    locs = d.table("DetectionSet")
+    faces = tess.with_edge_lengths(d.table("DelaunayTriangulation"), locs, space="z" in locs.columns)
+    d.tables["DelaunayTriangulation"] = select.cut_distance(faces, float(p.get("distance", p.get("value", 50)))).select("face_id", "v", "measure")
+
+
+@command("VoronoiDiagram", "clustersForChallenge")
+def _sweep(d: Dataset, p: dict) -> None:
+    from ..operators import objects
+
+    d.tables["ClusterIndices"] = objects.cluster_sweep(
+        d.table("VoronoiDiagram"), d.table("VoronoiSides"), d.average, float(p.get("from", 1.0)), float(p.get("to", 2.0)), float(p.get("step", 0.5)),
+        int(p.get("minNbLocs", 1)), int(p["maxNbLocs"]) if "maxNbLocs" in p else None,
+    )
+
+
+@command("MainWindow", "computeColocalization")
+def _colocalize(d: Dataset, p: dict) -> None:
+    """Voronoi diagrams of two named tables, or of the two colours of DetectionSet, and their paired densities."""
+    from ..operators import coloc, tess
+    from ..runtime import stash
+
+    names = p.get("datasetNames") or [r[0] for r in d.table("DetectionSet").select("color").distinct().orderBy("color").limit(3).collect()]
+    if len(names) != 2:
+        raise ValueError("two data sets are needed")
+    cells = None
+    for name in names:
+        locs = (d.table(name) if p.get("datasetNames") else d.table("DetectionSet").where(F.col("color") == name)).select("loc_id", "x", "y")
+        one = tess.voronoi(locs, stash(tess.delaunay(locs), "faces"))[0].join(locs, "loc_id").withColumn("color", F.lit(name))
+        cells = one if cells is None else cells.unionByName(one)
+    d.tables["ColocCells"] = stash(cells, "cells")
+    d.tables["Colocalization"] = stash(coloc.paired_densities(d.tables["ColocCells"]), "paired")
+
+
+@command("Colocalization", "computeCoefficients")
+def _coefficients(d: Dataset, p: dict) -> None:
+    """Classes, then counts, Manders and Spearman for each colour (and region, with inROIs)."""
+    from ..operators import coloc, roi
+
+    cells, paired = d.table("ColocCells"), d.table("Colocalization")
+    t1, t2, correct = float(p.get("color1", 1.0)), float(p.get("color2", 1.0)), bool(p.get("correction", True))
+    if correct:
+        cut = stats.iqr_cutoff(cells, "measure")["cutoff"]
+        paired = paired.join(coloc.border_correction(coloc.normalised_density(cells), t1, cut).select("loc_id", "color", "selected"), ["loc_id", "color"])
+    classed, by = coloc.classify(paired, t1, t2, correct), ["color"]
+    if p.get("inROIs"):
+        classed = classed.join(roi.matches(cells, d.table("ROIs")).withColumnRenamed("roi_id", "roi"), "loc_id")
+        by = ["roi", "color"]
+    d.tables["ColocClasses"] = classed
+    d.tables["Coefficients"] = coloc.class_counts(classed, by).join(coloc.manders(classed, by), by).join(coloc.spearman(classed, "d1", "d2", by), by)
+
+
+@command("MainWindow", "computeObjectColocalization")
+def _object_colocalization(d: Dataset, p: dict) -> None:
+    """Overlaps of the objects of two tables of localizations."""
+    from ..operators import overlap
+
+    cut = float(p.get("cutDistance", 50))
+    one, two = (overlap.sampled_objects(d.table(n).select("loc_id", "x", "y"), cut, min_locs=int(p.get("minLocs", 3))) for n in p["datasetNames"])
+    d.tables["ObjectOverlaps"] = overlap.object_colocalization(one, two, step=float(p.get("step", 0.5)))["overlaps"]
+
+
+@command("ObjectList", "computeNearestNeighMulticolor")
+def _nearest_objects(d: Dataset, p: dict) -> None:
+    """Distances of objects, from centroid and outline, to the nearest point of a reference table."""
+    from ..operators import objects
+
+    locs = d.table("DetectionSet")
+    member = d.table("ObjectLocs").join(locs.select("loc_id", "x", "y"), "loc_id").select("object_id", "x", "y")
+    corners = d.table("ObjectOutline").select("object_id", F.explode(F.array("a", "b")).alias("loc_id")).distinct().join(locs.select("loc_id", "x", "y"), "loc_id")
+    top = p.get("maxDistance")
+    d.tables["NearestDistances"] = spatial.outline_distances(objects.centroids(member), corners.select("object_id", "x", "y"), d.table(p["reference"]).select("x", "y"), float(top) if top is not None else None)
+
+
 @command("ObjectList", "saveStatsObjs")
 def _save_stats(d: Dataset, p: dict) -> None:
     files.write_table(files.object_stats(d.selected("ObjectList")), p["path"], p.get("separator", ","))

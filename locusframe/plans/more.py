@@ -80,10 +80,10 @@ def merged_segments(spark, sf_dir):
     return graph.merge_segments(ends)
 
 
-@query("SELECT p_partkey AS mesh_id, round(CAST(p_size AS DOUBLE) ** 3, 4) AS volume, round(6.0 * p_size ** 2, 4) AS surface, 8 AS n_vertices FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey AS mesh_id, round(CAST(p_size AS DOUBLE) ** 3, 4) AS volume, round(6.0 * p_size ** 2, 4) AS surface, 8 AS n_vertices FROM part")
 def mesh_measures(spark, sf_dir):
     """Cubes as large as parts."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("s"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("s"))
     v = p.withColumn("vertex_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("mesh_id", "vertex_id", "s * (vertex_id & 1) as x", "s * ((vertex_id div 2) & 1) as y", "s * (vertex_id div 4) as z")
     quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
     tri = [(a, b, c) for a, b, c, d in quads] + [(a, c, d) for a, b, c, d in quads]
@@ -92,10 +92,10 @@ def mesh_measures(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber,
- CASE WHEN (a2 - a1) = 0 THEN NULL ELSE round(l_discount + (25 - l_quantity) * (l_tax * 10 - l_discount) / (a2 - a1) + 0.000000037, 6) END AS y_at FROM (SELECT *, l_quantity AS a1, CAST(l_linenumber * 9 AS DOUBLE) AS a2 FROM lineitem)""")
+ CASE WHEN (a2 - a1) = 0 THEN NULL ELSE round(l_discount + (25 - l_quantity) * (l_tax * 10 - l_discount) / (a2 - a1), 9) END AS y_at FROM (SELECT *, l_quantity AS a1, CAST(l_linenumber * 9 AS DOUBLE) AS a2 FROM lineitem)""")
 def line_algebra(spark, sf_dir):
     a, b = (F.col("l_quantity"), F.col("l_discount")), ((F.col("l_linenumber") * 9).cast("double"), F.col("l_tax") * 10)
-    return table(spark, sf_dir, LI).select("l_orderkey", "l_linenumber", r6(C.line_at(F.lit(25.0), a, b) + 0.000000037).alias("y_at"))
+    return table(spark, sf_dir, LI).select("l_orderkey", "l_linenumber", F.round(C.line_at(F.lit(25.0), a, b), 9).alias("y_at"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y FROM lineitem)
@@ -128,10 +128,10 @@ def line_through_zero(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT l_quantity + 1 AS x, l_discount * 100 + 1 AS y, l_linenumber * 3.0 AS z FROM lineitem), s AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM p)
-SELECT round(avg(x) + 0.000000037, 6) AS x, round(avg(y) + 0.000000037, 6) AS y, round(avg(z) + 0.000000037, 6) AS z, count(*) AS n FROM s GROUP BY floor((atan2(y, x) + pi()) / (pi() / 18)), floor(acos(z / r) / (pi() / 18))""")
+SELECT round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z, count(*) AS n FROM s GROUP BY floor((atan2(y, x) + pi()) / (pi() / 18)), floor(acos(z / r) / (pi() / 18))""")
 def regularised_sectors(spark, sf_dir):
     p = table(spark, sf_dir, LI).selectExpr("l_quantity + 1 as x", "l_discount * 100 + 1 as y", "l_linenumber * 3.0d as z")
-    return fit.regularise_sectors(p, 0.0, 0.0, 0.0).select(*[r6(F.col(a) + 0.000000037).alias(a) for a in "xyz"], "n")
+    return fit.regularise_sectors(p, 0.0, 0.0, 0.0).select(*[F.round(a, 9).alias(a) for a in "xyz"], "n")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(10 * x / r, 6) AS x, round(10 * y / r, 6) AS y, round(10 * z / r, 6) AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM
@@ -172,13 +172,17 @@ def text_file_round_trip(spark, sf_dir):
     return back.agg(F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("y"), 3).alias("sy"), F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
 
 
-@query(f"WITH {PTS} SELECT count(*) AS n, round(avg(x), 5) AS x, CAST(0 AS BIGINT) AS off FROM pts")
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS off, true AS fair FROM orders")
 def random_sphere_points(spark, sf_dir):
-    """As many points on a sphere as there are orders; none may lie off it."""
-    p = pts(spark, sf_dir)
-    s = C.sphere_points(p.select("loc_id"), 5.0, 3)
-    off = s.where(F.abs(C.length([F.col("x"), F.col("y"), F.col("z")]) - 5.0) > 1e-9).count()
-    return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 5).alias("x"), F.lit(off).cast("long").alias("off"))
+    """A point on a sphere for each order: how many, how many lie off it, and whether means and means of squares of the
+    coordinates are those of a uniform spread, within five standard errors (r / sqrt(3n) and r**2 * sqrt(4 / 45n))."""
+    s = C.sphere_points(pts(spark, sf_dir).select("loc_id"), 5.0, 3)
+    off = F.abs(C.length([F.col(a) for a in "xyz"]) - 5.0) > 1e-9
+    n = F.count(F.lit(1))
+    fair = F.lit(True)
+    for a in "xyz":
+        fair = fair & (F.abs(F.avg(a)) <= 5 * 5.0 / F.sqrt(3 * n)) & (F.abs(F.avg(F.col(a) * F.col(a)) - 25.0 / 3) <= 5 * 25.0 * F.sqrt(F.lit(4.0) / (45 * n)))
+    return s.agg(n.alias("n"), F.sum(off.cast("long")).alias("off"), fair.alias("fair"))
 
 
 @query(f"SELECT s_suppkey, round(100 / ({4 * math.pi!r} * (s_suppkey + 1) * (s_suppkey + 1)), 9) AS density FROM supplier")

@@ -36,11 +36,5 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("loc_id"), hour.alias("frame"), F.col("value").alias("x"), "user_id")
 
 
-def radius(locs: DataFrame, at_15000: float) -> float:
-    """A radius that keeps the neighbours per point as the table grows."""
-    n = locs.count()
-    return at_15000 * (15000.0 / n) ** 0.5 if n else at_15000
-
-
 def two_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts(spark, sf_dir).where(F.col("color").isin("F", "O"))

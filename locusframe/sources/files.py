@@ -153,6 +153,7 @@ def describe_set(df: DataFrame) -> DataFrame:
 # --- regions --------------------------------------------------------------------------------
 
 ROI_SCHEMA = "roi_id int, kind string, pts array<struct<x:double,y:double,z:double>>, radius double"
+# Type names of the region format.
 _KINDS = {"LineROI": "line", "CircleROI": "circle", "SphereROI": "sphere", "PolygonROI": "polygon", "RectangleROI": "rectangle", "TriangleROI": "triangle", "PlaneROI": "plane", "PolyplaneROI": "polyplane"}
 _CORNERS = {"line": 2, "rectangle": 2, "triangle": 3}
 
@@ -252,6 +253,29 @@ def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
+# Headers of exported tables.
+DISTANCES = {"object_id": "index object", "to_centre": "distance to centroids", "to_outline": "distance to outline"}
+RIPLEY = {"radius": "Radius", "k": "K value", "l": "L value"}
+OVERLAPS = {"overlap_id": "overlap", "object1": "object1", "object2": "object2", "measure": "measure"}
+
+
+def write_named(df: DataFrame, names: Mapping[str, str], path: str) -> None:
+    write_table(df.select(*[F.col(c).alias(n) for c, n in names.items()]), path)
+
+
+def write_distances(distances: DataFrame, path: str) -> None:
+    """Nearest distances of objects, as outline_distances gives them."""
+    write_named(distances, DISTANCES, path)
+
+
+def write_ripley(curve: DataFrame, path: str) -> None:
+    write_named(curve, RIPLEY, path)
+
+
+def write_overlaps(overlaps: DataFrame, path: str) -> None:
+    write_named(overlaps, OVERLAPS, path)
+
+
 def merged_lines(locs: DataFrame, links: DataFrame, feature: str) -> DataFrame:
     """One text line for each emitter: its id, then the feature of its members in frame order."""
     g = locs.join(links, "loc_id").groupBy("emitter_id").agg(F.array_sort(F.collect_list(F.struct("frame", "loc_id", F.col(feature).alias("v")))).alias("m"))
@@ -276,11 +300,17 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     faces.write.mode("overwrite").parquet(f"{path}/faces")
 
 
+def mesh_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, k, n, value): text lines v / f of every mesh, in the order of k and n; vertex numbers count from 1."""
+    v = vertices.select("mesh_id", F.lit(0).alias("k"), F.col("vertex_id").alias("n"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
+    f = faces.select("mesh_id", F.lit(1).alias("k"), F.col("a").alias("n"), F.concat_ws(" ", F.lit("f"), F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value"))
+    return v.unionByName(f)
+
+
 def mesh_text(vertices: DataFrame, faces: DataFrame, mesh_id: int) -> DataFrame:
-    """A mesh as text lines v / f, in order; vertex numbers count from 1."""
-    v = vertices.where(F.col("mesh_id") == mesh_id).select(F.lit(0).alias("k"), F.col("vertex_id").alias("n"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
-    f = faces.where(F.col("mesh_id") == mesh_id).select(F.lit(1).alias("k"), F.col("a").alias("n"), F.concat_ws(" ", F.lit("f"), F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value"))
-    return v.unionByName(f).orderBy("k", "n", "value").select("value")
+    """One mesh as text lines, in order."""
+    one = [df.where(F.col("mesh_id") == mesh_id) for df in (vertices, faces)]
+    return mesh_lines(*one).orderBy("k", "n", "value").select("value")
 
 
 def heat_lines(vertices: DataFrame, normals: DataFrame, mesh_id: int) -> DataFrame:
@@ -296,12 +326,20 @@ def svg_circles(locs: DataFrame, colour: Column, size: float = 1.0) -> DataFrame
 
 
 class Settings:
-    """A JSON file of parameters; saving merges into what is there."""
+    """A JSON file of parameters; saving merges into what is there. With a session it lies wherever Spark's file systems reach."""
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
 
-    def __init__(self, path: str):
-        self.path = path
+    def _store(self):
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def load(self) -> dict:
+        if self.spark is not None:
+            where, store = self._store()
+            return json.loads("\n".join(_text(self.spark, self.path))) if store.exists(where) else {}
         if not os.path.exists(self.path):
             return {}
         with open(self.path) as f:
@@ -309,6 +347,13 @@ class Settings:
 
     def save(self, values: Mapping) -> dict:
         merged = {**self.load(), **values}
-        with open(self.path, "w") as f:
-            json.dump(merged, f, indent=2, sort_keys=True)
+        text = json.dumps(merged, indent=2, sort_keys=True)
+        if self.spark is not None:
+            where, store = self._store()
+            out = store.create(where, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+        else:
+            with open(self.path, "w") as f:
+                f.write(text)
         return merged
