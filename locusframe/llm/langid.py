@@ -36,6 +36,8 @@ RIDGE = 1e-2
 BITS = (8, 13, 14)
 WIDTH = sum(1 << b for b in BITS)
 SHARPNESS = 4.0
+#: Texts are read in pieces of so many bytes.
+PIECE = 1 << 21
 
 _FOLD = LOWER.copy()
 _ASCII_LETTER = np.zeros(256, bool)
@@ -44,23 +46,22 @@ _FOLD[:128][~_ASCII_LETTER[:128]] = 32
 
 
 def profiles(buf: TextBuf) -> np.ndarray:
-    """Presence of n-grams: (documents, WIDTH) of bool."""
+    """Presence of n-grams: (documents, WIDTH) of bool; read in pieces, so a long text needs no more memory than a batch."""
     out = np.zeros((buf.n, WIDTH), bool)
-    if not buf.size:
-        return out
-    data = _FOLD[buf.data].astype(np.uint64)
-    doc = np.repeat(np.arange(buf.n), np.diff(buf.off))
-    at, base = data, 0
-    for n, bits in enumerate(BITS, 1):
-        if n > 1:
-            at = (at[:-1] << U(8)) | data[n - 1 :]
-        m = len(at)
-        if m <= 0:
-            break
-        inside = doc[:m] == doc[n - 1 :]
-        slot = at if n == 1 else (at * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
-        out[doc[:m][inside], base + slot[inside].astype(np.int64)] = True
-        base += 1 << bits
+    for start in range(0, buf.size, PIECE):
+        data = _FOLD[buf.data[start : start + PIECE + len(BITS) - 1]].astype(np.uint64)
+        doc = buf.doc_of(np.arange(start, start + len(data)))
+        at, base = data, 0
+        for n, bits in enumerate(BITS, 1):
+            if n > 1:
+                at = (at[:-1] << U(8)) | data[n - 1 :]
+            m = len(at)
+            if m <= 0:
+                break
+            inside = doc[:m] == doc[n - 1 :]
+            slot = at if n == 1 else (at * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
+            out[doc[:m][inside], base + slot[inside].astype(np.int64)] = True
+            base += 1 << bits
     return out
 
 
