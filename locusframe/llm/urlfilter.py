@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if
+from .shared import broadcast_small, stash
 
-BROADCAST_ROWS = 500_000
+#: Lists too large for a broadcast are joined under so many salts, as many captures share a suffix.
+SALTS = 32
 #: Columns that are added; captures' own columns of these names are replaced.
 OUTPUT = ("host", "blocked", "n_active", "entry", "list_name")
 # Fixed patterns of a URL's host and path.
@@ -53,10 +54,16 @@ def keys(url: Column) -> Column:
 
 def filter_captures(captures: DataFrame, history: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
     """The captures with host, blocked, n_active, entry and list_name (of the longest active entry)."""
-    active = broadcast_if(intervals(history), BROADCAST_ROWS)
+    active = stash(intervals(history), "intervals")
+    small = broadcast_small(active)
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).distinct()
     asked = rows.select("_id", "_url", "_at", F.explode(keys(F.col("_url"))).alias("entry"))
-    found = asked.join(active, "entry").where((F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
+    if small is active:
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("_id", "_url", "_at"), F.lit(SALTS)))
+        found = asked.join(active.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["entry", "salt"])
+    else:
+        found = asked.join(small, "entry")
+    found = found.where((F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     best = F.max(F.struct(F.length("entry").alias("n"), "entry", "list_name"))
     per = found.groupBy("_id", "_url", "_at").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
     on = captures[id_col].eqNullSafe(per["_id"]) & captures[url_col].eqNullSafe(per["_url"]) & captures[time_col].eqNullSafe(per["_at"])

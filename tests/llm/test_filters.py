@@ -179,3 +179,14 @@ def test_repeated_ids_keep_their_own_rows(spark):
     rows = [(1, "Released under the MIT License."), (1, "nothing of that kind"), (None, "Licensed under CC BY-NC 4.0."), (None, "no")]
     found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["licence"])) for r in found) == [("1", "MIT"), ("1", "None"), ("None", "CC-BY-NC-4.0"), ("None", "None")]
+
+
+def test_long_lists_are_joined_under_salts(spark, monkeypatch):
+    captures = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/a/{i % 5}", dt.date(2024, 1 + i % 12, 1)) for i in range(200)] + [(None, None, None), (7, "not a url", dt.date(2024, 1, 1))], "page_id long, url string, fetched date")
+    history = spark.createDataFrame([("a", "com", "add", dt.date(2024, 3, 1)), ("b", "h1.example.com", "add", dt.date(2024, 5, 1)), ("b", "h1.example.com", "remove", dt.date(2024, 8, 1)), ("c", "h2.example.com/a/4", "add", dt.date(2023, 1, 1))], "list_name string, entry string, action string, since date")
+    run = lambda: sorted(map(str, urlfilter.filter_captures(captures, history, "page_id", "url", "fetched").collect()))
+    small = run()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    assert run() == small and len(small) == 202
+    none = urlfilter.filter_captures(captures.limit(0), history, "page_id", "url", "fetched")
+    assert none.count() == 0 and urlfilter.filter_captures(captures, history.limit(0), "page_id", "url", "fetched").where("blocked").count() == 0
