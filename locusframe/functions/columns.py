@@ -301,6 +301,16 @@ def spread(df: DataFrame, value: Column, selected: Column, vertices: str, sentin
     return df.select("*", v.alias("primitive_value"), F.posexplode(vertices).alias("vertex_no", "vertex"))
 
 
+def moved_from(p: Sequence[Column], cell: Sequence[Column], centre: Sequence[Column], factor: float) -> tuple[Column, ...]:
+    """A point of a cell, moved with its cell away from a centre: by ``factor`` times the cell's distance from it."""
+    return tuple(v + (c - o) * factor for v, c, o in zip(p, cell, centre, strict=True))
+
+
+def depth(p: Sequence[Column], eye: Sequence[Column], ahead: Sequence[Column]) -> Column:
+    """How far a point lies before an eye that looks ahead; rows in descending order of it are drawn back to front."""
+    return dot(sub(p, eye), unit(ahead))
+
+
 def face_normal(a, b, c) -> tuple[Column, ...]:
     return unit(cross3(sub(b, a), sub(c, a)))
 

@@ -118,21 +118,28 @@ def project_on_sphere(locs: DataFrame, cx: float, cy: float, cz: float, r: float
     return locs.withColumns({a: F.lit(c) + v / n * r for (a, v), c in zip(d.items(), (cx, cy, cz), strict=True)})
 
 
-def ellipsoid_fit(locs: DataFrame) -> dict[str, np.ndarray]:
-    """centre, semi-axes (longest first) and rotation (rows) of the quadric through the points, from sums of its nine terms."""
+def ellipsoid_fit(locs: DataFrame, form: str = "general") -> dict[str, np.ndarray]:
+    """centre, semi-axes (longest first) and rotation (rows) of the quadric through the points, from sums of its terms.
+
+    form: ``general``, ``aligned`` (axes along x, y and z: no mixed terms) or ``round`` (aligned, with equal axes in x and y).
+    """
     m = locs.agg(*[F.avg(a).alias(a) for a in "xyz"], *[F.stddev_pop(a).alias(f"s{a}") for a in "xyz"]).first()
     scale = max(m["sx"], m["sy"], m["sz"]) or 1.0
     x, y, z = ((F.col(a) - F.lit(m[a])) / F.lit(scale) for a in "xyz")
-    t = [x * x, y * y, z * z, 2 * x * y, 2 * x * z, 2 * y * z, 2 * x, 2 * y, 2 * z]
-    pairs = [(i, j) for i in range(9) for j in range(i, 9)]
+    square = {"general": [x * x, y * y, z * z, 2 * x * y, 2 * x * z, 2 * y * z], "aligned": [x * x, y * y, z * z], "round": [x * x + y * y, z * z]}[form]
+    t = [*square, 2 * x, 2 * y, 2 * z]
+    n = len(t)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
     sums = [F.sum(t[i] * t[j]) for i, j in pairs] + [F.sum(v) for v in t]
     got = [float(v) for v in locs.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    a = np.zeros((9, 9))
+    a = np.zeros((n, n))
     for v, (i, j) in zip(got, pairs, strict=False):
         a[i, j] = a[j, i] = v
-    v = np.linalg.solve(a, np.array(got[45:]))
-    q = np.array([[v[0], v[3], v[4]], [v[3], v[1], v[5]], [v[4], v[5], v[2]]])
-    c = -np.linalg.solve(q, v[6:9])
+    v = np.linalg.solve(a, np.array(got[len(pairs) :]))
+    mixed = v[3:6] if form == "general" else np.zeros(3)
+    own = v[[0, 0, 1]] if form == "round" else v[:3]
+    q = np.array([[own[0], mixed[0], mixed[1]], [mixed[0], own[1], mixed[2]], [mixed[1], mixed[2], own[2]]])
+    c = -np.linalg.solve(q, v[-3:])
     level = 1 + c @ q @ c
     w, axes = np.linalg.eigh(q / level)
     order = np.argsort(w)

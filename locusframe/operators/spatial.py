@@ -181,6 +181,27 @@ def locate(points: DataFrame, faces: DataFrame) -> DataFrame:
     return points.select("loc_id").join(best, "loc_id", "left")
 
 
+def locate_in_space(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """(loc_id, face_id): the tetrahedron that holds each point (loc_id, x, y, z), the smallest on shared sides, null outside.
+
+    faces: face_id, x0, y0, z0, ..., x3, y3, z3. Boxes are laid on a grid of cubes, as in the plane.
+    """
+    from ..functions.columns import in_tetrahedron, tetra_volume
+
+    ends = {f"{n}{a}": f(*[F.col(f"{a}{i}") for i in range(4)]) for a in "xyz" for n, f in (("lo", F.least), ("hi", F.greatest))}
+    corner = [tuple(F.col(f"{a}{i}") for a in "xyz") for i in range(4)]
+    box = faces.where(tetra_volume(*corner) > 0).withColumns(ends)  # flat ones hold nothing
+    g = box.agg(F.avg(F.greatest(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"]))).first()[0] or 1.0
+    g = max(g, 1e-9)
+    p = points.select("loc_id", "x", "y", "z")
+    for a in "xyz":
+        box = box.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / g), F.floor(F.col(f"hi{a}") / g))))
+        p = p.withColumn(f"c{a}", F.floor(F.col(a) / g))
+    hit = p.join(box, ["cx", "cy", "cz"]).where(in_tetrahedron(tuple(F.col(a) for a in "xyz"), *corner))
+    best = hit.groupBy("loc_id").agg(F.min("face_id").alias("face_id"))
+    return points.select("loc_id").join(best, "loc_id", "left")
+
+
 def shared_values(cells: DataFrame, values: str = "vertices") -> DataFrame:
     """Values that occur more than once among rows of arrays."""
     return cells.select(F.explode(values).alias("value")).groupBy("value").count().where("count > 1").select("value")

@@ -1,7 +1,8 @@
 """Delaunay triangulations and Voronoi cells.
 
 Points of a large set are dealt to square tiles, each with a halo of its
-neighbours' points. A triangle found in a tile stands if its circumcircle lies
+neighbours' points; a tile with too many points is split, in rounds, so that
+clusters do not fill one task. A triangle found in a tile stands if its circumcircle lies
 in the tile with halo: no other point can be inside, so it belongs to the
 triangulation of all points. Points whose every triangle stands are done. The
 few others, at the hull and in thin regions, are triangulated once more by
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stash
+from ..runtime import broadcast_if, stash
 from .kernels import Delaunay2D, circumcircles, clip_cell, clip_polyhedron, delaunay_3d, hull_3d
 
 #: Points that one task triangulates, and halo width in mean point distances.
@@ -42,33 +43,51 @@ def _in_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return _faces(ids, x, y, Delaunay2D(x, y).triangles())
 
 
-def _tile(side: float, halo: float):
+def _tile(key, pdf):
     """Triangles of a tile that stand (kind 0), and its own points that are not done (kind 1)."""
-
-    def work(key, pdf):
-        tx, ty = key
-        ids, x, y = _sorted(pdf)
-        d = Delaunay2D(x, y)
-        tri = d.triangles()
-        lo, hi = np.array([tx, ty]) * side - halo, (np.array([tx, ty]) + 1) * side + halo
-        cx, cy, r = circumcircles(x, y, tri) if len(tri) else (np.zeros(0),) * 3
-        stands = (cx - r > lo[0]) & (cx + r < hi[0]) & (cy - r > lo[1]) & (cy + r < hi[1])
-        around = np.bincount(tri.reshape(-1), minlength=len(ids)) if len(tri) else np.zeros(len(ids), int)
-        sure = np.bincount(tri[stands].reshape(-1), minlength=len(ids)) if len(tri) else np.zeros(len(ids), int)
-        hull = np.zeros(len(ids), bool)
-        for (u, v), w in d.third.items():
-            if w < 0:
-                hull[[u, v]] = True
-        mine = (np.floor(x / side) == tx) & (np.floor(y / side) == ty)
-        is_copy = np.zeros(len(ids), bool)
-        is_copy[list(d.copies)] = True
-        todo = mine & ~is_copy & ((around != sure) | hull | (around == 0))
-        f = _faces(ids, x, y, tri[stands])
-        f["kind"] = 0
-        o = pd.DataFrame({"v": pd.Series([[int(i)] for i in ids[todo]], dtype=object), "measure": 0.0, "kind": 1})
-        return pd.concat([f, o], ignore_index=True)
-
-    return work
+    x0, y0, side, halo = key
+    ids, x, y = _sorted(pdf)
+    d = Delaunay2D(x, y)
+    tri = d.triangles()
+    cx, cy, r = circumcircles(x, y, tri) if len(tri) else (np.zeros(0),) * 3
+    stands = (cx - r > x0 - halo) & (cx + r < x0 + side + halo) & (cy - r > y0 - halo) & (cy + r < y0 + side + halo)
+    around = np.bincount(tri.reshape(-1), minlength=len(ids)) if len(tri) else np.zeros(len(ids), int)
+    sure = np.bincount(tri[stands].reshape(-1), minlength=len(ids)) if len(tri) else np.zeros(len(ids), int)
+    hull = np.zeros(len(ids), bool)
+    for (u, v), w in d.third.items():
+        if w < 0:
+            hull[[u, v]] = True
+    edge = 1e-9 * (abs(x0) + abs(y0) + side)  # a point on a border may be two tiles' own
+    mine = (x >= x0 - edge) & (x <= x0 + side + edge) & (y >= y0 - edge) & (y <= y0 + side + edge)
+    todo = mine & ((around != sure) | hull | (around == 0))
+    f = _faces(ids, x, y, tri[stands])
+    f["kind"] = 0
+    o = pd.DataFrame({"v": pd.Series([[int(i)] for i in ids[todo]], dtype=object), "measure": 0.0, "kind": 1})
+    return pd.concat([f, o], ignore_index=True)
+
+
+def tiles(p: DataFrame, side: float, halo: float, task_points: int) -> DataFrame:
+    """Points (loc_id, x, y) dealt to tiles (x0, y0, side, halo), each with what lies in its halo.
+
+    A tile with more than four times task_points is cut into k x k ones with halos k times narrower, until none is left.
+    """
+    wide = 1 + 1e-6
+    at = {c: F.explode(F.sequence(F.floor((F.col(c) - halo * wide) / side), F.floor((F.col(c) + halo * wide) / side))) for c in ("x", "y")}
+    dealt = p.withColumn("tx", at["x"]).withColumn("ty", at["y"])
+    dealt = dealt.select("loc_id", "x", "y", (F.col("tx") * side).alias("x0"), (F.col("ty") * side).alias("y0"), F.lit(side).alias("side"), F.lit(halo).alias("halo"))
+    for _ in range(30):
+        k = F.least(F.ceil(F.sqrt(F.count(F.lit(1)) / task_points)), F.lit(256)).cast("int")
+        heavy = stash(dealt.groupBy("x0", "y0", "side").agg(F.count(F.lit(1)).alias("n"), k.alias("k")).where(F.col("n") > 4 * task_points).drop("n"), "heavy")
+        if heavy.isEmpty():
+            break
+        d = dealt.join(broadcast_if(heavy, 1_000_000), ["x0", "y0", "side"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        s, h = F.col("side") / F.col("k"), F.col("halo") / F.col("k")
+        for c, o in (("x", "x0"), ("y", "y0")):
+            lo, hi = F.floor((F.col(c) - F.col(o) - h * wide) / s), F.floor((F.col(c) - F.col(o) + h * wide) / s)
+            lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.col("k") - 1)
+            d = d.withColumn(f"i{c}", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0).cast("bigint"))).when(lo <= hi, F.sequence(lo, hi))))
+        dealt = stash(d.select("loc_id", "x", "y", (F.col("x0") + F.col("ix") * s).alias("x0"), (F.col("y0") + F.col("iy") * s).alias("y0"), s.alias("side"), h.alias("halo")), "dealt")
+    return dealt
 
 
 def _rest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,9 +123,9 @@ def delaunay(locs: DataFrame, task_points: int = TASK_POINTS) -> DataFrame:
     area = max((x1 - x0) * (y1 - y0), 1e-12)
     side = math.sqrt(area * task_points / n)
     halo = min(HALO * math.sqrt(area / n), side)
-    spans = [F.array_distinct(F.array(*[F.floor((F.col(c) + s) / side) for s in (-halo, 0.0, halo)])) for c in ("x", "y")]
-    dealt = p.withColumn("tx", F.explode(spans[0])).withColumn("ty", F.explode(spans[1]))
-    got = stash(dealt.groupBy("tx", "ty").applyInPandas(_tile(side, halo), f"{FACES}, kind int"), "tiles")
+    p = stash(p.groupBy("x", "y").agg(F.min("loc_id").alias("loc_id")).select("loc_id", "x", "y"), "places")  # copies have no triangles
+    dealt = tiles(p, side, halo, task_points)
+    got = stash(dealt.groupBy("x0", "y0", "side", "halo").applyInPandas(_tile, f"{FACES}, kind int"), "tiles")
     stand = stash(got.where("kind = 0").groupBy("v").agg(F.max("measure").alias("measure")), "stand")
     open_ids = got.where("kind = 1").select(F.col("v")[0].alias("loc_id")).distinct()
     open_pts = stash(p.join(open_ids, "loc_id"), "open")
@@ -192,18 +211,48 @@ def vertex_links(faces: DataFrame) -> DataFrame:
     return faces.where(n > 1).select(F.explode(pairs).alias("e")).select("e.a", "e.b").distinct()
 
 
+def _inner_cells(locs: DataFrame, faces: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """Cells (loc_id, measure) that the box does not touch, and all dual sides (loc_id, neigh) of some length, in built-in functions.
+
+    A triangle gives each corner what the perpendicular bisectors of its sides cut off, up to its circumcentre (signed).
+    """
+    f = with_corners(faces, locs)
+    dot = lambda k, i, j: sum((F.col(f"{a}{i}") - F.col(f"{a}{k}")) * (F.col(f"{a}{j}") - F.col(f"{a}{k}")) for a in "xy")
+    cot = lambda k, i, j: dot(k, i, j) / (2 * F.col("measure"))
+    part = lambda i, j, k: (dot(i, j, j) * cot(k, i, j) + dot(i, k, k) * cot(j, i, k)) / 8
+    bx, by, cx, cy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x2") - F.col("x0"), F.col("y2") - F.col("y0")
+    d = 2 * (bx * cy - cx * by)
+    f = f.withColumn("ux", F.col("x0") + (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d)
+    f = f.withColumn("uy", F.col("y0") + (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d)
+    within = (F.col("ux") > box[0]) & (F.col("ux") < box[2]) & (F.col("uy") > box[1]) & (F.col("uy") < box[3])
+    f = stash(f.where("measure > 0").select("v", "ux", "uy", within.alias("within"), F.array(part(0, 1, 2), part(1, 2, 0), part(2, 0, 1)).alias("part")), "corners")
+    edge = F.explode(F.array(*[F.struct(F.col("v")[i].alias("a"), F.col("v")[j].alias("b")) for i, j in ((0, 1), (1, 2), (0, 2))])).alias("e")
+    e = f.select(edge, "ux", "uy").groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("n"), (F.max("ux") - F.min("ux")).alias("w"), (F.max("uy") - F.min("uy")).alias("h"))
+    e = stash(e.select("a", "b", "n", ((F.col("w") > 0) | (F.col("h") > 0)).alias("long")), "dual")
+    hull = e.where("n = 1").select(F.explode(F.array("a", "b")).alias("loc_id")).distinct()
+    corner = F.explode(F.arrays_zip(F.col("v").alias("loc_id"), F.col("part").alias("part"))).alias("c")
+    cells = f.select(corner, "within").groupBy("c.loc_id").agg(F.sum("c.part").alias("measure"), F.bool_and("within").alias("within"))
+    cells = cells.where("within").join(hull, "loc_id", "left_anti").select("loc_id", "measure")
+    sides = e.where("long").select(F.explode(F.array(F.struct(F.col("a").alias("loc_id"), F.col("b").alias("neigh")), F.struct(F.col("b").alias("loc_id"), F.col("a").alias("neigh")))).alias("s"))
+    return cells, sides.select("s.loc_id", "s.neigh")
+
+
 def voronoi(locs: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (loc_id, measure, density, is_border) and their sides (loc_id, neigh).
 
     Cells are clipped to the points' box widened by one. A neighbour counts if
     its side is left after clipping. A cell without area gets the largest one.
     density = (1 + neighbours) / (area + neighbours' areas). Copies of a
-    point have no cell.
+    point have no cell. Cells inside the box come from their triangles; only
+    those at the hull or with a corner beyond the box are clipped one by one.
     """
     x0, x1, y0, y1 = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     box = (x0 - 1, y0 - 1, x1 + 1, y1 + 1)
     at = locs.select("loc_id", "x", "y")
-    link = vertex_links(faces).join(at.select(F.col("loc_id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny")), "b")
+    inner, dual = _inner_cells(at, faces, box)
+    inner = stash(inner, "inner")
+    link = vertex_links(faces).join(inner.select(F.col("loc_id").alias("a")), "a", "left_anti")
+    link = link.join(at.select(F.col("loc_id").alias("b"), F.col("x").alias("nx"), F.col("y").alias("ny")), "b")
     star = link.groupBy(F.col("a").alias("loc_id")).agg(F.sort_array(F.collect_list(F.struct("b", "nx", "ny"))).alias("star")).join(at, "loc_id")
     star = star.select("loc_id", "x", "y", F.col("star.b").alias("b"), F.col("star.nx").alias("nx"), F.col("star.ny").alias("ny"))
 
@@ -215,10 +264,12 @@ def voronoi(locs: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows.append((r.loc_id, area, [int(r.b[k]) for k in left], cut))
             yield pd.DataFrame(rows, columns=["loc_id", "measure", "neigh", "is_border"])
 
-    raw = stash(star.mapInPandas(work, "loc_id long, measure double, neigh array<long>, is_border boolean"), "cells")
+    outer = stash(star.mapInPandas(work, "loc_id long, measure double, neigh array<long>, is_border boolean"), "outer")
+    raw = inner.select("loc_id", "measure", F.lit(False).alias("is_border")).unionByName(outer.drop("neigh"))
     largest = raw.agg(F.max("measure")).first()[0]
     cells = raw.withColumn("measure", F.when(F.col("measure") > 0, F.col("measure")).otherwise(F.lit(largest)))
-    sides = raw.select("loc_id", F.explode("neigh").alias("neigh"))
+    sides = dual.join(inner.select("loc_id"), "loc_id", "left_semi").unionByName(outer.select("loc_id", F.explode("neigh").alias("neigh")))
+    sides = stash(sides, "sides")
     near = sides.join(cells.select(F.col("loc_id").alias("neigh"), F.col("measure").alias("m")), "neigh")
     near = near.groupBy("loc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("m"))
     out = cells.join(near, "loc_id", "left")

@@ -379,4 +379,4 @@ def _apply(d: Dataset, p: dict) -> None:
     from ..functions.plugins import call
 
     c = p.get("component", "DetectionSet")
-    d.tables[c] = call(d.table(c), p["function"], p["inputs"], p["output"])
+    d.tables[c] = call(d.table(c), p["function"], p["inputs"], p["output"], by=p.get("by", ()))

@@ -334,6 +334,53 @@ def nation_tetrahedra(spark, sf_dir):
     return f.select(*[F.col("v")[i].alias(f"v{i}") for i in range(4)], F.round("measure", 4).alias("volume"))
 
 
+_CUSTOMERS = "c AS (SELECT c_custkey AS id, (c_custkey * 379 % 1009) / 10.09 + 0.0013 AS x, (c_custkey * 577 % 1013) / 10.13 + 0.0017 AS y, (c_custkey * 733 % 1019) / 10.19 + 0.0019 AS z FROM customer)"
+
+
+@query(f"""WITH {_NATIONS}, {_CUSTOMERS}, t(face_id, i0, i1, i2, i3) AS (SELECT r_regionkey * 2, r_regionkey, r_regionkey + 5, r_regionkey + 10, r_regionkey + 15 FROM region UNION ALL SELECT r_regionkey * 2 + 1, r_regionkey, r_regionkey + 6, r_regionkey + 12, r_regionkey + 17 FROM region),
+k AS (SELECT face_id, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, d.x - a.x AS vx, d.y - a.y AS vy, d.z - a.z AS vz, e.x - a.x AS wx, e.y - a.y AS wy, e.z - a.z AS wz
+  FROM t JOIN p a ON a.id = i0 JOIN p b ON b.id = i1 JOIN p d ON d.id = i2 JOIN p e ON e.id = i3),
+q AS (SELECT c.id, face_id, c.x - ax AS px, c.y - ay AS py, c.z - az AS pz, k.*, ux * (vy * wz - vz * wy) - uy * (vx * wz - vz * wx) + uz * (vx * wy - vy * wx) AS det FROM c, k),
+l AS (SELECT id, face_id, (px * (vy * wz - vz * wy) - py * (vx * wz - vz * wx) + pz * (vx * wy - vy * wx)) / det AS a, (ux * (py * wz - pz * wy) - uy * (px * wz - pz * wx) + uz * (px * wy - py * wx)) / det AS b,
+  (ux * (vy * pz - vz * py) - uy * (vx * pz - vz * px) + uz * (vx * py - vy * px)) / det AS g FROM q WHERE det <> 0),
+h AS (SELECT id, min(face_id) AS face_id FROM l WHERE a >= 0 AND b >= 0 AND g >= 0 AND a + b + g <= 1 GROUP BY 1)
+SELECT c.id AS loc_id, h.face_id FROM c LEFT JOIN h USING (id)""")
+def located_in_space(spark, sf_dir):
+    """The first tetrahedron of nations that holds each customer as a point."""
+    p = _nations(spark, sf_dir)
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("r"))
+    t = None
+    for odd, step in ((0, (0, 5, 10, 15)), (1, (0, 6, 12, 17))):
+        one = r.select((F.col("r") * 2 + odd).alias("face_id"), F.array(*[F.col("r") + s for s in step]).alias("v"), F.lit(0.0).alias("measure"))
+        t = one if t is None else t.unionByName(one)
+    k = F.col("c_custkey")
+    axes = {a: (k * m % d) / (d / 100) + o for a, m, d, o in (("x", 379, 1009, 0.0013), ("y", 577, 1013, 0.0017), ("z", 733, 1019, 0.0019))}
+    c = table(spark, sf_dir, "customer").select(k.alias("loc_id"), *[v.alias(a) for a, v in axes.items()])
+    from ..operators import spatial
+
+    return spatial.locate_in_space(c, tess.with_corners(t, p, ("x", "y", "z")))
+
+
+@query(f"""WITH {_NATIONS}, o AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p) SELECT p.id AS loc_id, round(p.x + (p.x - o.x) * 0.5, 6) AS x, round(p.y + (p.y - o.y) * 0.5, 6) AS y,
+  round((p.x * 1 + p.y * 2 + (p.z + 10) * 2) / 3, 6) AS depth FROM p, o""")
+def moved_cells(spark, sf_dir):
+    """Points moved from their common centre, and their depth before an eye."""
+    p = _nations(spark, sf_dir)
+    m = p.agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
+    xyz, centre = tuple(F.col(a) for a in "xyz"), tuple(F.col(f"m{a}") for a in "xyz")
+    x, y, _ = C.moved_from(xyz, xyz, centre, 0.5)
+    d = C.depth(xyz, (F.lit(0.0), F.lit(0.0), F.lit(-10.0)), (F.lit(1.0), F.lit(2.0), F.lit(2.0)))
+    return p.crossJoin(F.broadcast(m)).select("loc_id", r6(x).alias("x"), r6(y).alias("y"), r6(d).alias("depth"))  # m is one row
+
+
+@query("SELECT user_id AS skeleton_id, count(*) AS n, count(DISTINCT event_type) AS segments, round(sum(value), 4) AS sx FROM events GROUP BY 1")
+def skeleton_files(spark, sf_dir):
+    path = scratch(spark, "skeletons")
+    k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    files.write_skeletons(table(spark, sf_dir, "events").select(F.col("user_id").alias("skeleton_id"), F.col("event_type").alias("segment_id"), k.alias("seq"), F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")), path)
+    return spark.read.parquet(path).groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment_id").alias("segments"), F.round(F.sum("x"), 4).alias("sx"))
+
+
 @query(f"WITH {_NATIONS} SELECT count(*) AS n, round((max(x) - min(x) + 2 * pad) * (max(y) - min(y) + 2 * pad) * (max(z) - min(z) + 2 * pad), 2) AS total FROM p, (SELECT least(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 100 AS pad FROM p) GROUP BY pad")
 def nation_cells(spark, sf_dir):
     """Voronoi cells in space fill the box of the points and its pad."""
@@ -404,13 +451,15 @@ def curve_fits(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, a double, b double, c double")
 
 
-@query("SELECT 10.0 AS cx, -20.0 AS cy, 5.0 AS cz, 40.0 AS axis0, 30.0 AS axis1, 20.0 AS axis2")
-def ellipsoid(spark, sf_dir):
-    """Points laid on a known ellipsoid by the keys of a table."""
-    p = table(spark, sf_dir, "orders").selectExpr("o_orderkey * 0.7d as a", "(o_orderkey % 1000) / 1000d * 2 - 1 as c")
-    p = p.selectExpr("10 + 30 * sqrt(1 - c * c) * cos(a) as x", "-20 + 40 * sqrt(1 - c * c) * sin(a) as y", "5 + 20 * c as z")
-    e = fit.ellipsoid_fit(p)
-    return spark.createDataFrame([tuple(round(float(v), 5) for v in (*e["centre"], *e["axes"]))], "cx double, cy double, cz double, axis0 double, axis1 double, axis2 double")
+@query("SELECT * FROM (VALUES ('general', 10.0, -20.0, 5.0, 40.0, 30.0, 20.0), ('aligned', 10.0, -20.0, 5.0, 40.0, 30.0, 20.0), ('round', 10.0, -20.0, 5.0, 30.0, 30.0, 20.0)) v(form, cx, cy, cz, axis0, axis1, axis2)")
+def ellipsoids(spark, sf_dir):
+    """Points laid on known ellipsoids by the keys of a table, fitted in three forms."""
+    a = table(spark, sf_dir, "orders").selectExpr("o_orderkey * 0.7d as a", "(o_orderkey % 1000) / 1000d * 2 - 1 as c")
+    rows = []
+    for form, r in (("general", 40), ("aligned", 40), ("round", 30)):
+        e = fit.ellipsoid_fit(a.selectExpr("10 + 30 * sqrt(1 - c * c) * cos(a) as x", f"-20 + {r} * sqrt(1 - c * c) * sin(a) as y", "5 + 20 * c as z"), form)
+        rows.append((form, *[round(float(v), 5) for v in (*e["centre"], *e["axes"])]))
+    return spark.createDataFrame(rows, "form string, cx double, cy double, cz double, axis0 double, axis1 double, axis2 double")
 
 
 @query("""SELECT vec_id, CASE WHEN list_sum(embedding[1:32]) >= list_sum(embedding[33:64]) THEN 0 ELSE 1 END AS label FROM embeddings""")

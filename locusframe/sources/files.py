@@ -9,6 +9,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if
+
 # --- localization text files ----------------------------------------------------------------
 
 #: A number at the beginning of a cell; anything else reads as 0.
@@ -101,7 +103,7 @@ def _mmcif(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("o")
     head = lines.where(F.col("value").startswith("_atom_site.")).withColumn("k", F.row_number().over(w) - 1)
     names = head.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.trim(F.expr("substr(value, 12)")), "k"))).alias("at"))
-    body = lines.where(F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM")).join(F.broadcast(names), "file")  # a row for each file
+    body = lines.where(F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM")).join(broadcast_if(names, 10_000), "file")
     cells = F.split(F.trim("value"), r"\s+")
     get = lambda n: F.get(cells, F.col("at")[n].cast("int"))
     atoms = body.select(
@@ -320,6 +322,11 @@ def heat_lines(vertices: DataFrame, normals: DataFrame, mesh_id: int) -> DataFra
     return v.unionByName(m).orderBy("n", "k").select("value")
 
 
+def write_skeletons(segments: DataFrame, path: str) -> None:
+    """Segments (skeleton_id, segment_id, seq, x, y, z) as a table dealt out by skeleton, in order."""
+    segments.repartition("skeleton_id").sortWithinPartitions("skeleton_id", "segment_id", "seq").write.mode("overwrite").parquet(path)
+
+
 def svg_circles(locs: DataFrame, colour: Column, size: float = 1.0) -> DataFrame:
     """Selected points as SVG circle elements."""
     return locs.select(F.format_string('<circle cx="%.3f" cy="%.3f" r="%.3f" fill="%s"/>', F.col("x").cast("double"), F.col("y").cast("double"), F.lit(float(size)), colour).alias("value"))
