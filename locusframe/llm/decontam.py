@@ -75,9 +75,11 @@ def occurrences(docs: DataFrame, win: DataFrame) -> DataFrame:
     start = F.col("pos") - F.col("offset")
     hits = hits.where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("row", start.alias("start"), "n", "window_id")
     tried = stash(hits.groupBy("row").agg(F.collect_list(F.struct("start", "n", "window_id")).alias("tried")), "tried")
-    both = text.select("row", F.split("spaced", " ").alias("words")).join(tried, "row")
-    there = F.transform("tried", lambda t: F.struct(t["start"].alias("start"), t["n"].alias("n"), t["window_id"].alias("window_id"), F.sha2(F.array_join(F.slice("words", t["start"] + 1, t["n"]), " "), 256).alias("held")))
-    found = both.select("row", F.explode(F.filter(there, lambda t: t["held"] == t["window_id"])).alias("t"))
+    both = text.select("row", "spaced").join(tried, "row")
+    # The words are a lambda's variable, so that they are cut once a row, not once a start.
+    held = lambda w, t: F.sha2(F.array_join(F.slice(w, t["start"] + 1, t["n"]), " "), 256)
+    there = F.transform(F.array(F.split("spaced", " ")), lambda w: F.filter("tried", lambda t: held(w, t) == t["window_id"]))
+    found = both.select("row", F.explode(F.get(there, F.lit(0))).alias("t"))
     return stash(found.select("row", "t.start", "t.n", "t.window_id"), "occurrences")
 
 
