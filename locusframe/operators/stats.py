@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stash
+
 
 def numbers(df: DataFrame, feature: str | Column, log: bool = False) -> DataFrame:
     """One column ``v`` of the non-null, finite values (or their log10)."""
@@ -156,35 +158,37 @@ def rank(df: DataFrame, feature: str, method: str = "average", ascending: bool =
     return df.join(table, on, "left").drop("_v", *[f"_k{i}" for i in range(len(by))])
 
 
-def running_total(df: DataFrame, by: list[str], order: str, value: str, ascending: bool = True, parts: int = 1024) -> DataFrame:
-    """df with ``_before``: the sum of ``value`` over rows that come earlier in their group.
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """df, written, with ``_part`` and ``_at``: its range of a sort of all rows, and its place in that range.
 
-    A whole column as one group is cut into ``parts`` ranges of values; ranges
-    are summed, and only rows within a range meet in one task.
+    Ranges are cut by a sample of the values, so a heavy tail or one frequent value does not fill one task.
     """
-    key = F.col(order) if ascending else -F.col(order)
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = span["lo"], span["hi"]
-    step = (hi - lo) / parts if lo is not None and hi > lo else 0
-    part = F.least(F.lit(parts - 1), F.floor((key - F.lit(lo)) / F.lit(step)).cast("int")) if step else F.lit(0)
-    d = df.withColumn("_part", part)
-    sums = d.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
+    rows = stash(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    return rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def _before_parts(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(_g0, _g1, ..., _p, _base): what lies before each range of a sort; sums has a row for each range and group in it."""
     earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
-    sums = sums.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), "_base")
+    base = F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base")
+    return sums.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), base)
+
+
+def running_total(df: DataFrame, by: list[str], order: str, value: str, ascending: bool = True) -> DataFrame:
+    """df with ``_before``: the sum of ``value`` over rows that come earlier in their group. Only rows of one range of a sort meet in a task."""
+    rows = in_order(df, *[F.col(b) for b in by], F.col(order).asc() if ascending else F.col(order).desc())
+    sums = _before_parts(rows.groupBy(*by, "_part").agg(F.sum(value).alias("_s")), by)
     on = [F.col("_part") == F.col("_p"), *[F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]]
-    within = Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, on, "left")
-    return out.withColumn("_before", F.col("_base") + F.col("_in")).drop("_part", "_p", "_base", "_in", *[f"_g{i}" for i in range(len(by))])
+    within = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, on, "left")
+    return out.withColumn("_before", F.col("_base") + F.col("_in")).drop("_part", "_at", "_p", "_base", "_in", *[f"_g{i}" for i in range(len(by))])
 
 
 def argsort(df: DataFrame, feature: str, key: str) -> DataFrame:
-    """(key, place): 0-based places in ascending order, ties by key. Distinct values are counted first."""
-    counts = df.groupBy(feature).agg(F.count(F.lit(1)).alias("_c"))
-    before = running_total(counts, [], feature, "_c").select(F.col(feature).alias("_v"), "_before")
-    within = Window.partitionBy(feature).orderBy(key)
-    out = df.select(key, feature, (F.row_number().over(within) - 1).alias("_in")).join(before, F.col(feature) == F.col("_v"))
-    return out.select(key, (F.col("_before") + F.col("_in")).cast("long").alias("place"))
+    """(key, place): 0-based places in ascending order, ties by key."""
+    rows = in_order(df.select(key, feature).where(F.col(feature).isNotNull()), F.col(feature), F.col(key))
+    sums = _before_parts(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_s")), [])
+    return rows.join(sums, F.col("_part") == F.col("_p")).select(key, (F.col("_base") + F.col("_at")).cast("long").alias("place"))
 
 
 def cumulative(hist: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stash
+from ..runtime import fits, stash
+
+#: So many points are compared with their whole next frame.
+LAST = 1_000
 
 
 def steps(points: DataFrame, axes=("x", "y")) -> DataFrame:
@@ -73,7 +76,9 @@ def next_frame_nearest(locs: DataFrame, axes=("x", "y"), reach: float | None = N
     """(loc_id, other, distance): each point's nearest one in the next frame that has any.
 
     Frames are numbered over their distinct values, and the join is by frame
-    and, if a reach is given, by grid cell.
+    and grid cell. Without a reach, cells begin as wide as a frame's mean point
+    distance and double for the points that found none; the last few are
+    compared with their whole next frame.
     """
     from .stats import relabel
 
@@ -81,21 +86,37 @@ def next_frame_nearest(locs: DataFrame, axes=("x", "y"), reach: float | None = N
     p = stash(locs.select("loc_id", "frame", *axes).join(f, "frame"), "frames")
     a = p.select("loc_id", F.col("f").alias("fa"), *axes)
     b = p.select(F.col("loc_id").alias("other"), (F.col("f") - 1).alias("fa"), *[F.col(c).alias(f"{c}_b") for c in axes])
-    on = ["fa"]
-    if reach is not None:
+
+    def best(a: DataFrame, r: float | None) -> DataFrame:
+        on, q, d2 = ["fa"], b, None
         for c in axes:
-            a = a.withColumn(f"c{c}", F.floor(F.col(c) / reach))
-            b = b.withColumn(f"c{c}", F.explode(F.array(*[F.floor(F.col(f"{c}_b") / reach) + d for d in (-1, 0, 1)])))
-            on.append(f"c{c}")
-    d2 = None
-    for c in axes:
-        t = (F.col(c) - F.col(f"{c}_b")) * (F.col(c) - F.col(f"{c}_b"))
-        d2 = t if d2 is None else d2 + t
-    near = a.join(b, on).withColumn("d2", d2)
+            if r is not None:
+                a = a.withColumn(f"c{c}", F.floor(F.col(c) / r))
+                q = q.withColumn(f"c{c}", F.explode(F.array(*[F.floor(F.col(f"{c}_b") / r) + d for d in (-1, 0, 1)])))
+                on.append(f"c{c}")
+            t = (F.col(c) - F.col(f"{c}_b")) * (F.col(c) - F.col(f"{c}_b"))
+            d2 = t if d2 is None else d2 + t
+        near = a.join(q, on).withColumn("d2", d2)
+        if r is not None:
+            near = near.where(F.col("d2") <= r * r)
+        g = near.groupBy("loc_id").agg(F.min(F.struct("d2", "other")).alias("m"))
+        return g.select("loc_id", F.col("m.other").alias("other"), F.sqrt("m.d2").alias("distance"))
+
     if reach is not None:
-        near = near.where(F.col("d2") <= reach * reach)
-    best = near.groupBy("loc_id").agg(F.min(F.struct("d2", "other")).alias("m"))
-    return best.select("loc_id", F.col("m.other").alias("other"), F.sqrt("m.d2").alias("distance"))
+        return best(a, reach)
+    n, frames, *ends = p.agg(F.count(F.lit(1)), F.max("f"), *[F.max(c) - F.min(c) for c in axes]).first()
+    if not n or not frames:
+        return best(a.limit(0), None)
+    open_points = a.where(F.col("fa") < frames).dropna(subset=list(axes))
+    r = max(max(float(e) for e in ends) / max(1.0, n / (frames + 1)) ** (1 / len(axes)), 1e-9)
+    out = None
+    while True:
+        got = stash(best(open_points, None if fits(open_points, LAST) else r), "nearest")
+        out = got if out is None else out.unionByName(got)
+        open_points = stash(open_points.join(got.select("loc_id"), "loc_id", "left_anti"), "open")
+        if open_points.isEmpty():
+            return out
+        r *= 2
 
 
 def _link_block(pdf: pd.DataFrame, radius: float, max_dark: int) -> pd.DataFrame:

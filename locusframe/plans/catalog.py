@@ -758,7 +758,18 @@ def object_colocalization(spark, sf_dir):
     return rounded(overlap.object_colocalization(one, two, step=r / 4)["overlaps"], "measure")
 
 
-@query()
+@query(f"""WITH {PTS}, m AS (SELECT color AS c, CAST(floor(x / 40) AS BIGINT) * 1000 + CAST(floor(y / 40) AS BIGINT) AS id, loc_id, x, y FROM pts WHERE color IN ('F', 'O')),
+e AS (SELECT a.c, a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bw FROM m a JOIN m b ON a.c = b.c AND a.id = b.id AND a.loc_id <> b.loc_id),
+h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.c = e.c AND m.id = e.id AND ((bx - ax) * (m.y - ay) - (bw - ay) * (m.x - ax) < 0
+  OR ((bx - ax) * (m.y - ay) - (bw - ay) * (m.x - ax) = 0 AND (m.x - ax) * (m.x - bx) + (m.y - ay) * (m.y - bw) > 0)))),
+ok AS (SELECT c, id FROM h GROUP BY 1, 2 HAVING count(*) >= 3), g AS (SELECT h.* FROM h JOIN ok USING (c, id)),
+x AS (SELECT a.id, a.ax, a.ay, a.bx - a.ax AS ux, a.bw - a.ay AS uy, b.bx - b.ax AS vx, b.bw - b.ay AS vy, b.ax - a.ax AS wx, b.ay - a.ay AS wy FROM g a JOIN g b ON a.id = b.id AND a.c = 'F' AND b.c = 'O'),
+i AS (SELECT a.id, a.ax AS x, a.ay AS y FROM g a JOIN ok o ON o.id = a.id AND o.c <> a.c WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.id = a.id AND b.c <> a.c AND (b.bx - b.ax) * (a.ay - b.ay) - (b.bw - b.ay) * (a.ax - b.ax) < 0)
+  UNION ALL SELECT id, ax + (wx * vy - wy * vx) / (ux * vy - uy * vx) * ux, ay + (wx * vy - wy * vx) / (ux * vy - uy * vx) * uy FROM x
+  WHERE ux * vy <> uy * vx AND (wx * vy - wy * vx) / (ux * vy - uy * vx) BETWEEN 0 AND 1 AND (wx * uy - wy * ux) / (ux * vy - uy * vx) BETWEEN 0 AND 1),
+k AS (SELECT *, atan2(y - avg(y) OVER (PARTITION BY id), x - avg(x) OVER (PARTITION BY id)) AS t FROM i),
+s AS (SELECT id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM k WINDOW w AS (PARTITION BY id ORDER BY t))
+SELECT id AS id1, id AS id2, round(abs(sum(x * ny - nx * y)) / 2, 4) AS measure FROM s GROUP BY id HAVING abs(sum(x * ny - nx * y)) / 2 > 1e-7""")
 def polygon_intersections(spark, sf_dir):
     """Hulls of two colours in coarse tiles, clipped against each other."""
     def hulls(k):
@@ -766,7 +777,7 @@ def polygon_intersections(spark, sf_dir):
         h = objects.hull_outlines(m).groupBy(F.col("object_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda e: F.struct(e.x.alias("x"), e.y.alias("y"))).alias("pts"))
         return stash(h.where(F.size("pts") > 2), "hulls")
 
-    return overlap.polygon_intersections(hulls("F"), hulls("O"), 40.0).select("id1", "id2", r6("measure").alias("measure"))
+    return overlap.polygon_intersections(hulls("F"), hulls("O"), 40.0).where("measure > 1e-7").select("id1", "id2", F.round("measure", 4).alias("measure"))
 
 
 _BOXED = f"{PTS}, m AS (SELECT CAST(floor(x / 50) AS BIGINT) * 1000 + CAST(floor(y / 50) AS BIGINT) AS object_id, x, y, loc_id FROM pts)"

@@ -76,3 +76,48 @@ def test_inverted_and_logarithmic_selection(spark):
     assert sorted(r["loc_id"] for r in d.selected("DetectionSet").collect()) == [0, 4]
     macro.run(d, '{"DetectionSet": {"invertSelection": {}}}\n{"DetectionSet": {"histogram": {"feature": "x", "action": "log", "value": false}}}')
     assert [r["loc_id"] for r in d.selected("DetectionSet").collect()] == [0]
+
+
+def test_tiles_of_a_cluster_are_split(spark):
+    """Points that nearly all lie in one tile give the triangulation that one task makes of them, and no tile keeps many."""
+    rng = np.random.default_rng(3)
+    p = np.round(np.vstack([rng.normal(size=(1500, 2)) * 0.3 + 50, rng.random((300, 2)) * 100, rng.normal(size=(700, 2)) * 0.01 + 20, np.full((40, 2), 7.0)]), 5)
+    locs = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "loc_id long, x double, y double")
+    dealt = tess.tiles(locs, 20.0, 5.0, 60)
+    counts = [r["count"] for r in dealt.groupBy("x0", "y0", "side").count().collect()]
+    assert max(counts) <= 240 and len(counts) > 20
+    whole = {tuple(r["v"]) for r in tess.delaunay(locs).collect()}
+    assert {tuple(r["v"]) for r in tess.delaunay(locs, task_points=60).collect()} == whole
+
+
+def test_heavy_tails_fill_many_ranges(spark):
+    from locusframe.operators import stats
+
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 100 == 0, F.col("id") * 1e12).otherwise((F.col("id") % 997) / 1e6).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would share a range otherwise
+    try:
+        rows = stats.in_order(df.repartition(8), F.col("v"), F.col("id"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in rows.groupBy("_part").count().collect()) < 10_000
+    got = {r["id"]: r["place"] for r in stats.argsort(df, "v", "id").collect()}
+    want = df.toPandas().sort_values(["v", "id"]).reset_index(drop=True)
+    assert [got[i] for i in want["id"]] == list(range(20_000))
+    total = stats.running_total(df.withColumn("one", F.lit(1)), [], "id", "one", ascending=False).select("id", "_before").collect()
+    assert all(r["_before"] == 19_999 - r["id"] for r in total)
+
+
+def test_next_frame_far_away(spark):
+    from locusframe.operators import tracks
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(f), float(x), float(y)) for i, (f, x, y) in enumerate(zip(rng.integers(0, 6, 3000) * 3, rng.random(3000) * 100, rng.random(3000), strict=True))]
+    rows += [(5000, 0, 1e6, 1e6), (5001, 15, 3.0, 3.0), (5002, 0, None, 1.0)]
+    locs = spark.createDataFrame(rows, "loc_id long, frame long, x double, y double")
+    near = {r["loc_id"]: (r["other"], r["distance"]) for r in tracks.next_frame_nearest(locs).collect() if r["distance"] is not None}
+    p = [r for r in rows if r[2] is not None]
+    for i, f, x, y in p:
+        later = [(np.hypot(x - a, y - b), j) for j, g, a, b in p if g == f + 3]
+        assert (i in near) == bool(later)
+        if later:
+            assert near[i][1] == pytest.approx(min(later)[0])
