@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import stash
 from .graph import clusters
-from .kernels import bounding_ellipsoid, chain_edges, hull_2d, hull_3d, mesh_volume, pca, shoelace
+from .kernels import Delaunay2D, bounding_ellipsoid, chain_edges, circumcircles, hull_2d, hull_3d, mesh_volume, pca, shoelace
 from .stats import relabel
 from .tess import face_edges, facets, with_edge_lengths
 
@@ -101,6 +101,28 @@ def convex_hulls(member: DataFrame) -> DataFrame:
     return _per_object(work, "n_locs long, measure double")(member.select("object_id", "x", "y"))
 
 
+#: How an object's shape is made from its points.
+SHAPES = ("triangulation", "convex_hull", "alpha_shape")
+
+
+def shapes(member: DataFrame, mode: str = "triangulation", alpha: float = float("inf")) -> DataFrame:
+    """(object_id, n_locs, measure): area of each object's shape. alpha_shape: triangles with a circumradius up to alpha."""
+    if mode not in SHAPES:
+        raise ValueError(f"unknown shape {mode}")
+    if mode == "convex_hull":
+        return convex_hulls(member)
+
+    def work(key, pdf):
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        t = Delaunay2D(x, y).triangles()
+        a = np.abs((x[t[:, 1]] - x[t[:, 0]]) * (y[t[:, 2]] - y[t[:, 0]]) - (x[t[:, 2]] - x[t[:, 0]]) * (y[t[:, 1]] - y[t[:, 0]])) / 2 if len(t) else np.zeros(0)
+        if mode == "alpha_shape" and len(t):
+            a = a[circumcircles(x, y, t)[2] <= alpha]
+        return pd.DataFrame([(key[0], len(pdf), float(a.sum()))], columns=["object_id", "n_locs", "measure"])
+
+    return _per_object(work, "n_locs long, measure double")(member.select("object_id", "x", "y"))
+
+
 def convex_hulls3(member: DataFrame) -> DataFrame:
     """(object_id, n_locs, measure): hull volume of each object's points (object_id, x, y, z)."""
 

@@ -191,6 +191,12 @@ def argsort(df: DataFrame, feature: str, key: str) -> DataFrame:
     return rows.join(sums, F.col("_part") == F.col("_p")).select(key, (F.col("_base") + F.col("_at")).cast("long").alias("place"))
 
 
+def partial_order(df: DataFrame, feature: str, key: str, first: int) -> DataFrame:
+    """(key, place) of the first rows in ascending order, ties by key; each task keeps no more than so many."""
+    top = df.select(key, feature).where(F.col(feature).isNotNull()).orderBy(feature, key).limit(first)
+    return top.select(key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(feature, key)) - 1).cast("long").alias("place"))  # of so many rows
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """A histogram with its running share of the total; histograms have few rows."""
     w = Window.partitionBy(F.lit(0)).orderBy("bin")

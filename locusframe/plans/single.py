@@ -15,7 +15,7 @@ from ..operators import coloc, fit, objects, roi, select, stats, tess
 from ..runtime import shared_dir, stash
 from ..sources import files
 from . import macro
-from .catalog import _COLOC, _ROI_SQL, _paired, pts, query, r6, rois, rounded, table
+from .catalog import _COLOC, _ROI_SQL, _SQL, _boxed, _paired, pts, query, r6, rois, rounded, table
 
 LI = "lineitem"
 
@@ -414,6 +414,38 @@ def alpha_shape(spark, sf_dir):
     return kept.agg(F.lit(round(a, 6)).alias("alpha"), F.count(F.lit(1)).cast("int").alias("faces"), F.round(F.sum("measure"), 4).alias("area"))
 
 
+_HULLS = _SQL["convex_hulls"]
+
+
+@query(f"SELECT mode, object_id, n_locs, measure FROM ({_HULLS}), (VALUES ('triangulation'), ('convex_hull'), ('alpha_shape')) m(mode)")
+def object_shapes(spark, sf_dir):
+    """Objects' shapes in three modes; without a bound on circumradii the alpha shape is the hull, as the triangulation is."""
+    out = None
+    for mode in objects.SHAPES:
+        one = objects.shapes(_boxed(spark, sf_dir), mode).select(F.lit(mode).alias("mode"), "object_id", "n_locs", F.round("measure", 8).alias("measure"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS place FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice, p_partkey) <= 100")
+def first_places(spark, sf_dir):
+    return stats.partial_order(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", 100)
+
+
+@query("""WITH d AS (SELECT l_orderkey AS k, list_sort(list(l_extendedprice)) AS d FROM lineitem GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT *, list_transform(range(1, len(d)), lambda i: d[i + 1] - d[i]) AS f FROM d)
+SELECT k, round(CASE WHEN f[1] <> 0 THEN f[-1] / f[1] END, 6) AS by_first, round(CASE WHEN list_max(f) <> 0 THEN f[-1] / list_max(f) END, 6) AS by_largest, round(CASE WHEN list_min(f) <> 0 THEN f[-1] / list_min(f) END, 6) AS by_smallest,
+  round(f[-1], 6) AS raw, round(f[-1] / d[1], 6) AS by_distance, round(d[-1], 6) AS distance FROM e""")
+def distance_forms(spark, sf_dir):
+    """The other six forms of distances, by their last value."""
+    g = table(spark, sf_dir, LI).groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("l_extendedprice")).alias("d")).where(F.size("d") > 1)
+    one = lambda m: r6(F.element_at(fit.normalise_distances(F.col("d"), m), -1))
+    return g.select(
+        "k", one("Norm-FirstDiff").alias("by_first"), one("Norm-MaxDiff").alias("by_largest"), one("Norm-MinDiff").alias("by_smallest"), one("Raw-Differences").alias("raw"),
+        one("Norm-Diffs-Only-NoRescale").alias("by_distance"), one("Raw-Distances").alias("distance"),
+    )
+
+
 # --- two colours in regions -----------------------------------------------------------------
 
 _BY_ROI = _ROI_SQL + ", " + _COLOC[_COLOC.index("g AS (") :] + ", rp AS (SELECT roi, pd.* FROM pd JOIN m USING (loc_id))"
