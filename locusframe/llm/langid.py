@@ -15,6 +15,7 @@ each language, LANGUAGES of them at most.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,8 @@ def identify(docs: DataFrame) -> DataFrame:
     got = rows.where("not held_out").join(picked, ["doc_id", "lang"], "left_semi").withColumn("h", h)
     got = got.select("lang", "h", "body").mapInArrow(profile_rows, "lang string, h long, grams array<int>")
     sample = got.limit(SAMPLE * LANGUAGES).toPandas().sort_values(["h", "lang"])
+    if len(sample) >= SAMPLE * LANGUAGES:
+        warnings.warn(f"only the first {LANGUAGES} languages by name are learned", stacklevel=2)
     model: tuple = ([], None, None)
     if len(sample):
         x = np.zeros((len(sample), WIDTH), bool)

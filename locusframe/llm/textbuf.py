@@ -91,6 +91,7 @@ def by_slices(work: Callable, column: str, limit: int = 1 << 20) -> Callable:
                 out = work(cut)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker may live on beside others
 
     return run
 
