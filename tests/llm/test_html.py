@@ -45,9 +45,18 @@ class Page:
         return f"<p>{self.tell(s)}</p>"
 
     def block(self) -> str:
-        kind = self.rng.randrange(12)
-        if kind < 6:
+        kind = self.rng.randrange(17)
+        if kind < 6 or kind == 16:
             return self.paragraph()
+        if kind == 12:
+            return f'<figure><img src="a.png" alt="{self.words(1, 3)}"><figcaption>{self.tell(self.sentence(3, 9))}</figcaption></figure>'
+        if kind == 13:
+            return "<table><tr>" + "".join(f"<th>{self.tell(self.words(1, 2))}" for _ in range(3)) + "<tr>" + "".join(f"<td>{self.tell(self.words(1, 3))}" for _ in range(3)) + "</table>"
+        if kind == 14:
+            return "<ol>" + "".join(f"<li><p>{self.tell(self.sentence(2, 12))}</p></li>" for _ in range(self.rng.randint(2, 4))) + "</ol><hr>"
+        if kind == 15:
+            title = self.tell(self.words(2, 5))
+            return f'<h3 class="section-title" id="{self.rng.choice(WORDS)}">{title}</h3><div>{self.paragraph()}{self.paragraph()}</div>'
         if kind == 6:
             return f"<h2>{self.tell(self.words(2, 6).title())}</h2>" + self.paragraph()
         if kind == 7:
@@ -83,12 +92,13 @@ class Page:
     def page(self) -> str:
         r = self.rng
         before = "".join(self.aside() for _ in range(r.randint(0, 3)))
-        opening, closing = r.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<main id="main">', "</main>"), ('<article class="post"><div class="entry-content">', "</div></article>")])
+        opening, closing = r.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<main id="main">', "</main>"), ('<article class="post"><div class="entry-content">', "</div></article>"),
+            ('<div id="page"><div class="row"><div class="col-md-8"><div class="ArticleBody">', "</div></div></div></div>"), ('<section><div class="td-post-content">', "</div></section>"), ('<div class="layout"><main role="main"><div>', "</div></main></div>")])
         body = f"<h1>{self.tell(self.words(2, 7).title())}</h1>" if r.random() < 0.6 else ""
         for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
             body += self.block()
             if r.random() < 0.15:
-                body += r.choice([f'<div class="ad-box">{self.sentence()}</div>', f'<aside class="related"><p>{self.sentence()}</p></aside>', ""])
+                body += r.choice([f'<div class="ad-box">{self.sentence()}</div>', f'<aside class="related"><p>{self.sentence()}</p></aside>', f'<div class="share-buttons"><a href="#">{self.words(1, 1)}</a> <a href="#">{self.words(1, 1)}</a></div>', f'<div class="reader-comments"><p>{self.sentence()}</p></div>', ""])
         after = "".join(self.aside() for _ in range(r.randint(0, 3)))
         head = f"<head><title>{self.words(2, 5)}</title><script>x()</script></head>"
         return f"<!DOCTYPE html><html>{head}<body><header><p>{self.words(1, 3)}</p></header>{before}{opening}{body}{closing}{after}<footer><p>Copyright {self.words(1, 3)}</p></footer></body></html>"
@@ -98,8 +108,7 @@ def test_articles_of_500_layouts():
     pages = [Page(seed) for seed in range(500)]
     got = html.main_texts([p.html for p in pages], *html.model())
     wrong = [k for k, (p, text) in enumerate(zip(pages, got, strict=True)) if text != " ".join(p.said)]
-    assert not [k for k in wrong if not got[k]]
-    assert len(wrong) <= 5, [(pages[k].html, got[k]) for k in wrong[:2]]
+    assert not wrong, [(pages[k].html, got[k]) for k in wrong[:2]]
 
 
 def wrap(article: str) -> str:
