@@ -235,39 +235,50 @@ def shoelace(p: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def _general_position(pts: np.ndarray) -> np.ndarray:
+    """Points moved by up to a ten-millionth of their extent, always alike, in extended precision.
+
+    So no four lie in a plane and no five on a sphere, and the sign of a determinant is beyond its rounding.
+    """
+    p = np.asarray(pts, np.longdouble)
+    scale = float(np.ptp(pts, axis=0).max()) or 1.0
+    return p + np.random.default_rng(41).uniform(-1, 1, p.shape) * (1e-7 * scale)
+
+
+def _det3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Determinants of rows a, b, c (n, 3)."""
+    return a[:, 0] * (b[:, 1] * c[:, 2] - b[:, 2] * c[:, 1]) - a[:, 1] * (b[:, 0] * c[:, 2] - b[:, 2] * c[:, 0]) + a[:, 2] * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+
+
 def hull_3d(pts: np.ndarray) -> np.ndarray:
-    """Faces (n, 3) of the convex hull, outward."""
+    """Faces (n, 3) of the convex hull, outward. Points in a plane have none; a side of many points is cut into triangles over them."""
     pts = np.asarray(pts, float)
     n = len(pts)
     if n < 4:
         return np.zeros((0, 3), np.int64)
     scale = np.ptp(pts, axis=0).max() or 1.0
-    eps = 1e-12 * scale**3
     a = 0
     b = int(np.argmax(((pts - pts[a]) ** 2).sum(1)))
     c = int(np.argmax((np.cross(pts - pts[a], pts[b] - pts[a]) ** 2).sum(1)))
     vol = (np.cross(pts[b] - pts[a], pts[c] - pts[a]) * (pts - pts[a])).sum(1)
     d = int(np.argmax(np.abs(vol)))
-    if abs(vol[d]) <= eps:
+    if abs(vol[d]) <= 1e-12 * scale**3:
         return np.zeros((0, 3), np.int64)
-    centre = pts[[a, b, c, d]].mean(0)
-    faces: list[tuple[int, int, int]] = []
-    for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d)):
-        u, v, w = f
-        if np.dot(np.cross(pts[v] - pts[u], pts[w] - pts[u]), centre - pts[u]) > 0:
-            f = (u, w, v)
-        faces.append(f)
+    q = _general_position(pts)
+    faces = np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)])
+    out = _det3(q[faces[:, 1]] - q[faces[:, 0]], q[faces[:, 2]] - q[faces[:, 0]], q[[a, b, c, d]].mean(0) - q[faces[:, 0]]) > 0
+    faces[out] = faces[out][:, [0, 2, 1]]
     for i in range(n):
         if i in (a, b, c, d):
             continue
-        t = np.array(faces)
-        p0 = pts[t[:, 0]]
-        see = (np.cross(pts[t[:, 1]] - p0, pts[t[:, 2]] - p0) * (pts[i] - p0)).sum(1) > eps
+        see = _det3(q[faces[:, 1]] - q[faces[:, 0]], q[faces[:, 2]] - q[faces[:, 0]], q[i] - q[faces[:, 0]]) > 0
         if not see.any():
             continue
-        edges = {(u, v) for f, s in zip(faces, see, strict=True) if s for u, v in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
-        faces = [f for f, s in zip(faces, see, strict=True) if not s] + [(u, v, i) for u, v in edges if (v, u) not in edges]
-    return np.array(faces, np.int64)
+        f = faces[see]
+        edges = {(u, v) for u, v in np.concatenate([f[:, [0, 1]], f[:, [1, 2]], f[:, [2, 0]]]).tolist()}
+        rim = [(u, v, i) for u, v in edges if (v, u) not in edges]
+        faces = np.vstack([faces[~see], np.array(sorted(rim))])
+    return faces.astype(np.int64)
 
 
 def mesh_volume(pts: np.ndarray, faces: np.ndarray) -> float:
@@ -279,45 +290,58 @@ def mesh_volume(pts: np.ndarray, faces: np.ndarray) -> float:
 
 
 def delaunay_3d(pts: np.ndarray) -> np.ndarray:
-    """Tetrahedra (n, 4), in order: lower faces of the lifted hull, found point by point in one far tetrahedron."""
+    """Tetrahedra (n, 4), in order: found point by point in one far tetrahedron, of the points in general position.
+
+    Whether a point lies in a sphere is told by the sphere's centre where that is clear, else by a determinant in
+    extended precision. Tetrahedra that are flat but for the points' small moves go.
+    """
     pts = np.asarray(pts, float)
     n = len(pts)
     if n < 4:
         return np.zeros((0, 4), np.int64)
     centre, size = pts.mean(0), (np.ptp(pts, axis=0).max() or 1.0) * 1e4
     far = centre + size * np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]])
-    p = np.vstack([pts, far])
+    exact = np.vstack([_general_position(pts), far.astype(np.longdouble)]) - centre
+    p = exact.astype(float)
     tets = np.array([[n, n + 1, n + 2, n + 3]])
 
     def sphere(t):
+        """Centre, squared radius and orientation of each tetrahedron; the radius is nan where the centre is not clear."""
         a = p[t[:, 0]]
         m = np.stack([p[t[:, k]] - a for k in (1, 2, 3)], 1)
-        rhs = (m**2).sum(2) / 2
         det = np.linalg.det(m)
-        ok = np.abs(det) > 1e-14 * np.abs(m).max((1, 2)) ** 3
+        clear = np.abs(det) > 1e-4 * np.sqrt((m**2).sum(2)).prod(1)
         c = np.full((len(t), 3), np.nan)
-        if ok.any():
-            c[ok] = np.linalg.solve(m[ok], rhs[ok][..., None])[..., 0]
-        return a + c, (c**2).sum(1)
-
-    cen, r2 = sphere(tets)
+        if clear.any():
+            c[clear] = np.linalg.solve(m[clear], ((m[clear] ** 2).sum(2) / 2)[..., None])[..., 0]
+        x = exact[t]
+        turn = np.sign(_det3(x[:, 1] - x[:, 0], x[:, 2] - x[:, 0], x[:, 3] - x[:, 0])).astype(float)
+        return a + c, (c**2).sum(1), turn
+
+    def holds(t, turn, i):
+        """Whether the spheres of t hold point i, by the lifted determinant."""
+        x = exact[t] - exact[i]
+        w = (x**2).sum(2)
+        d = -w[:, 0] * _det3(x[:, 1], x[:, 2], x[:, 3]) + w[:, 1] * _det3(x[:, 0], x[:, 2], x[:, 3])
+        d += -w[:, 2] * _det3(x[:, 0], x[:, 1], x[:, 3]) + w[:, 3] * _det3(x[:, 0], x[:, 1], x[:, 2])
+        return d * turn < 0
+
+    cen, r2, turn = sphere(tets)
     for i in range(n):
         d2 = ((cen - p[i]) ** 2).sum(1)
-        bad = (d2 < r2 * (1 - 1e-12)) | np.isnan(r2)
-        if not bad.any():
-            continue
-        faces: dict[tuple[int, ...], tuple[int, ...]] = {}
-        for t in tets[bad].tolist():
-            for k in range(4):
-                f = tuple(sorted(t[:k] + t[k + 1 :]))
-                if f in faces:
-                    del faces[f]
-                else:
-                    faces[f] = f
-        new = np.array([[*f, i] for f in faces])
-        c, r = sphere(new)
-        tets, cen, r2 = np.vstack([tets[~bad], new]), np.vstack([cen[~bad], c]), np.concatenate([r2[~bad], r])
+        bad = d2 < r2
+        unsure = np.flatnonzero(~(np.abs(d2 - r2) > 1e-6 * r2))
+        if len(unsure):
+            bad[unsure] = holds(tets[unsure], turn[unsure], i)
+        t = tets[bad]
+        sides = np.sort(np.concatenate([t[:, [1, 2, 3]], t[:, [0, 2, 3]], t[:, [0, 1, 3]], t[:, [0, 1, 2]]]), 1)
+        sides, times = np.unique(sides, axis=0, return_counts=True)
+        new = np.column_stack([sides[times == 1], np.full(int((times == 1).sum()), i)])
+        c, r, o = sphere(new)
+        tets, cen, r2, turn = np.vstack([tets[~bad], new]), np.vstack([cen[~bad], c]), np.concatenate([r2[~bad], r]), np.concatenate([turn[~bad], o])
     keep = np.sort(tets[(tets < n).all(1)], 1)
+    m = np.stack([pts[keep[:, k]] - pts[keep[:, 0]] for k in (1, 2, 3)], 1)
+    keep = keep[np.abs(np.linalg.det(m)) > 1e-10 * np.sqrt((m**2).sum(2)).prod(1)]
     return keep[np.lexsort(keep.T[::-1])]
 
 

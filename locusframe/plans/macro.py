@@ -331,7 +331,7 @@ def _object_colocalization(d: Dataset, p: dict) -> None:
     from ..operators import overlap
 
     cut = float(p.get("cutDistance", 50))
-    one, two = (overlap.sampled_objects(d.table(n).select("loc_id", "x", "y"), cut, min_locs=int(p.get("minLocs", 3))) for n in p["datasetNames"])
+    one, two = (overlap.sampled_objects(d.table(n).select("loc_id", *[a for a in "xyz" if a in d.table(n).columns]), cut, min_locs=int(p.get("minLocs", 3))) for n in p["datasetNames"])
     d.tables["ObjectOverlaps"] = overlap.object_colocalization(one, two, step=float(p.get("step", 0.5)))["overlaps"]
 
 

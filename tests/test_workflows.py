@@ -121,3 +121,59 @@ def test_next_frame_far_away(spark):
         assert (i in near) == bool(later)
         if later:
             assert near[i][1] == pytest.approx(min(later)[0])
+
+
+def test_overlap_of_objects_in_space(spark):
+    """Two hulls of points in cubes that overlap by half, and one apart."""
+    from locusframe.operators import kernels, overlap
+
+    rng = np.random.default_rng(6)
+    one, two = rng.random((40, 3)), rng.random((40, 3)) + [0.5, 0.0, 0.0]
+    df = lambda p: spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "loc_id long, x double, y double, z double")
+    a, b = overlap.sampled_objects(df(np.vstack([one, one + 20])), 3.0), overlap.sampled_objects(df(two), 3.0)
+    got = overlap.object_colocalization(a, b, step=0.25)["overlaps"].collect()
+
+    def inside(p, q):
+        h = kernels.hull_3d(p)
+        n = np.cross(p[h[:, 1]] - p[h[:, 0]], p[h[:, 2]] - p[h[:, 0]])
+        n *= np.sign(((p.mean(0) - p[h[:, 0]]) * n).sum(1))[:, None]
+        return ((q[:, None] - p[h[:, 0]][None]) * n[None]).sum(2).min(1) >= 0
+
+    q = rng.random((40_000, 3)) * [1.5, 1.0, 1.0]
+    share = (inside(one, q) & inside(two, q)).mean() * 1.5
+    assert {(r["object1"], r["object2"]) for r in got} == {(1, 1)} and sum(r["measure"] for r in got) == pytest.approx(share, rel=0.15)
+    flat = overlap.sampled_objects(df(two).drop("z"), 3.0)
+    with pytest.raises(ValueError):
+        overlap.object_colocalization(a, flat)
+
+
+@pytest.mark.parametrize("kind", ["random", "grid", "surface", "plane"])
+def test_tetrahedra_fill_the_hull(kind):
+    """Also of points many of which lie in planes and on spheres."""
+    import itertools
+
+    from locusframe.operators import kernels
+
+    rng = np.random.default_rng(12)
+    p = rng.random((60, 3))
+    if kind == "grid":
+        p = np.array(list(itertools.product(range(4), repeat=3)), float)
+    if kind == "surface":
+        h = p[kernels.hull_3d(p)]
+        p = np.unique(np.round(np.concatenate([h[:, 0] * a / 4 + h[:, 1] * b / 4 + h[:, 2] * (4 - a - b) / 4 for a in range(5) for b in range(5 - a)]), 9), axis=0)
+    if kind == "plane":
+        p[:, 2] = p[:, 0] + p[:, 1]
+        assert len(kernels.hull_3d(p)) == 0 and len(kernels.delaunay_3d(p)) == 0
+        return
+    t = kernels.delaunay_3d(p)
+    volume = np.abs(np.linalg.det(p[t[:, 1:]] - p[t[:, :1]])) / 6
+    assert volume.sum() == pytest.approx(kernels.mesh_volume(p - p.mean(0), kernels.hull_3d(p)), rel=1e-6)
+    if kind == "random":
+        def empty(s):
+            m = p[list(s[1:])] - p[s[0]]
+            c = np.linalg.solve(m, (m**2).sum(1) / 2)
+            return not (((p - p[s[0]] - c) ** 2).sum(1) < (c**2).sum() * (1 - 1e-9)).any()
+
+        few = p[:25]
+        p = few
+        assert {tuple(x) for x in kernels.delaunay_3d(few).tolist()} == {s for s in itertools.combinations(range(25), 4) if empty(s)}
