@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .licence_texts import BODIES, OPENINGS
-from .shared import numbered
+from .shared import numbered, stash
 
 THRESHOLD = 0.9
 # Licence notices and short licences.
@@ -99,15 +99,18 @@ def telling_words(templates, threshold: float) -> list[str]:
 
 
 def holds_any(found: list[str]):
-    """Whether a text contains one of the words; a word that holds another one is not looked for."""
+    """Whether a text contains one of the words; a word that holds another one is not looked for.
+
+    The text in lower case is a lambda's variable, so that it is made once, not once a word.
+    """
     short = [w for w in found if not any(v != w and v in w for v in found)]
-    return lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w)) for w in short])
+    return lambda c: F.exists(F.array(F.lower(c)), lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in short]))
 
 
 def best_windows(docs: DataFrame, threshold: float, templates) -> DataFrame:
     """key, n_units, best (dice, minus_line, minus_template, licence): the best window of each document's words.
 
-    docs: (key, text). n_units counts the lines in which templates' best windows start; a line counts from 1.
+    docs: (key, text), those that hold a telling word. n_units counts the lines in which templates' best windows start; a line counts from 1.
     """
     spark = docs.sparkSession
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -116,7 +119,7 @@ def best_windows(docs: DataFrame, threshold: float, templates) -> DataFrame:
     # A window holds (dice * template) / (2 - dice) of the template's pairs at least; twice its bound of distinct pairs leaves room for repeats.
     need, reach = F.ceil(low * F.col("n_template") - 1e-9).cast("int"), F.floor(2 * high * F.size("all")).cast("int")
     t = t.select("template", "licence", "n_template", need.alias("need"), reach.alias("reach"), F.explode("grams").alias("gram"))
-    docs = docs.where(holds_any(telling_words(templates, threshold))(F.col("text"))).withColumn("h", F.xxhash64("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     at = lambda d: d.select("key", "h", F.posexplode(pairs(words(F.col("text")))).alias("pos", "gram"))
     by = ["key", "h", "template", "licence", "n_template", "need", "reach"]
     hits = at(docs).join(F.broadcast(t), "gram").groupBy(*by).agg(F.sort_array(F.collect_set("pos")).alias("hits"), F.countDistinct("gram").alias("n_common"))
@@ -164,10 +167,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [r[0] for r in table.select("n_template").distinct().collect()]  # of the fixed list
     docs, _ = numbered(docs.select("doc_id", "text"), "key")
-    key, text = F.col("key"), F.coalesce("text", F.lit(""))
+    # One pass over all texts leaves those that may match anything; what follows reads these alone.
+    some = docs.select("key", F.coalesce("text", F.lit("")).alias("text")).where(holds_any(telling_words((*templates, *texts), threshold))(F.col("text")))
+    some, text = stash(some, "may_match"), F.col("text")
     lines = F.split(text, "\n")
     may = holds_any(telling_words(templates, threshold))
-    unit = docs.where(may(text)).select("key", F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
+    unit = some.where(may(text)).select("key", F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
     # A unit of n bigrams has more than n words, each with a letter at least and a gap: a bound without cutting words.
     longest = max(sizes) * high
     shortest = min(sizes) * low
@@ -182,7 +187,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPL
     hit = met.select("key", "line", "template", "licence", dice).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("line")).alias("minus_line"), (-F.col("template")).alias("minus_template"), "licence"))
     per = hit.groupBy("key").agg(F.countDistinct("line").alias("n_units"), best.alias("best"))
-    windows = best_windows(docs.select("key", text.alias("text")), threshold, (*templates, *texts))
+    windows = best_windows(some, threshold, (*templates, *texts))
     per = per.unionByName(windows.join(per.select("key"), "key", "left_anti"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "key").join(per, "key", "left")
     return out.select(
