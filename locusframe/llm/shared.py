@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
 from ..runtime import broadcast_if, fits, stash
 
 __all__ = ["broadcast_if", "broadcast_small", "components", "fits", "numbered", "private", "ranked", "stash"]
@@ -25,6 +24,8 @@ def private(df: DataFrame, name: str) -> str:
 
 def components(links: DataFrame) -> DataFrame:
     """Components of links (a, b), the same way at every size: rounds over written tables."""
+    from ..operators import graph  # here, as workers that read this module have no need of it
+
     return graph.components(links, one_task=0)
 
 

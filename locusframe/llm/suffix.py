@@ -43,15 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import broadcast_small, numbered, stash
-from .textbuf import STEP, TextBuf, U, binary_parts, by_slices, mix, powers, slices
+from .textbuf import SLICE, STEP, TextBuf, U, binary_parts, by_slices, mix, powers, slices
 
 LENGTH = 100
 GRAM = 24
 #: Longer texts are read in pieces of so many bytes that overlap by a window less one byte.
-PIECE = 1 << 22
+PIECE = 1 << 20
 INDEX_BITS = 23
 #: Equal blocks are put together within so many bytes of text before the shuffle.
-TOGETHER = 1 << 24
+TOGETHER = 1 << 23
 #: Blocks of a key that are sorted in one run.
 RUN = 4096
 
@@ -132,7 +132,7 @@ def find_blocks(length: int, together: int = TOGETHER):
     def run(batches):
         got, held = [], 0
         for batch in batches:
-            for cut in slices(batch, "body", 1 << 20):
+            for cut in slices(batch, "body", SLICE):
                 for buf, ids, base in _pieces(cut, length):
                     s, n, d, h, doc = blocks(buf, length)
                     raw = memoryview(np.ascontiguousarray(buf.data))
@@ -238,7 +238,7 @@ def cut_out(length: int, at_once: int = 200_000):
 
     def run(batches):
         for batch in batches:
-            for cut in slices(batch, "body", 1 << 20):
+            for cut in slices(batch, "body", SLICE):
                 ids = cut.column("row").to_numpy()
                 data, off = binary_parts(cut.column("body"))
                 spots = cut.column("spots")
@@ -350,7 +350,7 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, dist: np.ndarray, run: n
     return np.sort(np.concatenate(found))
 
 
-def sort_runs(length: int, limit: int = 1 << 20):
+def sort_runs(length: int, limit: int = SLICE):
     """Over rows in order of (key, row, start): the spans that candidates lose."""
 
     def spans(t: pa.Table) -> pa.RecordBatch:
@@ -399,7 +399,7 @@ def sort_runs(length: int, limit: int = 1 << 20):
 def removal_mask(cut: pa.RecordBatch) -> tuple[TextBuf, np.ndarray]:
     data, off = binary_parts(cut.column("_body"))
     buf = TextBuf(data, off)
-    edge = np.zeros(buf.size + 1, np.int64)
+    edge = np.zeros(buf.size + 1, np.int32)
     spans = cut.column("_spans")
     n = np.diff(spans.offsets.to_numpy())
     flat = spans.flatten()

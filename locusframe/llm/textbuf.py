@@ -34,13 +34,16 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of text that are worked on at once; a longer text is a slice of its own.
+SLICE = 1 << 19
+
 _power_cache: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i < n."""
     if n > len(_power_cache.get("up", ())):
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", BASE), ("down", UNBASE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -82,7 +85,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         at = to
 
 
-def by_slices(work: Callable, column: str, limit: int = 1 << 20) -> Callable:
+def by_slices(work: Callable, column: str, limit: int = SLICE) -> Callable:
     """An argument for mapInArrow: work(batch) gives a batch for each cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
