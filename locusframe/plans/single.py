@@ -321,13 +321,16 @@ def _nations(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.cast("long").alias("loc_id"), ((k * 37 + 11) % 101).cast("double").alias("x"), ((k * 53 + 29) % 103).cast("double").alias("y"), ((k * 71 + 5) % 107).cast("double").alias("z"))
 
 
-@query(f"""WITH {_NATIONS}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x AS x, a.y AS y, a.z AS z, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz,
+_TETRAHEDRA = f"""WITH {_NATIONS}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, d.id AS d, a.x AS x, a.y AS y, a.z AS z, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz,
   d.x - a.x AS wx, d.y - a.y AS wy, d.z - a.z AS wz FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id JOIN p d ON c.id < d.id),
 k AS (SELECT *, vy * wz - vz * wy AS fx, vz * wx - vx * wz AS fy, vx * wy - vy * wx AS fz, wy * uz - wz * uy AS gx, wz * ux - wx * uz AS gy, wx * uy - wy * ux AS gz, uy * vz - uz * vy AS hx, uz * vx - ux * vz AS hy, ux * vy - uy * vx AS hz,
   ux * ux + uy * uy + uz * uz AS u2, vx * vx + vy * vy + vz * vz AS v2, wx * wx + wy * wy + wz * wz AS w2 FROM t),
 o AS (SELECT *, 2 * (ux * fx + uy * fy + uz * fz) AS det FROM k WHERE ux * fx + uy * fy + uz * fz <> 0),
-q AS (SELECT a, b, c, d, x, y, z, abs(det) / 12 AS volume, (u2 * fx + v2 * gx + w2 * hx) / det AS mx, (u2 * fy + v2 * gy + w2 * hy) / det AS my, (u2 * fz + v2 * gz + w2 * hz) / det AS mz FROM o)
-SELECT a AS v0, b AS v1, c AS v2, d AS v3, round(volume, 4) AS volume FROM q WHERE NOT EXISTS (SELECT 1 FROM p WHERE (p.x - q.x - mx) ** 2 + (p.y - q.y - my) ** 2 + (p.z - q.z - mz) ** 2 < (mx * mx + my * my + mz * mz) * (1 - 1e-9))""")
+q AS (SELECT a, b, c, d, x, y, z, abs(det) / 12 AS volume, (u2 * fx + v2 * gx + w2 * hx) / det AS mx, (u2 * fy + v2 * gy + w2 * hy) / det AS my, (u2 * fz + v2 * gz + w2 * hz) / det AS mz FROM o),
+k4 AS (SELECT a AS v0, b AS v1, c AS v2, d AS v3, volume FROM q WHERE NOT EXISTS (SELECT 1 FROM p WHERE (p.x - q.x - mx) ** 2 + (p.y - q.y - my) ** 2 + (p.z - q.z - mz) ** 2 < (mx * mx + my * my + mz * mz) * (1 - 1e-9)))"""
+
+
+@query(_TETRAHEDRA + " SELECT v0, v1, v2, v3, round(volume, 4) AS volume FROM k4")
 def nation_tetrahedra(spark, sf_dir):
     """The triangulation in space of all nations as points; SQL takes the tetrahedra with empty circumspheres."""
     f = tess.delaunay3(_nations(spark, sf_dir))
@@ -381,6 +384,29 @@ def skeleton_files(spark, sf_dir):
     return spark.read.parquet(path).groupBy("skeleton_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment_id").alias("segments"), F.round(F.sum("x"), 4).alias("sx"))
 
 
+@query(_TETRAHEDRA + " SELECT 1 AS object_id, (SELECT count(*) FROM p) AS n_locs, round(sum(volume), 3) AS measure FROM k4")
+def hull_in_space(spark, sf_dir):
+    """The hull of all nations as points in space; SQL adds up the tetrahedra that fill it."""
+    h = objects.convex_hulls3(_nations(spark, sf_dir).withColumn("object_id", F.lit(1).cast("long")))
+    return h.withColumn("measure", F.round("measure", 3))
+
+
+@query("""SELECT n_nationkey AS mesh_id, i AS n, 'v ' || CASE i WHEN 1 THEN n_nationkey + 1.0::DOUBLE ELSE 0.0 END || ' ' || CASE i WHEN 2 THEN n_nationkey + 1.0::DOUBLE ELSE 0.0 END || ' ' || CASE i WHEN 3 THEN n_nationkey + 1.0::DOUBLE ELSE 0.0 END AS value
+FROM nation, range(4) t(i) UNION ALL SELECT n_nationkey, i, 'vn ' || i * 0.5::DOUBLE || ' 0.0 ' || 1.0::DOUBLE FROM nation, range(4) t(i)""")
+def heat_files(spark, sf_dir):
+    """Vertices and their vectors of every mesh as text lines."""
+    v, _ = _tetra_meshes(spark, sf_dir)
+    n = v.select("mesh_id", "vertex_id", (F.col("vertex_id") * 0.5).cast("double").alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    return files.heat_lines(v, n).select(F.col("mesh_id").cast("long").alias("mesh_id"), F.col("n").cast("long").alias("n"), "value")
+
+
+@query("SELECT 12 AS longest FROM (SELECT count(*) AS n FROM part) WHERE n > 0")
+def longest_dark_time(spark, sf_dir):
+    """Off times whose counts decay by a half life of four: three of them, rounded."""
+    h = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("value")).distinct().withColumn("count", 2 + 300 * F.exp(-F.col("value") / 4))
+    return spark.createDataFrame([(fit.dark_time(h),)], "longest int")
+
+
 @query(f"WITH {_NATIONS} SELECT count(*) AS n, round((max(x) - min(x) + 2 * pad) * (max(y) - min(y) + 2 * pad) * (max(z) - min(z) + 2 * pad), 2) AS total FROM p, (SELECT least(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 100 AS pad FROM p) GROUP BY pad")
 def nation_cells(spark, sf_dir):
     """Voronoi cells in space fill the box of the points and its pad."""

@@ -315,11 +315,11 @@ def mesh_text(vertices: DataFrame, faces: DataFrame, mesh_id: int) -> DataFrame:
     return mesh_lines(*one).orderBy("k", "n", "value").select("value")
 
 
-def heat_lines(vertices: DataFrame, normals: DataFrame, mesh_id: int) -> DataFrame:
-    """v and vn lines of one mesh."""
-    v = vertices.where(F.col("mesh_id") == mesh_id).select(F.col("vertex_id").alias("n"), F.lit(0).alias("k"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
-    m = normals.where(F.col("mesh_id") == mesh_id).select(F.col("vertex_id").alias("n"), F.lit(1).alias("k"), F.concat_ws(" ", F.lit("vn"), "nx", "ny", "nz").alias("value"))
-    return v.unionByName(m).orderBy("n", "k").select("value")
+def heat_lines(vertices: DataFrame, normals: DataFrame) -> DataFrame:
+    """(mesh_id, n, k, value): lines v and vn of every mesh, in the order of n and k."""
+    v = vertices.select("mesh_id", F.col("vertex_id").alias("n"), F.lit(0).alias("k"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("value"))
+    m = normals.select("mesh_id", F.col("vertex_id").alias("n"), F.lit(1).alias("k"), F.concat_ws(" ", F.lit("vn"), "nx", "ny", "nz").alias("value"))
+    return v.unionByName(m)
 
 
 def write_skeletons(segments: DataFrame, path: str) -> None:

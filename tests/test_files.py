@@ -89,3 +89,13 @@ def test_stream_of_sessions(spark, tmp_path):
     q = blinks.on_times(s).writeStream.format("memory").queryName("runs").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("runs").collect()) == [1, 2]
+
+
+def test_streams_of_counts(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", float(m)) for h in (0, 1) for m in (0, 5, 50)]
+    spark.createDataFrame(rows, "ts string, x double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("ts timestamp, x double").parquet(str(tmp_path / "in"))
+    for name, df in (("hours", blinks.frame_counts(stream())), ("bins", blinks.running_histogram(stream(), "x", 0.0, 10.0))):
+        df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["n"], round(r["x"], 3)) for r in spark.table("hours").collect()) == [(3, 18.333)] * 2
+    assert sorted((r["bin"], r["count"]) for r in spark.table("bins").collect()) == [(0, 4), (5, 2)]
