@@ -295,7 +295,7 @@ def _suppliers(spark, sf_dir) -> DataFrame:
 _EMPTY = f"""{_SUPPLIERS}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.x AS x, a.y AS y, b.x - a.x AS bx, b.y - a.y AS bw, c.x - a.x AS cx, c.y - a.y AS cy FROM s a JOIN s b ON a.id < b.id JOIN s c ON b.id < c.id),
 d AS (SELECT *, 2 * (bx * cy - cx * bw) AS d FROM t WHERE bx * cy <> cx * bw),
 o AS (SELECT a, b, c, abs(d) / 4 AS area, (cy * (bx * bx + bw * bw) - bw * (cx * cx + cy * cy)) / d AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + bw * bw)) / d AS uy, x, y FROM d),
-e AS (SELECT a, b, c, area FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.x - o.x - ux) ** 2 + (s.y - o.y - uy) ** 2 < (ux * ux + uy * uy) * (1 - 1e-9)))"""
+e AS (SELECT a, b, c, area, x + ux AS mx, y + uy AS my FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE (s.x - o.x - ux) ** 2 + (s.y - o.y - uy) ** 2 < (ux * ux + uy * uy) * (1 - 1e-9)))"""
 
 
 @query(f"WITH {_EMPTY} SELECT a, b, c, round(area, 4) AS area FROM e")
@@ -313,6 +313,36 @@ def supplier_neighbours(spark, sf_dir):
     return tess.face_edges(stash(tess.delaunay(_suppliers(spark, sf_dir)), "faces")).select("face_id", "a", "b", "neigh")
 
 
+@query(f"""WITH RECURSIVE {_EMPTY}, k AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS face_id, a, b, c, area FROM e),
+sd AS (SELECT face_id, a AS p, b AS q FROM k UNION ALL SELECT face_id, b, c FROM k UNION ALL SELECT face_id, a, c FROM k),
+far AS (SELECT DISTINCT face_id FROM sd JOIN s u ON u.id = p JOIN s v ON v.id = q WHERE (u.x - v.x) ** 2 + (u.y - v.y) ** 2 > 16900),
+g AS (SELECT * FROM sd WHERE face_id NOT IN (SELECT face_id FROM far)), nb AS (SELECT g.face_id AS a, h.face_id AS b FROM g JOIN g h ON g.p = h.p AND g.q = h.q AND g.face_id <> h.face_id),
+reach(root, f) AS (SELECT DISTINCT face_id, face_id FROM g UNION SELECT root, nb.b FROM reach JOIN nb ON reach.f = nb.a),
+lab AS (SELECT f AS face_id, min(root) AS cluster FROM reach GROUP BY 1),
+m AS (SELECT DISTINCT cluster, unnest([a, b, c]) AS id FROM lab JOIN k USING (face_id)),
+ob AS (SELECT cluster, sum(area) AS measure FROM lab JOIN k USING (face_id) GROUP BY 1), n AS (SELECT cluster, count(*) AS n_locs, avg(x) AS cx, avg(y) AS cy FROM m JOIN s USING (id) GROUP BY 1)
+SELECT dense_rank() OVER (ORDER BY cluster) AS object_id, n_locs, round(measure, 4) AS measure, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ob JOIN n USING (cluster) WHERE n_locs >= 4""")
+def supplier_objects(spark, sf_dir):
+    """Objects of suppliers' triangles whose sides are at most 130 long, joined over shared sides."""
+    p = _suppliers(spark, sf_dir)
+    got = objects.objects_from_faces(stash(tess.delaunay(p), "faces"), p, 130.0, min_locs=4)["objects"]
+    return got.select("object_id", "n_locs", F.round("measure", 4).alias("measure"), r6("cx").alias("cx"), r6("cy").alias("cy"))
+
+
+@query(f"""WITH {_EMPTY}, v AS (SELECT unnest([a, b, c]) AS id, mx, my, a, b, c FROM e), box AS (SELECT min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM s),
+nb AS (SELECT id, count(DISTINCT n) AS n_sides FROM (SELECT id, unnest([a, b, c]) AS n FROM v) WHERE n <> id GROUP BY 1),
+ok AS (SELECT id FROM v, box GROUP BY id, x0 HAVING bool_and(mx > x0 AND mx < x1 AND my > y0 AND my < y1) AND count(*) = (SELECT n_sides FROM nb WHERE nb.id = v.id)),
+k AS (SELECT v.id, mx, my, atan2(my - s.y, mx - s.x) AS t FROM v JOIN s USING (id) WHERE v.id IN (SELECT id FROM ok)),
+r AS (SELECT id, mx, my, coalesce(lead(mx) OVER w, first_value(mx) OVER w) AS qx, coalesce(lead(my) OVER w, first_value(my) OVER w) AS qy FROM k WINDOW w AS (PARTITION BY id ORDER BY t))
+SELECT id AS loc_id, n_sides, round(abs(sum(mx * qy - qx * my)) / 2, 3) AS measure FROM r JOIN nb USING (id) GROUP BY 1, 2""")
+def supplier_cells(spark, sf_dir):
+    """Voronoi cells of suppliers that the box leaves whole; SQL sorts the centres of the empty circles about each supplier."""
+    p = _suppliers(spark, sf_dir)
+    cells, sides = tess.voronoi(p, stash(tess.delaunay(p), "faces"))
+    n = sides.groupBy("loc_id").agg(F.count(F.lit(1)).alias("n_sides"))
+    return cells.where("not is_border").join(n, "loc_id").select("loc_id", "n_sides", F.round("measure", 3).alias("measure"))
+
+
 _NATIONS = "p AS (SELECT n_nationkey AS id, (n_nationkey * 37 + 11) % 101 * 1.0 AS x, (n_nationkey * 53 + 29) % 103 * 1.0 AS y, (n_nationkey * 71 + 5) % 107 * 1.0 AS z FROM nation)"
 
 
