@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Labelled pages that the weights are trained on, their seed, and gradient steps.
 TRAIN_PAGES = 600
 TRAIN_SEED = 11
@@ -586,6 +588,7 @@ def main_texts(pages: list[str], w: np.ndarray, pair: np.ndarray) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages."""
     w, pair = model()
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if
+from .shared import broadcast_if, small_batches
 from .textbuf import LOWER, TextBuf, U, slices
 
 #: Bound of the training sample: labelled rows for each language, and languages.
@@ -133,6 +133,7 @@ def predict(model: tuple):
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of docs."""
+    small_batches(docs.sparkSession)
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", (rest == 2).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("body")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, components, numbered, private, stash
+from .shared import NO_ID, components, numbered, private, small_batches, stash
 from .textbuf import IS_SPACE, STEP, TextBuf, U, by_slices, coded, digests, joint, mix, order_in_docs, padded, window_starts
 
 WORDS = 5
@@ -278,6 +278,7 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def rows_with_components(docs: DataFrame, row_col: str, same_as_id: bool, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     """near_duplicates of rows as numbered() gives them, with each row's name, ``_row``, and ``first``: it stands for its component."""
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     docs = docs.select(F.col(row_col).alias("row"), key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     sk = stash(docs.select("row", "body").mapInArrow(sketch(bits), "row long, n_shingles long, set binary, regs binary"), "sketches")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked, stash
+from .shared import ranked, small_batches, stash
 from .textbuf import by_slices
 
 CAPACITY = 2048
@@ -140,6 +140,7 @@ def cut_pieces(name: str, file, capacity: int, with_ids: bool):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents. tokenizer: path of its file."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")

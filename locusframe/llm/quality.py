@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import private
+from .shared import private, small_batches
 from .textbuf import IS_SPACE, LOWER, TextBuf, by_slices, coded, joint, window_starts
 
 # Fixed values of the line rules.
@@ -158,6 +158,7 @@ def measure(cut: pa.RecordBatch) -> pa.RecordBatch:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdicts, one row for each row of docs (repeated rows too), in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     ).mapInArrow(by_slices(measure, "body"), SCHEMA)
@@ -182,6 +183,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n
     """The rows of docs that pass, all columns: the text without the lines that fail, and its code points
     in ``chars_col`` where docs has that column. Judged and cleaned in one pass. Null text never passes."""
     schema, names, body = docs.schema, docs.columns, private(docs, "_body")
+    small_batches(docs.sparkSession)
 
     def judged(cut: pa.RecordBatch) -> pa.RecordBatch:
         bare = pa.RecordBatch.from_arrays([pa.nulls(cut.num_rows, pa.int64()), cut.column(body)], ["doc_id", "body"])

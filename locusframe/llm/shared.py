@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if, fits, stash
 
-__all__ = ["broadcast_if", "broadcast_small", "components", "fits", "numbered", "private", "ranked", "stash"]
+__all__ = ["broadcast_if", "broadcast_small", "components", "fits", "numbered", "private", "ranked", "small_batches", "stash"]
 
 NO_ID = -(2**63)
 #: Tables are broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 4 << 20
 
 
 def private(df: DataFrame, name: str) -> str:
@@ -22,6 +24,17 @@ def private(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands batches of BATCH_BYTES at most to Python, so that neither side holds many long texts at once.
+
+    Its own limit is 64 MB, for which the JVM keeps buffers of twice that, in and out, for each task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(spark.conf.get(name)).rstrip("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Components of links (a, b), the same way at every size: rounds over written tables."""
     from ..operators import graph  # here, as workers that read this module have no need of it

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_small, numbered, stash
+from .shared import broadcast_small, numbered, small_batches, stash
 from .textbuf import SLICE, STEP, TextBuf, U, binary_parts, by_slices, mix, powers, slices
 
 LENGTH = 100
@@ -446,6 +446,7 @@ def with_spans(docs: DataFrame, length: int, run: int, text_col: str, together:
     """docs with ``_body`` (bytes) for the text and ``_spans``, the repeated passages (start, size) to remove."""
     if not GRAM < length <= 128:
         raise ValueError("length must lie above the gram's 24 bytes and be 128 at most")
+    small_batches(docs.sparkSession)
     docs, _ = numbered(docs, "_row", text_col=text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     wide = docs.withColumn("_body", body).drop(text_col)
