@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import broadcast_small, numbered, small_batches, stash
-from .textbuf import SLICE, STEP, TextBuf, U, binary_parts, by_slices, mix, powers, slices
+from .textbuf import SLICE, STEP, TextBuf, U, binary_parts, by_slices, give_back, mix, powers, slices
 
 LENGTH = 100
 GRAM = 24
@@ -146,6 +146,8 @@ def find_blocks(length: int, together: int = TOGETHER):
                     got, held = [], 0
         if got:
             yield settle(got)
+        del got
+        give_back()
 
     return run
 
@@ -392,6 +394,8 @@ def sort_runs(length: int, limit: int = SLICE):
                 at = to
         if held:
             yield spans(pa.concat_tables(held).combine_chunks())
+        del held
+        give_back()
 
     return run
 

@@ -16,7 +16,10 @@ have equal hashes of this kind, so who uses it must compare the bytes as well.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,6 +88,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         at = to
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task, as the worker may live on beside others."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another libc keeps it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_slices(work: Callable, column: str, limit: int = SLICE) -> Callable:
     """An argument for mapInArrow: work(batch) gives a batch for each cut."""
 
@@ -94,7 +105,7 @@ def by_slices(work: Callable, column: str, limit: int = SLICE) -> Callable:
                 out = work(cut)
                 if out is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # the worker may live on beside others
+        give_back()
 
     return run
 
