@@ -21,12 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Where the shared folder is a mounted one, scratch tables have no checksum files beside them: half the files, and without
+#: native Hadoop libraries half the processes that set their permissions. Other stores do not read these options.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder, so that what follows does not run it again
     and a lost executor costs only a read. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
