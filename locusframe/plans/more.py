@@ -194,4 +194,4 @@ def sphere_density(spark, sf_dir):
 SELECT a, count(*) AS n FROM e GROUP BY 1""")
 def region_query_in_time(spark, sf_dir):
     p = pts(spark, sf_dir).withColumn("frame", F.col("loc_id") % 50)
-    return spatial.neighbours(p, 8.0, max_dt=10).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.neighbour_counts(p, 8.0, max_dt=10).select(F.col("loc_id").alias("a"), "n")
