@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stash
-from .spatial import pairs_within
+from .spatial import pairs_within, sites
 
 
 def radii(lo: float = 10.0, hi: float = 200.0, step: float = 10.0) -> list[float]:
@@ -34,7 +33,7 @@ def edge_factor(x: Column, y: Column, r: Column, box: tuple[float, float, float,
 
 
 def k_function(locs: DataFrame, lo: float = 10.0, hi: float = 200.0, step: float = 10.0, corrected: bool = True) -> DataFrame:
-    """(radius, k, l). One range join at the largest radius; pairs are counted by the first radius that holds them (strictly).
+    """(radius, k, l). One range join of sites (equal coordinates) at the largest radius; pairs are counted by the first radius that holds them (strictly).
 
     k(r) = sum over points of factor * neighbours / density / n;  l = sqrt(k / pi) - r.
     """
@@ -42,16 +41,18 @@ def k_function(locs: DataFrame, lo: float = 10.0, hi: float = 200.0, step: float
     n, x0, x1, y0, y1 = locs.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     box = (math.floor(x0), math.floor(y0), math.ceil(x1), math.ceil(y1))
     density = n / ((box[2] - box[0]) * (box[3] - box[1]))
-    near = pairs_within(locs, locs, rs[-1], strict=True).where("a != b")
+    s = sites(locs.select("loc_id", "x", "y"), ["x", "y"])
+    near = pairs_within(s, s, rs[-1], strict=True, keep=["n"])
+    others = F.when(F.col("a") == F.col("b"), F.col("n") - 1).otherwise(F.col("n"))  # of its own site all but the point itself
     first = F.when(F.col("d2") < rs[0] ** 2, 0)  # one generated expression, no array for each pair
     for i, r in enumerate(rs[1:], 1):
         first = first.when(F.col("d2") < r**2, i)
-    per = stash(near.select("a", first.alias("ring")).groupBy("a", "ring").agg(F.count(F.lit(1)).alias("c")), "rings")
-    grid = F.explode(F.sequence(F.col("ring"), F.lit(len(rs) - 1))).alias("i")
-    within = per.select("a", "c", grid).groupBy("a", "i").agg(F.sum("c").alias("c"))
-    within = within.join(locs.select(F.col("loc_id").alias("a"), "x", "y"), "a").withColumn("radius", F.element_at(F.array(*map(F.lit, rs)), F.col("i") + 1))
+    ring = near.select("a", first.alias("ring"), others.alias("c"))
+    within = ring.groupBy("a").agg(*[F.sum(F.when(F.col("ring") <= i, F.col("c"))).alias(f"c{i}") for i in range(len(rs))])
+    per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("radius"), F.col(f"c{i}").alias("c")) for i, r in enumerate(rs)])).alias("k")
+    within = within.join(s.select(F.col("loc_id").alias("a"), "x", "y", "n"), "a").select("x", "y", "n", per).select("x", "y", "n", "k.*").where("c > 0")
     factor = edge_factor(F.col("x"), F.col("y"), F.col("radius"), box) if corrected else F.lit(1.0)
-    k = within.groupBy("i").agg((F.sum(factor * F.col("c")) / F.lit(density) / F.lit(n)).alias("k"))
+    k = within.groupBy("i").agg((F.sum(factor * F.col("c") * F.col("n")) / F.lit(density) / F.lit(n)).alias("k"))
     frame = locs.sparkSession.createDataFrame([(i, r) for i, r in enumerate(rs)], "i int, radius double")
     out = frame.join(k, "i", "left").select("radius", F.coalesce("k", F.lit(0.0)).alias("k"))
     return out.withColumn("l", F.sqrt(F.col("k") / math.pi) - F.col("radius"))
